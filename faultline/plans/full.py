@@ -72,7 +72,8 @@ def run_codes(run: Run, rows: DataFrame, taxonomy: DataFrame) -> DataFrame:
     require_pitch_prefixes(routed, F.col("route") != ROUTE_BYPASSED, config.taxonomy)
     members = branch_members(with_order(taxonomy_nodes(taxonomy)), config.taxonomy)
     texts = run.table("branches", branch_texts(members, config.limits))
-    named = codes.relabel_rows(codes.audit_rows(codes.correction_rows(routed, texts, config), config), texts, config)
+    named = codes.correction_rows(codes.with_prompt_parts(routed, config), texts, config)
+    named = codes.relabel_rows(codes.audit_rows(named), texts, config)
     plan = run.table("code_plan", named.select(
         "row_id", "system_code", "route", "P1_Audit_Exempt", "P1_branch_problem",
         "P1_call", "P2_call", "P2_RELABEL_call"))
@@ -84,13 +85,13 @@ def run_codes(run: Run, rows: DataFrame, taxonomy: DataFrame) -> DataFrame:
     def classify(calls: DataFrame) -> DataFrame:
         return calls.join(shown, "branch").withColumn("prompt", codes.classify_prompt())
 
-    p1 = run.ask(codes.P1, CLASSIFICATION, codes.classification_calls(named, codes.P1, config), classify)
-    p2 = run.ask(codes.P2, AUDIT, codes.audit_calls(named, config),
+    p1 = run.ask(codes.P1, CLASSIFICATION, codes.classification_calls(named, codes.P1), classify)
+    p2 = run.ask(codes.P2, AUDIT, codes.audit_calls(named),
                  lambda calls: calls.withColumn("prompt", codes.audit_prompt()), system_prompt=prompts.AUDITOR)
     audited = codes.apply_audit(plan, p2)
     flagged = audited.where(needs_relabel()).select(F.col("P2_RELABEL_call").alias("call_id")).distinct()
     p2b = run.ask(codes.P2B, CLASSIFICATION,
-                  codes.classification_calls(named, codes.P2B, config).join(flagged, "call_id", "left_semi"),
+                  codes.classification_calls(named, codes.P2B).join(flagged, "call_id", "left_semi"),
                   classify)
     merged = merge_codes(codes.apply_relabel(codes.apply_correction(audited, p1), p2b), config.rules.code_gate)
     return run.table("codes", merged.drop(

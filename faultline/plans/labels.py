@@ -16,15 +16,16 @@ from faultline.functions.contract import (
 )
 from faultline.functions.flags import coerce_flag, lower_confidence
 from faultline.functions.text import active_code, or_unknown, strip
-from faultline.functions.topology import block_of_key, topology_column, topology_context, topology_key
+from faultline.functions.topology import block_of_key, topology_key
 from faultline.operators import prompts
 from faultline.operators.dictionary import (
-    TEXT_FIELDS, action_list_text, action_options, attach_entry, escape_modes, group_code, mode_list_text,
+    ENTRY_SCHEMA, MODE_TYPE, TEXT_FIELDS, action_list_text, action_options, attach_entry, escape_modes, group_code, mode_list_text,
     mode_options,
 )
 from faultline.operators.hooks import redact_text
 from faultline.operators.ledger import call_id
 from faultline.operators.routing import is_non_failure, is_uninformative
+from faultline.operators.topology import with_topology
 from faultline.plans.codes import join_answers
 
 P4_OPERATIONAL, P4_SEMANTIC = "P4_OPERATIONAL", "P4_SEMANTIC"
@@ -36,46 +37,57 @@ def with_group(rows: DataFrame, config: Config) -> DataFrame:
     """Adds `code` (active code or Unknown) and `topology` (key); descriptions give no hints here."""
     merged = F.col("Merged_System_Code") if "Merged_System_Code" in rows.columns else F.lit(None).cast("string")
     code = group_code(active_code(merged, F.col("system_code")))
-    rows = rows.withColumn("code", code)
-    spec = topology_column(F.col("code"), F.col("system_name"), None, config.taxonomy)
-    return rows.withColumn("topology", topology_key(topology_context(spec, config.columns)))
+    rows = with_topology(rows.withColumn("code", code), F.col("code"), config, hints=False)
+    return rows.withColumn("topology", topology_key(F.col("context"))).drop("spec", "spec_value", "context")
+
+
+def _choices(actions: Column, modes: Column, rules: Rules) -> dict[str, Column]:
+    return {"action_choices": action_options(actions, rules.action_escapes), "mode_choices": mode_options(modes)}
+
+
+def _texts(action_choices: Column, mode_choices: Column, rules: Rules) -> dict[str, Column]:
+    return {"actions_text": action_list_text(action_choices),
+            "modes_text": mode_list_text(mode_choices, escape_modes(rules.mode_escapes))}
+
+
+def _options_key(actions_text: Column, modes_text: Column) -> Column:
+    return F.sha2(F.concat_ws("\u001f", actions_text, modes_text), 256)
 
 
 def with_options(entries: DataFrame, rules: Rules) -> DataFrame:
     """Entries with what their answers may say, as lists, as prompt text and as a hash."""
-    modes, escapes = mode_options(F.col("modes")), escape_modes(rules.mode_escapes)
-    shaped = entries.withColumns({
-        "action_choices": action_options(F.col("actions"), rules.action_escapes), "mode_choices": modes})
-    return shaped.withColumns({
-        "actions_text": action_list_text(F.col("action_choices")),
-        "modes_text": mode_list_text(F.col("mode_choices"), escapes),
-    }).withColumn("options_key", F.sha2(F.concat_ws("\u001f", "actions_text", "modes_text"), 256))
+    listed = entries.withColumns(_choices(F.col("actions"), F.col("modes"), rules))
+    texts = listed.withColumns(_texts(F.col("action_choices"), F.col("mode_choices"), rules))
+    return texts.withColumn("options_key", _options_key(F.col("actions_text"), F.col("modes_text")))
+
+
+def no_entry_key(rules: Rules) -> Column:
+    """Options hash of rows without an entry, a constant of the settings."""
+    choices = _choices(F.array().cast("array<string>"), F.array().cast(f"array<{MODE_TYPE}>"), rules)
+    return _options_key(**_texts(**choices, rules=rules))
 
 
 def option_sets(entries: DataFrame, rules: Rules) -> DataFrame:
     """Distinct option sets by options_key, including that of rows without an entry."""
-    spark = entries.sparkSession
-    empty = with_options(spark.createDataFrame([(None, None, [], [])], entries.schema), rules)
+    none = entries.sparkSession.createDataFrame([(None, None, [], [])], ENTRY_SCHEMA)
     columns = ("options_key", "action_choices", "mode_choices", "actions_text", "modes_text")
-    return with_options(entries, rules).unionByName(empty).select(*columns).dropDuplicates(["options_key"])
+    known = entries.select("code", "topology", "actions", "modes")
+    return with_options(known.unionByName(none), rules).select(*columns).dropDuplicates(["options_key"])
 
 
 def operational_rows(rows: DataFrame, entries: DataFrame, config: Config) -> DataFrame:
     """Grouped rows with options_key and P4_OPERATIONAL_call; skipped rows have no call."""
     rules = config.rules
-    optioned = with_options(entries, rules)
-    spark = entries.sparkSession
-    empty = with_options(spark.createDataFrame([(None, None, [], [])], entries.schema), rules).first()["options_key"]
-    rows = attach_entry(rows, optioned, ["options_key"], config.limits)
-    rows = rows.withColumn("options_key", F.coalesce("options_key", F.lit(empty)))
+    rows = attach_entry(rows, with_options(entries, rules), ["options_key"], config.limits)
+    rows = rows.withColumn("options_key", F.coalesce("options_key", no_entry_key(rules)))
     skip = is_uninformative(F.col("descriptions")) if rules.skip_uninformative else F.lit(False)
     identity = call_id(P4_OPERATIONAL, OPERATIONAL, prompts.ENGINEER, prompts.OPERATIONAL,
-                       {**_parts(config), "options": F.col("options_key")})
+                       {**prompt_parts(config), "options": F.col("options_key")})
     return rows.withColumn("skip", skip).withColumn(
         "P4_OPERATIONAL_call", F.when(~F.col("skip"), identity))
 
 
-def _parts(config: Config) -> dict[str, Column]:
+def prompt_parts(config: Config) -> dict[str, Column]:
     return {
         "system_name": or_unknown(F.col("system_name")),
         "system_code": F.col("code"),
@@ -87,7 +99,7 @@ def _parts(config: Config) -> dict[str, Column]:
 def operational_calls(rows: DataFrame, config: Config) -> DataFrame:
     return rows.where(F.col("P4_OPERATIONAL_call").isNotNull()).select(
         F.col("P4_OPERATIONAL_call").alias("call_id"), "options_key",
-        *[c.alias(k) for k, c in _parts(config).items()]).dropDuplicates(["call_id"])
+        *[c.alias(k) for k, c in prompt_parts(config).items()]).dropDuplicates(["call_id"])
 
 
 def operational_prompt() -> Column:
