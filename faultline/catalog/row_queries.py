@@ -58,18 +58,14 @@ per_row("keyword_mention", S.mentions("descriptions"),
         lambda: text.mentions_word(c("descriptions"), CONFIG.taxonomy.pitch_keywords))
 
 
-def spec():
-    return topology.topology_column(
-        text.normalise(c("system_code")), c("system_name"), c("descriptions"), CONFIG.taxonomy)
-
-
 def located(spark, d):
-    return with_topology(wo(spark, d), text.normalise(c("system_code")), CONFIG, hints=True)
+    return with_topology(wo(spark, d), c("system_code"), CONFIG, hints=True)
 
 
 _spec = S.topo_column("system_code", "system_name", "descriptions")
 _wo_spec = f"(SELECT *, {_spec} AS spec FROM wo)"
-per_row("topology_column", _spec, spec)
+query("topology_column", f"SELECT row_id, {_spec} AS value FROM wo")(
+    lambda s, d: located(s, d).select("row_id", c("spec").alias("value")))
 query("topology_value", f"SELECT row_id, {S.topo_value('spec')} AS value FROM {_wo_spec}")(
     lambda s, d: located(s, d).select("row_id", c("spec_value").alias("value")))
 query("topology_key", f"SELECT row_id, coalesce({S.topo_context('spec')}, 'Standard Topology') AS value FROM {_wo_spec}")(

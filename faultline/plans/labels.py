@@ -97,7 +97,7 @@ def prompt_parts(config: Config) -> dict[str, Column]:
 
 
 def operational_calls(rows: DataFrame, config: Config) -> DataFrame:
-    return rows.where(F.col("P4_OPERATIONAL_call").isNotNull()).select(
+    return rows.where(~F.col("skip")).select(
         F.col("P4_OPERATIONAL_call").alias("call_id"), "options_key",
         *[c.alias(k) for k, c in prompt_parts(config).items()]).dropDuplicates(["call_id"])
 
@@ -162,7 +162,7 @@ def with_semantic_call(rows: DataFrame) -> DataFrame:
 
 def semantic_calls(rows: DataFrame, operational: DataFrame) -> DataFrame:
     """Distinct semantic calls; `operational` are the calls their prompt fields come from."""
-    wanted = rows.where(F.col("P4_SEMANTIC_call").isNotNull()).select(
+    wanted = rows.where("needs_semantic").select(
         F.col("P4_SEMANTIC_call").alias("_id"), F.col("P4_OPERATIONAL_call").alias("call_id"),
         F.col("P4_Maintenance_Type").alias("maintenance_type"),
         F.col("P4_Action_Taken").alias("action_taken")).dropDuplicates(["_id"])
