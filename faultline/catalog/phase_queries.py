@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultline.catalog import sql as S
+from faultline.catalog.dictionary_queries import entries, grouped
 from faultline.catalog.registry import query
 from faultline.catalog.row_queries import wo
 from faultline.catalog.taxonomy_queries import members
 from faultline.catalog.views import CONFIG, view
 from faultline.functions import contract as C
 from faultline.operators import merge, prompts, routing, taxonomy
-from faultline.operators.dictionary import escape_modes, mode_lines
-from faultline.plans import codes, extraction, labels
-from faultline.catalog.dictionary_queries import entries, grouped
+from faultline.operators.dictionary import mode_lines
+from faultline.operators.sizes import broadcast_if_small
+from faultline.plans import codes, labels
+from faultline.sources.scratch import stored
 
 c = F.col
 RULES = CONFIG.rules
@@ -49,17 +51,32 @@ query("check_response_extra", "SELECT row_id, n.reason AS novel_reason, k.reason
         C.ACTION_CLUSTERING).select("row_id", "novel_reason", c("reason").alias("clustering_reason")))
 
 
-def with_choices(spark, d, name):
+def option_inputs(spark, d, wide=False):
+    """Rows with their options hash, and the option sets, both computed once."""
+    known = stored(entries(spark, d), "entries")
+    rows = labels.operational_rows(grouped(spark, d), known, CONFIG)
+    narrow = rows.drop("P4_OPERATIONAL_call") if wide else rows.select("row_id", "code", "skip", "options_key")
+    return (stored(narrow, "rows"),
+            broadcast_if_small(labels.option_sets(known, RULES), CONFIG.limits.broadcast_bytes))
+
+
+def with_choices(answers, rows, options):
     """Answers beside the option lists of their row."""
-    options = labels.option_sets(entries(spark, d), RULES)
-    rows = labels.operational_rows(grouped(spark, d), entries(spark, d), CONFIG).select("row_id", "options_key")
-    return view(spark, d, name).join(rows, "row_id").join(options, "options_key")
+    return answers.join(rows.select("row_id", "options_key"), "row_id").join(options, "options_key")
+
+
+def checked_first(spark, d, rows, options):
+    return labels.check_operational(with_choices(view(spark, d, "op_ledger"), rows, options))
+
+
+def checked_second(spark, d, rows, options):
+    return labels.check_semantic(with_choices(view(spark, d, "sem_ledger"), rows, options), RULES)
 
 
 query("check_action", "SELECT row_id, reason FROM op_ok")(
-    lambda s, d: labels.check_operational(with_choices(s, d, "op_ledger")).select("row_id", "reason"))
+    lambda s, d: checked_first(s, d, *option_inputs(s, d)).select("row_id", "reason"))
 query("check_mode", "SELECT row_id, reason FROM sem_ok")(
-    lambda s, d: labels.check_semantic(with_choices(s, d, "sem_ledger"), RULES).select("row_id", "reason"))
+    lambda s, d: checked_second(s, d, *option_inputs(s, d)).select("row_id", "reason"))
 query("failure_selection", "SELECT row_id, " + ", ".join(
     f"CASE WHEN json_type(j, '$.Failure_Mode_Selection') = 'OBJECT' THEN CASE WHEN json_type(j, '$.Failure_Mode_Selection.{m}') <> 'NULL' THEN {S.s_('Failure_Mode_Selection.' + m)} END ELSE {S.s_(m)} END AS {m.lower()}"
     for m in S.MODE_KEYS) + f" FROM ({S.checked('sem_ledger', S.SEMANTIC)})")(
@@ -111,12 +128,14 @@ query("merge_codes", f"SELECT wo_id, row_id, system_code AS legacy_system_code,
         c("Merged_System_Code").alias("merged_system_code"), c("System_Code_Corrected_Flag").alias("corrected")))
 
 
+def p4_half(spark, d, rows, options):
+    return labels.apply_operational(rows, checked_first(spark, d, rows, options), RULES, "row_id", "row_id")
+
+
 def p4_rows(spark, d):
-    rows = labels.operational_rows(grouped(spark, d), entries(spark, d), CONFIG)
-    first = labels.check_operational(with_choices(spark, d, "op_ledger"))
-    second = labels.check_semantic(with_choices(spark, d, "sem_ledger"), RULES)
-    half = labels.apply_operational(rows, first, RULES, "row_id", "row_id")
-    return labels.apply_semantic(half, second, RULES, "row_id", "row_id")
+    rows, options = option_inputs(spark, d)
+    return labels.apply_semantic(
+        p4_half(spark, d, rows, options), checked_second(spark, d, rows, options), RULES, "row_id", "row_id")
 
 
 query("phase4", """SELECT row_id, CASE WHEN done THEN code END AS code, CASE WHEN done THEN m_type END AS maintenance_type, CASE WHEN done THEN action END AS action,
@@ -129,9 +148,7 @@ query("phase4", """SELECT row_id, CASE WHEN done THEN code END AS code, CASE WHE
         ("Operational_Confidence", "op_confidence"), ("Operational_Review_Flag", "op_review"),
         ("Semantic_Confidence", "sem_confidence"), ("Semantic_Review_Flag", "sem_review"))]))
 query("code_guard", f"SELECT row_id, CASE WHEN skip OR op_good THEN code END AS code, op_done AND {S.strip(S.s_('System_Code', 'oj'))} <> code AS mismatch FROM op_half")(
-    lambda s, d: labels.apply_operational(
-        labels.operational_rows(grouped(s, d), entries(s, d), CONFIG),
-        labels.check_operational(with_choices(s, d, "op_ledger")), RULES, "row_id", "row_id").select(
+    lambda s, d: p4_half(s, d, *option_inputs(s, d)).select(
         "row_id", c("P4_System_Code").alias("code"), c("code_mismatch").alias("mismatch")))
 
 
@@ -162,8 +179,8 @@ _MODE_TEXT = f"CASE WHEN len(mode_choices) > 0 THEN {_LISTED} || chr(10) || 'or
 
 
 def option_rows(spark, d):
-    rows = labels.operational_rows(grouped(spark, d), entries(spark, d), CONFIG)
-    return rows.join(labels.option_sets(entries(spark, d), RULES), "options_key").withColumns(labels.prompt_parts(CONFIG))
+    rows, options = option_inputs(spark, d, wide=True)
+    return rows.join(options, "options_key").withColumns(labels.prompt_parts(CONFIG))
 
 
 query("prompt_operational", f"SELECT row_id, {S.render(prompts.OPERATIONAL, {**_OP, 'valid_actions_list': 'array_to_string(action_choices, chr(44) || chr(32))'})} AS prompt FROM row_options")(

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.sources.scratch import checkpoint_dir
+from faultline.sources.scratch import checkpoint_dir, stored
 
 
 def broadcast_if_small(df: DataFrame, limit_bytes: int) -> DataFrame:
-    """Broadcast hint when the rows, measured as JSON text, stay under the limit.
+    """A lookup side, computed once; with a broadcast hint when it measures under the limit.
 
-    Beyond it the frame comes back as it is: the join then shuffles, and adaptive execution
-    splits the partitions of a hot key. Use on frames that are cheap to compute twice.
+    The frame is stored first, so measuring it costs no second pass over what it was made from.
+    Its rows are measured as JSON text. Beyond the limit the join shuffles, and adaptive
+    execution splits the partitions of a hot key.
     """
-    width = F.length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
-    total = df.agg(F.sum(width.cast("bigint"))).first()[0] or 0
-    return F.broadcast(df) if 2 * total <= limit_bytes else df
+    kept = stored(df, "lookup")
+    width = F.length(F.to_json(F.struct(*[F.col(c) for c in kept.columns])))
+    total = kept.agg(F.sum(width.cast("bigint"))).first()[0] or 0
+    return F.broadcast(kept) if 2 * total <= limit_bytes else kept
 
 
 def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:

@@ -2,14 +2,15 @@
 
 Work-order texts are wide, so they are shuffled only where a step needs text and code together.
 Everything about calls and answers runs on narrow tables keyed by row_id, and each phase's
-result is a table in the run's folder. The ledger in that folder is what makes a second run
-cheap: it asks only what is new.
+result is a table below the run's folder. Runs never overwrite each other's tables; the ledger
+they share is what makes a second run cheap: it asks only what is new.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ from faultline.plans import codes, extraction, labels
 
 @dataclass(frozen=True)
 class Run:
-    """Where a run keeps its tables and how it asks."""
+    """Where a run keeps its tables and how it asks. Runs with one folder share a ledger."""
 
     spark: SparkSession
     folder: str
@@ -40,17 +41,19 @@ class Run:
     labeller: Labeller
     partitions: int | None = None
     slices: int = 1
-    shared_ledger: str | None = None
+    name: str = field(default_factory=lambda: uuid4().hex)
 
     @property
     def ledger(self) -> str:
-        return self.shared_ledger or f"{self.folder}/ledger"
+        return f"{self.folder}/ledger"
+
+    def path(self, table: str) -> str:
+        return f"{self.folder}/tables/{self.name}/{table}"
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
         """Writes a step's result and goes on from the written table."""
-        path = f"{self.folder}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        df.write.mode("overwrite").parquet(self.path(name))
+        return self.spark.read.parquet(self.path(name))
 
     def ask(self, phase: str, contract: Contract, calls: DataFrame,
             prompt: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame], DataFrame] | None = None,

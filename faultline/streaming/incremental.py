@@ -21,7 +21,7 @@ def label_stream(
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        part = replace(run, folder=f"{run.folder}/batches/{number}", shared_ledger=run.ledger)
+        part = replace(run, name=f"{run.name}-{number}")
         rows = part.table("work_orders", map_columns(batch, run.config.columns))
         coded = run_codes(part, rows, taxonomy)
         labelled = run_labels(part, with_codes(part, rows, coded), dictionary)
