@@ -54,7 +54,7 @@ query("check_response_extra", "SELECT row_id, n.reason AS novel_reason, k.reason
 def option_inputs(spark, d, wide=False):
     """Rows with their options hash, and the option sets, both computed once."""
     known = stored(entries(spark, d), "entries")
-    rows = labels.operational_rows(grouped(spark, d), known, CONFIG)
+    rows = labels.operational_rows(labels.with_label_parts(grouped(spark, d), CONFIG), known, CONFIG)
     narrow = rows.drop("P4_OPERATIONAL_call") if wide else rows.select("row_id", "code", "skip", "options_key")
     return (stored(narrow, "rows"),
             broadcast_if_small(labels.option_sets(known, RULES), CONFIG.limits.broadcast_bytes))

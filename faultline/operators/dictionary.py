@@ -30,13 +30,13 @@ def group_code(code: Column) -> Column:
 
 
 def group_sizes(lines: DataFrame, limits: Limits) -> DataFrame:
-    """(code, topology, n_rows, n_chars, n_pieces, system_name) per group; `line` may be NULL.
+    """(code, topology, n_rows, n_chars, n_pieces, system_name) per group.
 
     `system_name` is that of the group's first row.
     """
     return lines.groupBy("code", "topology").agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.coalesce(F.sum(F.length("line").cast("bigint") + 1), F.lit(0)).alias("n_chars"),
+        F.sum("n_chars").alias("n_chars"),
         F.min_by("system_name", "row_id").alias("system_name"),
     ).withColumn("n_pieces", F.greatest(
         F.ceil(F.col("n_chars") / limits.batch_chars).cast("bigint"), F.lit(1).cast("bigint")))
@@ -47,6 +47,11 @@ def batch_line(description: Column) -> Column:
     return F.concat(F.lit("- "), normalise(description))
 
 
+def line_chars(line: Column) -> Column:
+    """Room a line takes in its group's text."""
+    return F.coalesce(F.length(line).cast("bigint") + 1, F.lit(0).cast("bigint"))
+
+
 def salt(row_id: Column, n: Column) -> Column:
     """Even spread of row identities over n pieces, the same in every run."""
     digits = F.substring(F.md5(row_id.cast("string")), 1, 8)

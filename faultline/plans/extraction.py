@@ -10,17 +10,25 @@ from faultline.functions.contract import EXTRACTION
 from faultline.functions.text import or_unknown
 from faultline.functions.topology import block_of_key
 from faultline.operators import prompts
-from faultline.operators.dictionary import batch_line, build_dictionary, group_batches
+from faultline.operators.dictionary import batch_line, build_dictionary, group_batches, line_chars
 from faultline.operators.hooks import redact_text
 from faultline.operators.ledger import call_id
 
 P3 = "P3"
 
 
+def row_line(config: Config) -> Column:
+    return batch_line(redact_text(F.col("descriptions"), config.redaction))
+
+
 def batch_lines(rows: DataFrame, config: Config) -> DataFrame:
-    """(code, topology, row_id, system_name, line) of rows that carry code and topology."""
+    """(code, topology, row_id, system_name, line, n_chars) of rows that carry code and topology.
+
+    A stored `n_chars` is used as it is, so that sizing groups reads no text.
+    """
+    chars = F.col("n_chars") if "n_chars" in rows.columns else line_chars(row_line(config))
     return rows.select("code", "topology", "row_id", "system_name",
-                       batch_line(redact_text(F.col("descriptions"), config.redaction)).alias("line"))
+                       row_line(config).alias("line"), chars.alias("n_chars"))
 
 
 def _fields() -> dict[str, Column]:

@@ -15,11 +15,12 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.config import ROUTE_BYPASSED, Config
+from faultline.config import ROUTE_BYPASSED, ColumnMap, Config
 from faultline.functions.contract import (
     AUDIT, CLASSIFICATION, EXTRACTION, OPERATIONAL, SEMANTIC, Contract, check_response, parse_response,
 )
 from faultline.operators import prompts
+from faultline.operators.dictionary import line_chars
 from faultline.operators.hooks import Labeller
 from faultline.operators.ledger import answers, label_pending, read_ledger
 from faultline.operators.merge import merge_codes, merge_failures, merge_labels, with_qa_status
@@ -30,6 +31,8 @@ from faultline.operators.taxonomy import (
 )
 from faultline.plans import codes, extraction, labels
 
+COLUMNS = tuple(vars(ColumnMap()))
+
 
 @dataclass(frozen=True)
 class Run:
@@ -50,9 +53,10 @@ class Run:
     def path(self, table: str) -> str:
         return f"{self.folder}/tables/{self.name}/{table}"
 
-    def table(self, name: str, df: DataFrame) -> DataFrame:
-        """Writes a step's result and goes on from the written table."""
-        df.write.mode("overwrite").parquet(self.path(name))
+    def table(self, name: str, df: DataFrame, by: str | None = None) -> DataFrame:
+        """Writes a step's result, in one folder per value of `by`, and goes on from the written table."""
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(self.path(name))
         return self.spark.read.parquet(self.path(name))
 
     def ask(self, phase: str, contract: Contract, calls: DataFrame,
@@ -68,8 +72,12 @@ class Run:
         return parse_response(answers(read_ledger(self.spark, self.ledger, phase)))
 
 
-def run_codes(run: Run, rows: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """row_id with P1, P2, P2b and merged code columns."""
+def run_codes(run: Run, rows: DataFrame, taxonomy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The stored work orders, and row_id with P1, P2, P2b and merged code columns.
+
+    Work orders are stored once, in one folder per route and with their call names, so texts
+    are searched and hashed once and each phase reads only the folders it asks about.
+    """
     config = run.config
     routed = with_route(rows, config.taxonomy)
     require_pitch_prefixes(routed, F.col("route") != ROUTE_BYPASSED, config.taxonomy)
@@ -77,10 +85,8 @@ def run_codes(run: Run, rows: DataFrame, taxonomy: DataFrame) -> DataFrame:
     texts = run.table("branches", branch_texts(members, config.limits))
     named = codes.correction_rows(codes.with_prompt_parts(routed, config), texts, config)
     named = codes.relabel_rows(codes.audit_rows(named), texts, config)
-    plan = run.table("code_plan", named.select(
-        "row_id", "system_code", "route", "P1_Audit_Exempt", "P1_branch_problem",
-        "P1_call", "P2_call", "P2_RELABEL_call"))
-
+    stored = run.table("work_orders", named.drop(*codes.PARTS, "parts_hash"), by="route")
+    calls_of = codes.with_prompt_parts(stored, config)
     shown = broadcast_if_small(
         texts.select("branch", F.col("text").alias("taxonomy_text")).where(F.col("text").isNotNull()),
         config.limits.broadcast_bytes)
@@ -88,24 +94,32 @@ def run_codes(run: Run, rows: DataFrame, taxonomy: DataFrame) -> DataFrame:
     def classify(calls: DataFrame) -> DataFrame:
         return calls.join(shown, "branch").withColumn("prompt", codes.classify_prompt())
 
-    p1 = run.ask(codes.P1, CLASSIFICATION, codes.classification_calls(named, codes.P1), classify)
-    p2 = run.ask(codes.P2, AUDIT, codes.audit_calls(named),
+    p1 = run.ask(codes.P1, CLASSIFICATION, codes.classification_calls(calls_of, codes.P1), classify)
+    p2 = run.ask(codes.P2, AUDIT, codes.audit_calls(calls_of),
                  lambda calls: calls.withColumn("prompt", codes.audit_prompt()), system_prompt=prompts.AUDITOR)
-    audited = codes.apply_audit(plan, p2)
+    plan = stored.select("row_id", "system_code", "route", "P1_Audit_Exempt", "P1_branch_problem",
+                         "P1_call", "P2_call", "P2_RELABEL_call")
+    asked, bypassed = plan.where(F.col("route") != ROUTE_BYPASSED), plan.where(F.col("route") == ROUTE_BYPASSED)
+    audited = run.table("audited", codes.apply_audit(codes.apply_correction(asked, p1), None).unionByName(
+        codes.apply_audit(codes.apply_correction(bypassed, None), p2)))
     flagged = audited.where(needs_relabel()).select(F.col("P2_RELABEL_call").alias("call_id")).distinct()
     p2b = run.ask(codes.P2B, CLASSIFICATION,
-                  codes.classification_calls(named, codes.P2B).join(flagged, "call_id", "left_semi"),
+                  codes.classification_calls(calls_of, codes.P2B).join(flagged, "call_id", "left_semi"),
                   classify)
-    merged = merge_codes(codes.apply_relabel(codes.apply_correction(audited, p1), p2b), config.rules.code_gate)
-    return run.table("codes", merged.drop(
-        "system_code", "route", "P1_branch_problem", "P1_call", "P2_call", "P2_RELABEL_call"))
+    relabelled = codes.apply_split(audited, needs_relabel(), p2b, codes.apply_relabel)
+    merged = merge_codes(relabelled, config.rules.code_gate).drop(
+        "system_code", "route", "P1_branch_problem", "P1_call", "P2_call", "P2_RELABEL_call")
+    return stored.select("row_id", *COLUMNS), run.table("codes", merged)
 
 
 def with_codes(run: Run, rows: DataFrame, coded: DataFrame) -> DataFrame:
-    """Rows with text, active code and topology key side by side: the one wide shuffle before P3 and P4."""
-    active = coded.select("row_id", "Merged_System_Code")
-    return run.table("coded", labels.with_group(rows.join(active, "row_id"), run.config).select(
-        "row_id", "system_name", "descriptions", "code", "topology"))
+    """Texts beside active code and topology key: the one wide shuffle before P3 and P4."""
+    config = run.config
+    grouped = labels.with_group(rows.join(coded.select("row_id", "Merged_System_Code"), "row_id"), config)
+    grouped = labels.with_label_parts(grouped, config).withColumn(
+        "n_chars", line_chars(extraction.row_line(config)))
+    return run.table("coded", grouped.select(
+        "row_id", "system_name", "descriptions", "code", "topology", "skip", "parts_hash", "n_chars"))
 
 
 def run_dictionary(run: Run, grouped: DataFrame) -> DataFrame:
@@ -129,12 +143,13 @@ def run_labels(run: Run, grouped: DataFrame, entries: DataFrame) -> DataFrame:
     calls = labels.operational_calls(named, config)
     first = run.ask(labels.P4_OPERATIONAL, OPERATIONAL, calls, prompt_with(labels.operational_prompt()),
                     lambda df: labels.check_operational(df.join(options, "options_key")))
-    halfway = run.table("operational", labels.with_semantic_call(
-        labels.apply_operational(plan, first, config.rules)))
+    halfway = run.table("operational", labels.with_semantic_call(codes.apply_split(
+        plan, ~F.col("skip"), first, lambda rows, got: labels.apply_operational(rows, got, config.rules))))
     second = run.ask(labels.P4_SEMANTIC, SEMANTIC, labels.semantic_calls(halfway, calls),
                      prompt_with(labels.semantic_prompt()),
                      lambda df: labels.check_semantic(df.join(options, "options_key"), config.rules))
-    done = labels.apply_semantic(halfway, second, config.rules)
+    done = codes.apply_split(halfway, F.col("needs_semantic"), second,
+                             lambda rows, got: labels.apply_semantic(rows, got, config.rules))
     return run.table("labels", done.select("row_id", "P4_Status", "code_mismatch", *sorted(
         c for c in done.columns if c.startswith("P4_") and c not in (
             "P4_Status", "P4_OPERATIONAL_call", "P4_SEMANTIC_call"))))
@@ -148,9 +163,7 @@ def finish(rows: DataFrame, coded: DataFrame, labelled: DataFrame, config: Confi
 
 def full_run(run: Run, rows: DataFrame, taxonomy: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     """Everything in order. Pass an edited `dictionary` to label with that instead."""
-    rows = run.table("work_orders", rows)
-    coded = run_codes(run, rows, taxonomy)
+    rows, coded = run_codes(run, rows, taxonomy)
     grouped = with_codes(run, rows, coded)
     entries = dictionary if dictionary is not None else run_dictionary(run, grouped)
-    labelled = run_labels(run, grouped, entries)
-    return finish(rows, coded, labelled, run.config)
+    return finish(rows, coded, run_labels(run, grouped, entries), run.config)

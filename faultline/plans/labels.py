@@ -41,6 +41,16 @@ def with_group(rows: DataFrame, config: Config) -> DataFrame:
     return rows.withColumn("topology", topology_key(F.col("context"))).drop("spec", "spec_value", "context")
 
 
+def with_label_parts(rows: DataFrame, config: Config) -> DataFrame:
+    """Adds `skip` and `parts_hash`, one hash of everything a row's own text brings to its prompts.
+
+    Stored beside the text, they let later steps name calls without reading texts again.
+    """
+    skip = is_uninformative(F.col("descriptions")) if config.rules.skip_uninformative else F.lit(False)
+    parts = F.struct(*[c.alias(k) for k, c in prompt_parts(config).items()])
+    return rows.withColumn("skip", skip).withColumn("parts_hash", F.sha2(F.to_json(parts), 256))
+
+
 def _choices(actions: Column, modes: Column, rules: Rules) -> dict[str, Column]:
     return {"action_choices": action_options(actions, rules.action_escapes), "mode_choices": mode_options(modes)}
 
@@ -76,15 +86,15 @@ def option_sets(entries: DataFrame, rules: Rules) -> DataFrame:
 
 
 def operational_rows(rows: DataFrame, entries: DataFrame, config: Config) -> DataFrame:
-    """Grouped rows with options_key and P4_OPERATIONAL_call; skipped rows have no call."""
-    rules = config.rules
-    rows = attach_entry(rows, with_options(entries, rules), ["options_key"], config.limits)
-    rows = rows.withColumn("options_key", F.coalesce("options_key", no_entry_key(rules)))
-    skip = is_uninformative(F.col("descriptions")) if rules.skip_uninformative else F.lit(False)
+    """Adds options_key and P4_OPERATIONAL_call to rows with code, topology, skip and parts_hash.
+
+    Skipped rows have no call.
+    """
+    rows = attach_entry(rows, with_options(entries, config.rules), ["options_key"], config.limits)
+    rows = rows.withColumn("options_key", F.coalesce("options_key", no_entry_key(config.rules)))
     identity = call_id(P4_OPERATIONAL, OPERATIONAL, prompts.ENGINEER, prompts.OPERATIONAL,
-                       {**prompt_parts(config), "options": F.col("options_key")})
-    return rows.withColumn("skip", skip).withColumn(
-        "P4_OPERATIONAL_call", F.when(~F.col("skip"), identity))
+                       {"parts": F.col("parts_hash"), "options": F.col("options_key")})
+    return rows.withColumn("P4_OPERATIONAL_call", F.when(~F.col("skip"), identity))
 
 
 def prompt_parts(config: Config) -> dict[str, Column]:
@@ -129,7 +139,7 @@ def check_semantic(answers: DataFrame, rules: Rules) -> DataFrame:
 
 
 def apply_operational(
-    rows: DataFrame, answers: DataFrame, rules: Rules, row_key: str = "P4_OPERATIONAL_call", key: str = "call_id"
+    rows: DataFrame, answers: DataFrame | None, rules: Rules, row_key: str = "P4_OPERATIONAL_call", key: str = "call_id"
 ) -> DataFrame:
     """First half of the P4 columns and `needs_semantic`. Rows carry `skip` and `code`."""
     fields = {"_type": strip(text_at("Maintenance_Type")), "_action": text_at("Action_Taken"),
@@ -170,7 +180,7 @@ def semantic_calls(rows: DataFrame, operational: DataFrame) -> DataFrame:
 
 
 def apply_semantic(
-    rows: DataFrame, answers: DataFrame, rules: Rules, row_key: str = "P4_SEMANTIC_call", key: str = "call_id"
+    rows: DataFrame, answers: DataFrame | None, rules: Rules, row_key: str = "P4_SEMANTIC_call", key: str = "call_id"
 ) -> DataFrame:
     """Second half of the P4 columns.
 

@@ -22,8 +22,7 @@ def label_stream(
 
     def handle(batch: DataFrame, number: int) -> None:
         part = replace(run, name=f"{run.name}-{number}")
-        rows = part.table("work_orders", map_columns(batch, run.config.columns))
-        coded = run_codes(part, rows, taxonomy)
+        rows, coded = run_codes(part, map_columns(batch, run.config.columns), taxonomy)
         labelled = run_labels(part, with_codes(part, rows, coded), dictionary)
         finish(rows, coded, labelled, run.config).write.mode("overwrite").parquet(
             f"{run.folder}/labelled/batch={number}")

@@ -122,7 +122,8 @@ def lines(spark, n):
     return spark.range(n).select(
         F.when(F.col("id") % 3 < 2, "hot").otherwise("cold").alias("code"), F.lit("Standard Topology").alias("topology"),
         F.col("id").alias("row_id"), F.concat(F.lit("name "), F.col("id").cast("string")).alias("system_name"),
-        F.when(F.col("id") % 7 > 0, F.concat(F.lit("- line "), F.col("id").cast("string"))).alias("line"))
+        F.when(F.col("id") % 7 > 0, F.concat(F.lit("- line "), F.col("id").cast("string"))).alias("line")
+    ).withColumn("n_chars", D.line_chars(F.col("line")))
 
 
 def test_group_text_is_whole_and_in_order(spark):
