@@ -83,13 +83,26 @@ def escape_regex(text: str) -> str:
     return re.sub(r"([^\w\s])", r"\\\1", text)
 
 
+# The only other characters that equal an ASCII letter when case is ignored (i, i, s, k).
+FOLDS_TO_ASCII = ("\u0131", "\u0130", "\u017f", "\u212a")
+
+
 def mentions_word(c: Column, keywords: Sequence[str]) -> Column:
-    """A word that begins with one of the keywords, in any case and any script."""
+    """A word that begins with one of the keywords, in any case and any script.
+
+    A plain substring search comes first: most texts fail it, and it is many times cheaper than
+    the regular expression, which decides only about the rest.
+    """
     words = clean_prefixes(keywords)
     if not words:
         return F.lit(False)
     pattern = r"(?iU)\b(" + "|".join(map(escape_regex, words)) + r")\w*\b"
-    return F.coalesce(c.rlike(pattern), F.lit(False))
+    found = c.rlike(pattern)
+    if all(w.isascii() for w in words):
+        lowered = F.lower(c)
+        maybe = any_of([*[lowered.contains(w.lower()) for w in words], *[c.contains(x) for x in FOLDS_TO_ASCII]])
+        found = maybe & found
+    return F.coalesce(found, F.lit(False))
 
 
 def is_missing_code(code: Column) -> Column:

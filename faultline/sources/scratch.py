@@ -15,7 +15,7 @@ SETTING = "spark.checkpoint.dir"
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder the session names; one of our own only where none is set and all is local."""
     context = spark.sparkContext
-    folder = context.getConf().get(SETTING) or context.getCheckpointDir()
+    folder = spark.conf.get(SETTING, None) or context.getCheckpointDir()
     if not folder:
         if not context.master.startswith("local"):
             raise ConfigError(f"set {SETTING} to a folder all executors share")

@@ -50,6 +50,10 @@ def test_mentions_word(values):
         False, True, False, True, False, True, False]
     assert values(texts, text.mentions_word(x, [" ", ""])) == [False] * 7
     assert values(["axb", "a.b"], text.mentions_word(x, ["a.b"])) == [False, True]
+    # letters that equal ASCII ones without regard to case, and keywords beyond ASCII
+    assert values(["p\u0131tch", "K\u0131", "x"], text.mentions_word(x, ["pitch"])) == [True, False, False]
+    assert values(["\u212aey", "\u017fee"], text.mentions_word(x, ["Key", "see"])) == [True, True]
+    assert values(["ÉTÉ", "ete"], text.mentions_word(x, ["été"])) == [True, False]
 
 
 def test_missing_and_unusable_codes(values):
