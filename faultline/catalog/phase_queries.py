@@ -154,13 +154,13 @@ query("code_guard", f"SELECT row_id, CASE WHEN skip OR op_good THEN code END AS
 
 # ---- prompts
 
-_PARTS = {"legacy_system_name": S.unknown("system_name"), "legacy_system_code": S.unknown("system_code"),
+AUDIT_PARTS = {"legacy_system_name": S.unknown("system_name"), "legacy_system_code": S.unknown("system_code"),
           "log_description": "descriptions", "topology_context_block": S.block(S.topo_context("spec"))}
-_WITH_SPEC = f"(SELECT *, {S.topo_column('system_code', 'system_name', 'descriptions')} AS spec FROM routed)"
+WITH_SPEC = f"(SELECT *, {S.topo_column('system_code', 'system_name', 'descriptions')} AS spec FROM routed)"
 
 
-@query("prompt_classify", f"""SELECT w.row_id, md5({S.render(prompts.CLASSIFY, {**_PARTS, 'taxonomy_text': 'b.text'})}) AS prompt_md5
-  FROM {_WITH_SPEC} w JOIN row_branches r ON w.row_id = r.row_id JOIN branches b ON r.branch = b.branch WHERE w.route <> 'Bypassed'""")
+@query("prompt_classify", f"""SELECT w.row_id, md5({S.render(prompts.CLASSIFY, {**AUDIT_PARTS, 'taxonomy_text': 'b.text'})}) AS prompt_md5
+  FROM {WITH_SPEC} w JOIN row_branches r ON w.row_id = r.row_id JOIN branches b ON r.branch = b.branch WHERE w.route <> 'Bypassed'""")
 def _prompt_classify(spark, d):
     texts = taxonomy.branch_texts(members(spark, d), CONFIG.limits)
     rows = codes.with_prompt_parts(routing.with_route(wo(spark, d), CONFIG.taxonomy), CONFIG)
@@ -169,7 +169,7 @@ def _prompt_classify(spark, d):
     return named.join(shown, "P1_branch").select("row_id", F.md5(codes.classify_prompt()).alias("prompt_md5"))
 
 
-query("prompt_audit", f"SELECT row_id, md5({S.render(prompts.AUDIT, _PARTS)}) AS prompt_md5 FROM {_WITH_SPEC} WHERE route = 'Bypassed'")(
+query("prompt_audit", f"SELECT row_id, md5({S.render(prompts.AUDIT, AUDIT_PARTS)}) AS prompt_md5 FROM {WITH_SPEC} WHERE route = 'Bypassed'")(
     lambda s, d: codes.with_prompt_parts(routing.with_route(wo(s, d), CONFIG.taxonomy), CONFIG).where(
         routing.needs_audit()).select("row_id", F.md5(codes.audit_prompt()).alias("prompt_md5")))
 _OP = {"system_name": S.unknown("system_name"), "system_code": "code", "topology_context_block": S.key_block("topology"),

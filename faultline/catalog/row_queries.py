@@ -109,7 +109,7 @@ def _redact(spark, d):
     return wo(spark, d).select("row_id", text.redact(c("descriptions"), rules).alias("value"))
 
 
-@query("redact_custom")
+@query("redact_custom", f"SELECT row_id, regexp_replace(replace(descriptions, 'Pitch', 'P.'), {S.q(chr(92) + 'd+')}, '#', 'g') AS value FROM wo")
 def _redact_custom(spark, d):
     rules = Redaction(True, (r"\d+",), "#", custom=lambda t: t.replace("Pitch", "P."))
     return wo(spark, d).select("row_id", hooks.redact_text(c("descriptions"), rules).alias("value"))
@@ -180,7 +180,7 @@ def _merge_failures(spark, d):
         "row_id", "plain_mode", c("Merged_Failure_Mode").alias("gated_mode"), c("Merged_Symptom").alias("gated_symptom"))
 
 
-_qa = f"""SELECT row_id, CASE WHEN ({S.score('sc')}) < 3 THEN 'Requires Human Review (Low Confidence)'
+QA_SQL = f"""SELECT row_id, CASE WHEN ({S.score('sc')}) < 3 THEN 'Requires Human Review (Low Confidence)'
   WHEN {S.flag('ofl')} THEN 'Requires Human Review (Flagged by Model)' ELSE 'Pass' END AS status FROM ({_P4})"""
 
 
@@ -188,4 +188,4 @@ def with_status(spark, d):
     return merge.with_qa_status(_labelled(spark, d), CONFIG.rules.qa)
 
 
-query("qa_status", _qa)(lambda s, d: with_status(s, d).select("row_id", c("QA_Status").alias("status")))
+query("qa_status", QA_SQL)(lambda s, d: with_status(s, d).select("row_id", c("QA_Status").alias("status")))

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultline.catalog import sql as S
-from faultline.catalog.dictionary_queries import entries, grouped
+from faultline.catalog.dictionary_queries import grouped
 from faultline.catalog.registry import query
-from faultline.catalog.row_queries import _qa, with_status, wo
+from faultline.catalog.phase_queries import AUDIT_PARTS, WITH_SPEC
+from faultline.catalog.row_queries import QA_SQL, with_status, wo
 from faultline.catalog.views import CONFIG, table, view
-from faultline.functions.contract import AUDIT, CLASSIFICATION, check_response
+from faultline.functions.contract import AUDIT, check_response
 from faultline.operators import hooks, ledger, metrics, prompts, routing
 from faultline.operators.joins import merge_tables
 from faultline.plans import codes, extraction
 from faultline.plans.full import Run, full_run
-from faultline.sources.scratch import new_folder
-from faultline.sources.tables import export_final, load_work_orders
+from faultline.sources.scratch import new_folder, stored
+from faultline.sources.tables import export_final
 
 c = F.col
 
@@ -55,10 +56,10 @@ query("call_metrics", f"SELECT phase, batch_id, CAST(rows_processed AS BIGINT) A
 query("run_totals", f"SELECT CAST(sum(rows_processed) AS BIGINT) AS rows_processed, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(cost) AS DOUBLE) AS cost, CAST(sum(seconds) AS BIGINT) / 60 AS minutes FROM ({_METRICS})")(
     lambda s, d: metrics.run_totals(metrics.call_metrics(view(s, d, "perf"), CONFIG.pricing)).select(
         "rows_processed", "input_tokens", "output_tokens", c("cost_usd").cast("double").alias("cost"), "minutes"))
-query("qa_distribution", f"SELECT status AS QA_Status, count(*) AS n FROM ({_qa}) GROUP BY status")(
+query("qa_distribution", f"SELECT status AS QA_Status, count(*) AS n FROM ({QA_SQL}) GROUP BY status")(
     lambda s, d: metrics.qa_distribution(with_status(s, d)))
-query("phase_counts", f"""SELECT route AS what, count(*) AS n FROM routed GROUP BY route UNION ALL SELECT 'passed', count(*) FILTER (status = 'Pass') FROM ({_qa})
-  UNION ALL SELECT 'total', count(*) FROM ({_qa})""")(
+query("phase_counts", f"""SELECT route AS what, count(*) AS n FROM routed GROUP BY route UNION ALL SELECT 'passed', count(*) FILTER (status = 'Pass') FROM ({QA_SQL})
+  UNION ALL SELECT 'total', count(*) FROM ({QA_SQL})""")(
     lambda s, d: metrics.route_counts(routing.with_route(wo(s, d), CONFIG.taxonomy)).withColumnRenamed("route", "what").unionByName(
         metrics.pass_count(with_status(s, d)).unpivot([], ["passed", "total"], "what", "n")))
 query("preview", "SELECT row_id, wo_id, system_code FROM wo ORDER BY wo_id LIMIT 5")(
@@ -92,37 +93,61 @@ def _pending_groups(spark, d):
 
 # ---- hooks and the whole run, with the deterministic labeller
 
-def _audit_calls(spark, d):
+_AUDITED = f"""(SELECT row_id, {S.render(prompts.AUDIT, AUDIT_PARTS)} AS prompt, contains(lower({S.render(prompts.AUDIT, AUDIT_PARTS)}), 'yaw brake inspected')
+  AND NOT contains(lower({S.render(prompts.AUDIT, AUDIT_PARTS)}), 'yaw,') AS flag FROM {WITH_SPEC} WHERE route = 'Bypassed')"""
+_AUDIT_ANSWER = """'{"Reasoning": "keyword match", "Confidence_Score": "High", "Review_Flag": ' || CAST(flag AS VARCHAR) || '}'"""
+
+
+def _audit_rows(spark, d):
     rows = codes.with_prompt_parts(routing.with_route(wo(spark, d), CONFIG.taxonomy), CONFIG)
-    return codes.audit_calls(codes.audit_rows(rows))
+    return codes.audit_rows(rows)
 
 
-@query("label_calls")
+@query("label_calls", f"SELECT CAST(row_id AS VARCHAR) AS call_id, {_AUDIT_ANSWER} AS raw_response, length(prompt) // 4 AS input_tokens, CAST(40 AS BIGINT) AS output_tokens FROM {_AUDITED}")
 def _label_calls(spark, d):
-    calls = _audit_calls(spark, d).select(
-        "call_id", F.lit(None).cast("string").alias("options_key"), codes.audit_prompt().alias("prompt"),
+    calls = _audit_rows(spark, d).where(routing.needs_audit()).select(
+        c("row_id").cast("string").alias("call_id"), F.lit(None).cast("string").alias("options_key"),
+        codes.audit_prompt().alias("prompt"),
         F.lit(prompts.AUDITOR).alias("system_prompt"), F.lit(AUDIT.name).alias("contract"))
-    return hooks.label_calls(calls, hooks.keyword_labeller).select("call_id", "raw_response", "input_tokens", "output_tokens", "error")
+    return hooks.label_calls(calls, hooks.keyword_labeller).select("call_id", "raw_response", "input_tokens", "output_tokens")
 
 
-@query("label_pending")
-def _label_pending(spark, d):
-    path = new_folder(spark, "ledger")
+def label_audits(rows, path):
+    """Asks the audit of every row that needs one; equal questions once."""
     ledger.label_pending(
-        _audit_calls(spark, d), path, codes.P2, AUDIT, prompts.AUDITOR, hooks.keyword_labeller,
+        codes.audit_calls(rows), path, codes.P2, AUDIT, prompts.AUDITOR, hooks.keyword_labeller,
         lambda calls: calls.withColumn("prompt", codes.audit_prompt()), lambda df: check_response(df, AUDIT))
-    return ledger.read_ledger(spark, path, codes.P2).select("call_id", "attempt", "raw_response", "status", "error")
 
 
-@query("export_final")
+@query("label_pending", f"SELECT row_id, 1 AS attempt, 'ok' AS status, {_AUDIT_ANSWER} AS raw_response FROM {_AUDITED}")
+def _label_pending(spark, d):
+    path = new_folder(spark, "ledger")
+    rows = _audit_rows(spark, d)
+    label_audits(rows, path)
+    answers = ledger.read_ledger(spark, path, codes.P2).select("call_id", "attempt", "status", "raw_response")
+    asked = stored(rows.where(routing.needs_audit()).select("row_id", c("P2_call").alias("call_id")), "asked")
+    return asked.join(answers, "call_id").drop("call_id")
+
+
+@query("export_final", f"SELECT q.row_id, w.maintenance_type, q.status AS \"QA_Status\" FROM ({QA_SQL}) q JOIN wo w ON w.row_id = q.row_id")
 def _export_final(spark, d):
     folder = new_folder(spark, "export")
-    export_final(with_status(spark, d), folder, by_status=True)
+    export_final(with_status(spark, d).select("row_id", "maintenance_type", "QA_Status"), folder, by_status=True)
     return spark.read.parquet(folder)
 
 
-@query("full_run")
+# the labeller suggests the first code of the branch it is shown
+_FIRST_CODE = "regexp_extract(b.text, '^ *- ([^:]*):', 1)"
+
+
+@query("full_run", f"""SELECT t.row_id, CASE WHEN t.route = 'Bypassed' THEN 'bypassed' WHEN b.branch IS NULL THEN 'config_error' ELSE 'ok' END AS p1_status,
+  CASE WHEN t.route <> 'Bypassed' AND b.branch IS NOT NULL THEN {_FIRST_CODE} WHEN a.flag THEN (SELECT {_FIRST_CODE} FROM branches b WHERE b.branch = 'all')
+    ELSE {S.norm('t.system_code')} END AS merged_code,
+  CASE WHEN {S.uninformative('t.descriptions')} THEN 'Not Enough Information' WHEN contains(lower(t.descriptions), 'annual service') THEN 'Preventive' ELSE 'Corrective' END AS maintenance_type,
+  'Pass' AS status
+  FROM routed t JOIN row_branches r ON r.row_id = t.row_id LEFT JOIN branches b ON b.branch = r.branch LEFT JOIN {_AUDITED} a ON a.row_id = t.row_id""")
 def _full_run(spark, d):
-    taxonomy = view(spark, d, "components")
     run = Run(spark, new_folder(spark, "run"), CONFIG, hooks.keyword_labeller)
-    return full_run(run, wo(spark, d), taxonomy)
+    return full_run(run, wo(spark, d), view(spark, d, "components")).select(
+        "row_id", c("P1_Status").alias("p1_status"), c("Merged_System_Code").alias("merged_code"),
+        c("Merged_Maintenance_Type").alias("maintenance_type"), c("QA_Status").alias("status"))
