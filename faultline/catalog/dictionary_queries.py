@@ -64,7 +64,7 @@ query("prompt_batch", f"""SELECT p.code, p.topology, piece, md5({S.render(prompt
     'system_name': S.unknown('h.system_name'), 'system_code': 'p.code', 'topology_context_block': S.key_block('p.topology'), 'log_batch_text': 'batch_text'})}) AS prompt_md5
   FROM ({_pieces}) p JOIN {_head} h ON p.code = h.code AND p.topology = h.topology""")(
     lambda s, d: extraction.extraction_calls(grouped(s, d), SMALL).select(
-        "code", "topology", "piece", F.md5(extraction.extraction_prompt()).alias("prompt_md5")))
+        "code", "topology", "piece", F.md5(extraction.extraction_prompt(SMALL)).alias("prompt_md5")))
 
 
 # ---- extraction results

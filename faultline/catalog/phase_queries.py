@@ -166,12 +166,12 @@ def _prompt_classify(spark, d):
     rows = codes.with_prompt_parts(routing.with_route(wo(spark, d), CONFIG.taxonomy), CONFIG)
     named = codes.correction_rows(rows, texts, CONFIG).where(c("P1_call").isNotNull())
     shown = texts.select(c("branch").alias("P1_branch"), c("text").alias("taxonomy_text"))
-    return named.join(shown, "P1_branch").select("row_id", F.md5(codes.classify_prompt()).alias("prompt_md5"))
+    return named.join(shown, "P1_branch").select("row_id", F.md5(codes.classify_prompt(CONFIG)).alias("prompt_md5"))
 
 
 query("prompt_audit", f"SELECT row_id, md5({S.render(prompts.AUDIT, AUDIT_PARTS)}) AS prompt_md5 FROM {WITH_SPEC} WHERE route = 'Bypassed'")(
     lambda s, d: codes.with_prompt_parts(routing.with_route(wo(s, d), CONFIG.taxonomy), CONFIG).where(
-        routing.needs_audit()).select("row_id", F.md5(codes.audit_prompt()).alias("prompt_md5")))
+        routing.needs_audit()).select("row_id", F.md5(codes.audit_prompt(CONFIG)).alias("prompt_md5")))
 _OP = {"system_name": S.unknown("system_name"), "system_code": "code", "topology_context_block": S.key_block("topology"),
        "log_description": S.strip("descriptions")}
 _LISTED = "array_to_string(list_transform(mode_choices, lambda m: '- ' || CAST(to_json(m) AS VARCHAR)), chr(10))"
@@ -184,9 +184,9 @@ def option_rows(spark, d):
 
 
 query("prompt_operational", f"SELECT row_id, {S.render(prompts.OPERATIONAL, {**_OP, 'valid_actions_list': 'array_to_string(action_choices, chr(44) || chr(32))'})} AS prompt FROM row_options")(
-    lambda s, d: option_rows(s, d).select("row_id", labels.operational_prompt().alias("prompt")))
+    lambda s, d: option_rows(s, d).select("row_id", labels.operational_prompt(CONFIG).alias("prompt")))
 query("prompt_semantic", f"SELECT row_id, {S.render(prompts.SEMANTIC, {**_OP, 'valid_failure_modes_list': _MODE_TEXT, 'maintenance_type': 'maintenance_type', 'action_taken': 'action_type'})} AS prompt FROM row_options")(
     lambda s, d: option_rows(s, d).withColumn("action_taken", c("action_type")).select(
-        "row_id", labels.semantic_prompt().alias("prompt")))
+        "row_id", labels.semantic_prompt(CONFIG).alias("prompt")))
 query("format_modes", f"SELECT row_id, {_LISTED} AS value FROM row_options")(
     lambda s, d: option_rows(s, d).select("row_id", mode_lines(c("mode_choices")).alias("value")))

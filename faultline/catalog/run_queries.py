@@ -100,14 +100,14 @@ _AUDIT_ANSWER = """'{"Reasoning": "keyword match", "Confidence_Score": "High", "
 
 def _audit_rows(spark, d):
     rows = codes.with_prompt_parts(routing.with_route(wo(spark, d), CONFIG.taxonomy), CONFIG)
-    return codes.audit_rows(rows)
+    return codes.audit_rows(rows, CONFIG)
 
 
 @query("label_calls", f"SELECT CAST(row_id AS VARCHAR) AS call_id, {_AUDIT_ANSWER} AS raw_response, length(prompt) // 4 AS input_tokens, CAST(40 AS BIGINT) AS output_tokens FROM {_AUDITED}")
 def _label_calls(spark, d):
     calls = _audit_rows(spark, d).where(routing.needs_audit()).select(
         c("row_id").cast("string").alias("call_id"), F.lit(None).cast("string").alias("options_key"),
-        codes.audit_prompt().alias("prompt"),
+        codes.audit_prompt(CONFIG).alias("prompt"),
         F.lit(prompts.AUDITOR).alias("system_prompt"), F.lit(AUDIT.name).alias("contract"))
     return hooks.label_calls(calls, hooks.keyword_labeller).select("call_id", "raw_response", "input_tokens", "output_tokens")
 
@@ -116,7 +116,7 @@ def label_audits(rows, path):
     """Asks the audit of every row that needs one; equal questions once."""
     ledger.label_pending(
         codes.audit_calls(rows), path, codes.P2, AUDIT, prompts.AUDITOR, hooks.keyword_labeller,
-        lambda calls: calls.withColumn("prompt", codes.audit_prompt()), lambda df: check_response(df, AUDIT))
+        lambda calls: calls.withColumn("prompt", codes.audit_prompt(CONFIG)), lambda df: check_response(df, AUDIT))
 
 
 @query("label_pending", f"SELECT row_id, 1 AS attempt, 'ok' AS status, {_AUDIT_ANSWER} AS raw_response FROM {_AUDITED}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from faultline.catalog.views import VIEWS, view_sql
-from faultline.functions.text import NA_TOKENS, WHITESPACE
+from faultline.functions.text import WHITESPACE
 
 _WS = "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE)
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from decimal import Decimal
 
+from faultline.operators.prompts import Templates
+
 # Labels, levels and default options of the data contract.
 STANDARD_TOPOLOGY = "Standard Topology"
 UNKNOWN = "Unknown"
@@ -134,3 +136,4 @@ class Config:
     redaction: Redaction = field(default_factory=Redaction)
     pricing: Pricing = field(default_factory=Pricing)
     limits: Limits = field(default_factory=Limits)
+    prompts: Templates = field(default_factory=Templates)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,6 +67,19 @@ and whether a person should look at it.
 """
 
 
+@dataclass(frozen=True)
+class Templates:
+    """Wording of all prompts; replace any of them. A template need not use every field."""
+
+    engineer: str = ENGINEER
+    auditor: str = AUDITOR
+    classify: str = CLASSIFY
+    audit: str = AUDIT
+    extract: str = EXTRACT
+    operational: str = OPERATIONAL
+    semantic: str = SEMANTIC
+
+
 def template_fields(template: str) -> list[str]:
     return [name for _, name, _, _ in string.Formatter().parse(template) if name is not None]
 

@@ -9,10 +9,10 @@ from faultline.config import Config
 from faultline.functions.contract import EXTRACTION
 from faultline.functions.text import or_unknown
 from faultline.functions.topology import block_of_key
-from faultline.operators import prompts
 from faultline.operators.dictionary import batch_line, build_dictionary, group_batches, line_chars
 from faultline.operators.hooks import redact_text
 from faultline.operators.ledger import call_id
+from faultline.operators.prompts import render
 
 P3 = "P3"
 
@@ -41,11 +41,11 @@ def extraction_calls(rows: DataFrame, config: Config) -> DataFrame:
     batches = group_batches(batch_lines(rows, config), config.limits)
     identity = {**_fields(), "log_batch_text": F.sha2("batch_text", 256)}
     return batches.withColumn(
-        "call_id", call_id(P3, EXTRACTION, prompts.ENGINEER, prompts.EXTRACT, identity))
+        "call_id", call_id(P3, EXTRACTION, config.prompts.engineer, config.prompts.extract, identity))
 
 
-def extraction_prompt() -> Column:
-    return prompts.render(prompts.EXTRACT, _fields())
+def extraction_prompt(config: Config) -> Column:
+    return render(config.prompts.extract, _fields())
 
 
 def dictionary_from_answers(calls: DataFrame, answers: DataFrame, key: str = "call_id") -> DataFrame:

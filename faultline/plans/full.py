@@ -15,11 +15,10 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.config import ROUTE_BYPASSED, ColumnMap, Config
+from faultline.config import ROUTE_BYPASSED, Config
 from faultline.functions.contract import (
     AUDIT, CLASSIFICATION, EXTRACTION, OPERATIONAL, SEMANTIC, Contract, check_response, parse_response,
 )
-from faultline.operators import prompts
 from faultline.operators.dictionary import line_chars
 from faultline.operators.hooks import Labeller
 from faultline.operators.ledger import answers, label_pending, read_ledger
@@ -31,8 +30,6 @@ from faultline.operators.taxonomy import (
 )
 from faultline.plans import codes, extraction, labels
 
-COLUMNS = tuple(vars(ColumnMap()))
-
 
 @dataclass(frozen=True)
 class Run:
@@ -61,9 +58,10 @@ class Run:
 
     def ask(self, phase: str, contract: Contract, calls: DataFrame,
             prompt: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame], DataFrame] | None = None,
-            system_prompt: str = prompts.ENGINEER) -> DataFrame:
+            system_prompt: str | None = None) -> DataFrame:
         """Labels what is pending and returns (call_id, status, answer)."""
-        label_pending(calls, self.ledger, phase, contract, system_prompt, self.labeller, prompt,
+        label_pending(calls, self.ledger, phase, contract, system_prompt or self.config.prompts.engineer,
+                      self.labeller, prompt,
                       check or (lambda df: check_response(df, contract)),
                       self.config.rules.max_attempts, self.partitions, self.slices)
         return self.answers(phase)
@@ -84,7 +82,7 @@ def run_codes(run: Run, rows: DataFrame, taxonomy: DataFrame) -> tuple[DataFrame
     members = branch_members(with_order(taxonomy_nodes(taxonomy)), config.taxonomy)
     texts = run.table("branches", branch_texts(members, config.limits))
     named = codes.correction_rows(codes.with_prompt_parts(routed, config), texts, config)
-    named = codes.relabel_rows(codes.audit_rows(named), texts, config)
+    named = codes.relabel_rows(codes.audit_rows(named, config), texts, config)
     stored = run.table("work_orders", named.drop(*codes.PARTS, "parts_hash"), by="route")
     calls_of = codes.with_prompt_parts(stored, config)
     shown = broadcast_if_small(
@@ -92,11 +90,11 @@ def run_codes(run: Run, rows: DataFrame, taxonomy: DataFrame) -> tuple[DataFrame
         config.limits.broadcast_bytes)
 
     def classify(calls: DataFrame) -> DataFrame:
-        return calls.join(shown, "branch").withColumn("prompt", codes.classify_prompt())
+        return calls.join(shown, "branch").withColumn("prompt", codes.classify_prompt(config))
 
     p1 = run.ask(codes.P1, CLASSIFICATION, codes.classification_calls(calls_of, codes.P1), classify)
     p2 = run.ask(codes.P2, AUDIT, codes.audit_calls(calls_of),
-                 lambda calls: calls.withColumn("prompt", codes.audit_prompt()), system_prompt=prompts.AUDITOR)
+                 lambda calls: calls.withColumn("prompt", codes.audit_prompt(config)), system_prompt=config.prompts.auditor)
     plan = stored.select("row_id", "system_code", "route", "P1_Audit_Exempt", "P1_branch_problem",
                          "P1_call", "P2_call", "P2_RELABEL_call")
     asked, bypassed = plan.where(F.col("route") != ROUTE_BYPASSED), plan.where(F.col("route") == ROUTE_BYPASSED)
@@ -109,7 +107,7 @@ def run_codes(run: Run, rows: DataFrame, taxonomy: DataFrame) -> tuple[DataFrame
     relabelled = codes.apply_split(audited, needs_relabel(), p2b, codes.apply_relabel)
     merged = merge_codes(relabelled, config.rules.code_gate).drop(
         "system_code", "route", "P1_branch_problem", "P1_call", "P2_call", "P2_RELABEL_call")
-    return stored.select("row_id", *COLUMNS), run.table("codes", merged)
+    return stored.select(*rows.columns), run.table("codes", merged)
 
 
 def with_codes(run: Run, rows: DataFrame, coded: DataFrame) -> DataFrame:
@@ -126,7 +124,7 @@ def run_dictionary(run: Run, grouped: DataFrame) -> DataFrame:
     """Dictionary entries; only groups that are new or changed are asked about."""
     calls = run.table("batches", extraction.extraction_calls(grouped, run.config))
     answered = run.ask(extraction.P3, EXTRACTION, calls.dropDuplicates(["call_id"]),
-                       lambda df: df.withColumn("prompt", extraction.extraction_prompt()))
+                       lambda df: df.withColumn("prompt", extraction.extraction_prompt(run.config)))
     return run.table("dictionary", extraction.dictionary_from_answers(calls, answered))
 
 
@@ -141,12 +139,12 @@ def run_labels(run: Run, grouped: DataFrame, entries: DataFrame) -> DataFrame:
         return lambda calls: calls.join(options, "options_key").withColumn("prompt", column)
 
     calls = labels.operational_calls(named, config)
-    first = run.ask(labels.P4_OPERATIONAL, OPERATIONAL, calls, prompt_with(labels.operational_prompt()),
+    first = run.ask(labels.P4_OPERATIONAL, OPERATIONAL, calls, prompt_with(labels.operational_prompt(config)),
                     lambda df: labels.check_operational(df.join(options, "options_key")))
     halfway = run.table("operational", labels.with_semantic_call(codes.apply_split(
-        plan, ~F.col("skip"), first, lambda rows, got: labels.apply_operational(rows, got, config.rules))))
+        plan, ~F.col("skip"), first, lambda rows, got: labels.apply_operational(rows, got, config.rules)), config))
     second = run.ask(labels.P4_SEMANTIC, SEMANTIC, labels.semantic_calls(halfway, calls),
-                     prompt_with(labels.semantic_prompt()),
+                     prompt_with(labels.semantic_prompt(config)),
                      lambda df: labels.check_semantic(df.join(options, "options_key"), config.rules))
     done = codes.apply_split(halfway, F.col("needs_semantic"), second,
                              lambda rows, got: labels.apply_semantic(rows, got, config.rules))
@@ -157,7 +155,8 @@ def run_labels(run: Run, grouped: DataFrame, entries: DataFrame) -> DataFrame:
 
 def finish(rows: DataFrame, coded: DataFrame, labelled: DataFrame, config: Config) -> DataFrame:
     """Merged labels and quality status on the full rows."""
-    joined = rows.join(coded, "row_id").join(labelled, "row_id")
+    produced = ({*coded.columns} | {*labelled.columns}) - {"row_id"}
+    joined = rows.drop(*produced).join(coded, "row_id").join(labelled, "row_id")
     return with_qa_status(merge_failures(merge_labels(joined, config.rules), config.rules), config.rules.qa)
 
 

@@ -17,13 +17,13 @@ from faultline.functions.contract import (
 from faultline.functions.flags import coerce_flag, lower_confidence
 from faultline.functions.text import active_code, or_unknown, strip
 from faultline.functions.topology import block_of_key, topology_key
-from faultline.operators import prompts
 from faultline.operators.dictionary import (
     ENTRY_SCHEMA, MODE_TYPE, TEXT_FIELDS, action_list_text, action_options, attach_entry, escape_modes, group_code, mode_list_text,
     mode_options,
 )
 from faultline.operators.hooks import redact_text
 from faultline.operators.ledger import call_id
+from faultline.operators.prompts import render
 from faultline.operators.routing import is_non_failure, is_uninformative
 from faultline.operators.topology import with_topology
 from faultline.plans.codes import join_answers
@@ -92,7 +92,7 @@ def operational_rows(rows: DataFrame, entries: DataFrame, config: Config) -> Dat
     """
     rows = attach_entry(rows, with_options(entries, config.rules), ["options_key"], config.limits)
     rows = rows.withColumn("options_key", F.coalesce("options_key", no_entry_key(config.rules)))
-    identity = call_id(P4_OPERATIONAL, OPERATIONAL, prompts.ENGINEER, prompts.OPERATIONAL,
+    identity = call_id(P4_OPERATIONAL, OPERATIONAL, config.prompts.engineer, config.prompts.operational,
                        {"parts": F.col("parts_hash"), "options": F.col("options_key")})
     return rows.withColumn("P4_OPERATIONAL_call", F.when(~F.col("skip"), identity))
 
@@ -112,17 +112,17 @@ def operational_calls(rows: DataFrame, config: Config) -> DataFrame:
         *[c.alias(k) for k, c in prompt_parts(config).items()]).dropDuplicates(["call_id"])
 
 
-def operational_prompt() -> Column:
-    return _prompt(prompts.OPERATIONAL, {"valid_actions_list": F.col("actions_text")})
+_TEXT_FIELDS = ("system_name", "system_code", "topology_context_block", "log_description")
 
 
-def semantic_prompt() -> Column:
-    return _prompt(prompts.SEMANTIC, {"valid_failure_modes_list": F.col("modes_text")})
+def operational_prompt(config: Config) -> Column:
+    fields = {n: F.col(n) for n in _TEXT_FIELDS}
+    return render(config.prompts.operational, {**fields, "valid_actions_list": F.col("actions_text")})
 
 
-def _prompt(template: str, renamed: dict[str, Column]) -> Column:
-    names = prompts.template_fields(template)
-    return prompts.render(template, {n: renamed[n] if n in renamed else F.col(n) for n in names})
+def semantic_prompt(config: Config) -> Column:
+    fields = {n: F.col(n) for n in (*_TEXT_FIELDS, "maintenance_type", "action_taken")}
+    return render(config.prompts.semantic, {**fields, "valid_failure_modes_list": F.col("modes_text")})
 
 
 def check_operational(answers: DataFrame) -> DataFrame:
@@ -162,9 +162,9 @@ def apply_operational(
     ).drop("_status", *fields)
 
 
-def with_semantic_call(rows: DataFrame) -> DataFrame:
+def with_semantic_call(rows: DataFrame, config: Config) -> DataFrame:
     """The operational call names text, component and options; type and action come on top."""
-    identity = call_id(P4_SEMANTIC, SEMANTIC, prompts.ENGINEER, prompts.SEMANTIC, {
+    identity = call_id(P4_SEMANTIC, SEMANTIC, config.prompts.engineer, config.prompts.semantic, {
         "operational_call": F.col("P4_OPERATIONAL_call"),
         "maintenance_type": F.col("P4_Maintenance_Type"), "action_taken": F.col("P4_Action_Taken")})
     return rows.withColumn("P4_SEMANTIC_call", F.when(F.col("needs_semantic"), identity))

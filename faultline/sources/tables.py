@@ -58,13 +58,20 @@ def load_work_orders(
 def map_columns(df: DataFrame, columns: ColumnMap) -> DataFrame:
     """User columns under canonical names, as text; absent optional ones are NULL.
 
-    `row_id` gives rows their order: a column of that name if there is one, else the work order.
+    All other columns come along as they are. `row_id` gives rows their order: a column of that
+    name if there is one, else the work order.
     """
     require_columns(df, [user for canon, user in columns.pairs() if canon in REQUIRED], "work orders")
     row_id = F.col("row_id") if "row_id" in df.columns else F.col(f"`{columns.wo_id}`").cast("string")
+    taken = {"row_id", *[name for pair in columns.pairs() for name in pair]}
     return df.select(row_id.alias("row_id"), *[
         (F.col(f"`{user}`").cast("string") if user in df.columns else F.lit(None).cast("string")).alias(canon)
-        for canon, user in columns.pairs()])
+        for canon, user in columns.pairs()], *[F.col(f"`{c}`") for c in df.columns if c not in taken])
+
+
+def user_columns(df: DataFrame, columns: ColumnMap) -> DataFrame:
+    """The reverse of `map_columns` for the final table: the user's own column names."""
+    return df.withColumnsRenamed(dict(columns.pairs())).drop("row_id")
 
 
 def load_taxonomy(spark: SparkSession, path: str) -> DataFrame:

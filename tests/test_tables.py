@@ -27,6 +27,9 @@ def test_csv_edges(spark, tmp_path):
         tables.load_work_orders(spark, str(path), ["A", "WO_ID", "B"])
     mapped = tables.map_columns(df, ColumnMap())
     assert mapped.columns[:3] == ["row_id", "wo_id", "system_code"]
+    extra = tables.map_columns(df.withColumn("Site", F.lit("north")), ColumnMap(pitch_type="P"))
+    assert extra.columns[-1] == "Site"
+    assert tables.user_columns(extra, ColumnMap(pitch_type="P")).columns[:2] == ["WO_ID", "System_Code"]
     assert mapped.where("pitch_type is not null").isEmpty()
     with pytest.raises(DataError, match="Descriptions"):
         tables.map_columns(df.drop("Descriptions"), ColumnMap())
