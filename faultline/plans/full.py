@@ -1,7 +1,7 @@
 """The whole job: correction, audit, relabelling, dictionaries, labels, merges, quality status.
 
 Work-order texts are wide, so they are shuffled only where a step needs text and code together.
-Everything about calls and answers runs on narrow tables keyed by row_id, and each phase's
+Everything about calls and answers runs on narrow tables keyed by row, and each phase's
 result is a table below the run's folder. Runs never overwrite each other's tables; the ledger
 they share is what makes a second run cheap: it asks only what is new.
 """
@@ -71,7 +71,7 @@ class Run:
 
 
 def run_codes(run: Run, rows: DataFrame, taxonomy: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The stored work orders, and row_id with P1, P2, P2b and merged code columns.
+    """The stored work orders, and row_key with P1, P2, P2b and merged code columns.
 
     Work orders are stored once, in one folder per route and with their call names, so texts
     are searched and hashed once and each phase reads only the folders it asks about.
@@ -83,7 +83,9 @@ def run_codes(run: Run, rows: DataFrame, taxonomy: DataFrame) -> tuple[DataFrame
     texts = run.table("branches", branch_texts(members, config.limits))
     named = codes.correction_rows(codes.with_prompt_parts(routed, config), texts, config)
     named = codes.relabel_rows(codes.audit_rows(named, config), texts, config)
-    stored = run.table("work_orders", named.drop(*codes.PARTS, "parts_hash"), by="route")
+    # work-order numbers may repeat, so rows get a key of their own, fixed once they are stored
+    keyed = named.drop(*codes.PARTS, "parts_hash").withColumn("row_key", F.monotonically_increasing_id())
+    stored = run.table("work_orders", keyed, by="route")
     calls_of = codes.with_prompt_parts(stored, config)
     shown = broadcast_if_small(
         texts.select("branch", F.col("text").alias("taxonomy_text")).where(F.col("text").isNotNull()),
@@ -95,7 +97,7 @@ def run_codes(run: Run, rows: DataFrame, taxonomy: DataFrame) -> tuple[DataFrame
     p1 = run.ask(codes.P1, CLASSIFICATION, codes.classification_calls(calls_of, codes.P1), classify)
     p2 = run.ask(codes.P2, AUDIT, codes.audit_calls(calls_of),
                  lambda calls: calls.withColumn("prompt", codes.audit_prompt(config)), system_prompt=config.prompts.auditor)
-    plan = stored.select("row_id", "system_code", "route", "P1_Audit_Exempt", "P1_branch_problem",
+    plan = stored.select("row_key", "row_id", "system_code", "route", "P1_Audit_Exempt", "P1_branch_problem",
                          "P1_call", "P2_call", "P2_RELABEL_call")
     asked, bypassed = plan.where(F.col("route") != ROUTE_BYPASSED), plan.where(F.col("route") == ROUTE_BYPASSED)
     audited = run.table("audited", codes.apply_audit(codes.apply_correction(asked, p1), None).unionByName(
@@ -106,18 +108,18 @@ def run_codes(run: Run, rows: DataFrame, taxonomy: DataFrame) -> tuple[DataFrame
                   classify)
     relabelled = codes.apply_split(audited, needs_relabel(), p2b, codes.apply_relabel)
     merged = merge_codes(relabelled, config.rules.code_gate).drop(
-        "system_code", "route", "P1_branch_problem", "P1_call", "P2_call", "P2_RELABEL_call")
-    return stored.select(*rows.columns), run.table("codes", merged)
+        "row_id", "system_code", "route", "P1_branch_problem", "P1_call", "P2_call", "P2_RELABEL_call")
+    return stored.select("row_key", *rows.columns), run.table("codes", merged)
 
 
 def with_codes(run: Run, rows: DataFrame, coded: DataFrame) -> DataFrame:
     """Texts beside active code and topology key: the one wide shuffle before P3 and P4."""
     config = run.config
-    grouped = labels.with_group(rows.join(coded.select("row_id", "Merged_System_Code"), "row_id"), config)
+    grouped = labels.with_group(rows.join(coded.select("row_key", "Merged_System_Code"), "row_key"), config)
     grouped = labels.with_label_parts(grouped, config).withColumn(
         "n_chars", line_chars(extraction.row_line(config)))
     return run.table("coded", grouped.select(
-        "row_id", "system_name", "descriptions", "code", "topology", "skip", "parts_hash", "n_chars"))
+        "row_key", "row_id", "system_name", "descriptions", "code", "topology", "skip", "parts_hash", "n_chars"))
 
 
 def run_dictionary(run: Run, grouped: DataFrame) -> DataFrame:
@@ -129,10 +131,10 @@ def run_dictionary(run: Run, grouped: DataFrame) -> DataFrame:
 
 
 def run_labels(run: Run, grouped: DataFrame, entries: DataFrame) -> DataFrame:
-    """row_id with the P4 columns."""
+    """row_key with the P4 columns."""
     config = run.config
     named = labels.operational_rows(grouped, entries, config)
-    plan = run.table("label_plan", named.select("row_id", "code", "skip", "P4_OPERATIONAL_call"))
+    plan = run.table("label_plan", named.select("row_key", "row_id", "code", "skip", "P4_OPERATIONAL_call"))
     options = broadcast_if_small(labels.option_sets(entries, config.rules), config.limits.broadcast_bytes)
 
     def prompt_with(column):
@@ -148,15 +150,15 @@ def run_labels(run: Run, grouped: DataFrame, entries: DataFrame) -> DataFrame:
                      lambda df: labels.check_semantic(df.join(options, "options_key"), config.rules))
     done = codes.apply_split(halfway, F.col("needs_semantic"), second,
                              lambda rows, got: labels.apply_semantic(rows, got, config.rules))
-    return run.table("labels", done.select("row_id", "P4_Status", "code_mismatch", *sorted(
+    return run.table("labels", done.select("row_key", "P4_Status", "code_mismatch", *sorted(
         c for c in done.columns if c.startswith("P4_") and c not in (
             "P4_Status", "P4_OPERATIONAL_call", "P4_SEMANTIC_call"))))
 
 
 def finish(rows: DataFrame, coded: DataFrame, labelled: DataFrame, config: Config) -> DataFrame:
     """Merged labels and quality status on the full rows."""
-    produced = ({*coded.columns} | {*labelled.columns}) - {"row_id"}
-    joined = rows.drop(*produced).join(coded, "row_id").join(labelled, "row_id")
+    produced = ({*coded.columns} | {*labelled.columns}) - {"row_key"}
+    joined = rows.drop(*produced).join(coded, "row_key").join(labelled, "row_key").drop("row_key")
     return with_qa_status(merge_failures(merge_labels(joined, config.rules), config.rules), config.rules.qa)
 
 

@@ -15,7 +15,12 @@ SETTINGS = {
 }
 
 
-def session(master: str | None = None, shuffle_partitions: int | None = None, **extra: str) -> SparkSession:
+def session(
+    master: str | None = None, shuffle_partitions: int | None = None, input_gb: float | None = None, **extra: str
+) -> SparkSession:
+    """`input_gb` sizes shuffles at about 128 MB a partition; adaptive execution merges small ones."""
+    if input_gb and not shuffle_partitions:
+        shuffle_partitions = max(200, int(input_gb * 8))
     builder = SparkSession.builder.appName("faultline")
     if master:
         builder = builder.master(master)

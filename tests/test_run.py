@@ -1,9 +1,12 @@
 """The whole job with the deterministic labeller, and the incremental one."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from faultline.catalog.views import CONFIG, view
+from faultline.config import Limits
 from faultline.operators.hooks import keyword_labeller
 from faultline.operators.ledger import read_ledger
 from faultline.operators.metrics import ledger_metrics, run_totals
@@ -15,10 +18,13 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def inputs(spark):
-    return view(spark, SF, "wo").cache(), view(spark, SF, "components").cache()
+    rows = view(spark, SF, "wo")
+    repeated = rows.where("row_id IN (3, 4)")  # work-order numbers need not be unique
+    return rows.unionByName(repeated).cache(), view(spark, SF, "components").cache()
 
 
 def content(df):
+    """All rows, in an order of their own."""
     return sorted(map(str, df.select(*sorted(df.columns)).collect()))
 
 
@@ -30,7 +36,7 @@ def finished(spark, inputs, tmp_path_factory):
 
 def test_every_row_comes_back_labelled(inputs, finished):
     _, result = finished
-    assert result.count() == inputs[0].count() == result.select("row_id").distinct().count()
+    assert content(result.select("row_id", "descriptions")) == content(inputs[0].select("row_id", "descriptions"))
     assert {r.P4_Status for r in result.select("P4_Status").distinct().collect()} == {"ok", "skipped"}
     # what was merged is the old code or one that passed its gate
     wrong = result.where(F.col("System_Code_Corrected_Flag") & (F.coalesce("P1_Confidence", "P2_Relabel_Confidence") != "High"))
@@ -44,9 +50,13 @@ def test_second_run_asks_nothing_and_one_partition_gives_the_same(spark, inputs,
     again = full_run(Run(spark, run.folder, CONFIG, keyword_labeller), *inputs)
     assert read_ledger(spark, run.ledger).count() == calls
     assert content(again) == before
-    single = full_run(Run(spark, str(tmp_path), CONFIG, keyword_labeller, partitions=1),
+    # small batches split the bigger groups; their merged dictionaries allow the same answers
+    small = replace(CONFIG, limits=Limits(batch_chars=20_000))
+    single = full_run(Run(spark, str(tmp_path), small, keyword_labeller, partitions=1),
                       inputs[0].coalesce(1).orderBy(F.desc("row_id")), inputs[1])
     assert content(single) == before
+    pieces = read_ledger(spark, f"{tmp_path}/ledger", "P3").count()
+    assert pieces > read_ledger(spark, run.ledger, "P3").count()
 
 
 def test_ledger_reports(spark, finished):
