@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.sources.scratch import checkpoint_dir, stored
+from faultline.sources.scratch import stored
 
 
 def broadcast_if_small(df: DataFrame, limit_bytes: int) -> DataFrame:
@@ -24,15 +24,13 @@ def broadcast_if_small(df: DataFrame, limit_bytes: int) -> DataFrame:
 def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """0-based position of every row in the total order of the frame.
 
-    Range-partitioned sort, written once to the checkpoint folder so that partition and offset
-    of a row stay what they are; then each partition's start is added. The only thing gathered
-    is one row per partition.
+    Range-partitioned sort, stored once so that partition and offset of a row stay what they
+    are; then each partition's start is added. The only thing gathered, and broadcast, is one
+    row per partition.
     """
-    checkpoint_dir(df.sparkSession)
-    placed = (df.orderBy(*order)
-              .withColumn("_place", F.monotonically_increasing_id())
-              .withColumn("_part", F.shiftright("_place", 33))
-              .checkpoint())
+    placed = stored(df.orderBy(*order)
+                    .withColumn("_place", F.monotonically_increasing_id())
+                    .withColumn("_part", F.shiftright("_place", 33)), "placed")
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
