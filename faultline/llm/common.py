@@ -39,7 +39,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_blocks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Whole texts packed into compressed blocks and stored once: (block, ids, lengths, payload).
+    """Whole texts packed into compressed blocks and stored once: (block, size, ids, lengths, payload).
 
     A block and a place in it name a row from then on, whatever its id is (null or repeated ids too).
     Blocks hold about BLOCK_BYTES of text, so a task has one of them in memory at a time.
@@ -47,13 +47,13 @@ def text_blocks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     id_type = docs.schema[id_column].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
 
         def block(ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([
                 pa.array([ids.to_pylist()], pa.list_(ids.type)),
-                pa.array([np.diff(offsets).tobytes()], pa.binary()),
-                pa.array([press.compress(data.tobytes())], pa.binary())], ["ids", "lengths", "payload"])
+                pa.array([len(data)], pa.int64()), pa.array([np.diff(offsets).tobytes()], pa.binary()),
+                pa.array([press.compress(data.tobytes())], pa.binary())], ["ids", "size", "lengths", "payload"])
 
         for batch in batches:
             data, offsets = buffers(batch.column(1))
@@ -66,7 +66,7 @@ def text_blocks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
                 first = last
 
     packed = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(
-        pack, f"ids array<{id_type}>, lengths binary, payload binary")
+        pack, f"ids array<{id_type}>, size long, lengths binary, payload binary")
     return stored(packed.select(F.monotonically_increasing_id().alias("block"), "*"), "blocks")
 
 
