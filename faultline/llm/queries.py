@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import byte_cnn, jaccard_join, mixing, packing, quality_rules
+from faultline.llm import byte_cnn, jaccard_join, mixing, packing, quality_rules, suffix_dedup
 from faultline.llm.common import table
 from faultline.llm.sql import ORACLE
 
@@ -17,6 +17,11 @@ def query(f):
     return f
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 @query
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
