@@ -75,3 +75,32 @@ def unpack(lengths: bytes, payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, np.int64))])
     data = zstandard.ZstdDecompressor().decompress(payload, max_output_size=max(1, int(offsets[-1])))
     return np.frombuffer(data, np.uint8), offsets
+
+
+def row_blocks(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """Blocks whose ids are whole rows: a struct of all columns but the text."""
+    others = [F.col(f"`{c}`").alias(c) for c in docs.columns if c != text_column]
+    return text_blocks(docs.select(F.struct(*others).alias("row"), F.col(f"`{text_column}`").alias("text")), "row", "text")
+
+
+def flat_ids(side: pa.Table) -> pa.Array:
+    """The ids of a block's texts."""
+    return side["ids"].combine_chunks().flatten()
+
+
+def take_rows(blocks: DataFrame, kept: DataFrame, docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """The rows of `docs` at the places (block, doc) of `kept`, from `row_blocks(docs)`."""
+    row_type = blocks.schema["ids"].dataType.elementType.simpleString()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({"row": flat_ids(left), "text": pa.array([], pa.string())})
+        data, offsets = unpack(left["lengths"][0].as_py(), left["payload"][0].as_py())
+        places = np.sort(right["doc"].to_numpy())
+        raw = data.tobytes()
+        texts = [raw[offsets[i]: offsets[i + 1]] for i in places.tolist()]
+        return pa.table({"row": flat_ids(left).take(pa.array(places)), "text": pa.array(texts, pa.binary()).cast(pa.string())})
+
+    rows = blocks.groupBy("block").cogroup(kept.select("block", "doc").groupBy("block")).applyInArrow(
+        run, f"row {row_type}, text string")
+    return rows.select(*[F.col("text").alias(c) if c == text_column else F.col(f"row.`{c}`") for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import byte_cnn, jaccard_join, mixing, packing, quality_rules, suffix_dedup
+from faultline.llm import byte_cnn, jaccard_join, line_dedup, mixing, packing, quality_rules, suffix_dedup
 from faultline.llm.common import table
 from faultline.llm.sql import ORACLE
 
@@ -22,6 +22,14 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of lines and what is left of each text once later copies of line runs of 50 words or more are gone."""
+    left = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"),
+                       F.octet_length("text").cast("long").alias("n_bytes_kept"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
