@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import byte_cnn, jaccard_join, line_dedup, mixing, packing, quality_rules, suffix_dedup
+from faultline.llm import byte_cnn, jaccard_join, line_dedup, mixing, neighbours, packing, quality_rules, suffix_dedup
 from faultline.llm.common import table
 from faultline.llm.sql import ORACLE
 
@@ -58,6 +58,11 @@ def op8_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.score(docs, byte_cnn.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op9_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
+
+
 @query
 def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
