@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import byte_cnn, jaccard_join, line_dedup, mixing, neighbours, packing, quality_rules, suffix_dedup
+from faultline.llm import byte_cnn, jaccard_join, line_dedup, mixing, neighbours, packing, quality_rules, secrets, suffix_dedup
 from faultline.llm.common import table
 from faultline.llm.sql import ORACLE
 
@@ -22,6 +22,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
+@query
+def op2_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(docs))
+
+
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of lines and what is left of each text once later copies of line runs of 50 words or more are gone."""
