@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import byte_cnn, jaccard_join, line_dedup, mixing, neighbours, packing, quality_rules, secrets, suffix_dedup
+from faultline.llm import byte_cnn, html_text, jaccard_join, line_dedup, mixing, neighbours, packing, quality_rules, secrets, suffix_dedup
 from faultline.llm.common import table
 from faultline.llm.sql import ORACLE
 
@@ -50,6 +50,12 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("_tokens").alias("n_tokens"), F.col("_epoch").alias("epoch"))
 
 
+@query
+def op6_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.train(pages))
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
