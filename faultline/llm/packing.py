@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -19,26 +20,62 @@ TOKENIZER = "word_bpe_49k.json"
 END = 1
 #: Pieces that are packed together; more of them are dealt to more tasks.
 GROUP_PIECES = 50_000
-#: Words whose ids a task remembers.
-CACHE_WORDS = 200_000
+#: Parts of words whose ids a Python worker remembers before it starts anew.
+CACHE_PARTS = 400_000
 #: White space that the tokenizer drops, so no token spans it.
 _WORD = re.compile(r"[^ \t\n\r]+")
+#: Characters whose normal form is themselves and whose class is the same for any Unicode version: ASCII and Latin-1
+#: without the special cases (control characters, no-break space, ordinals, micro, superscripts and fractions).
+_PLAIN = re.compile(r"[ \t\n\r!-~\xA1-\xA9\xAB-\xB1\xB4\xB6-\xB8\xBB\xBF-\xFF]*")
+# Fixed value: the tokenizer's own split pattern, for these characters in lower case.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xDF-\xF6\xF8-\xFF]+|[0-9]|[^\sa-z0-9\xDF-\xF6\xF8-\xFF]+")
 
 
-class WordIds(dict):
-    """Ids of a word as little-endian 32-bit numbers, remembered up to a bound."""
+class TextIds:
+    """Ids of a text as little-endian 32-bit numbers, equal to the tokenizer's own.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
+    Plain texts are split as the tokenizer splits them and the ids of each part are remembered; unknown parts are
+    encoded together, without the steps that plain text does not need. A part's last token, and no other, is marked
+    as the end of a word, which separates the parts again. Other texts are encoded word by word.
+    """
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) < CACHE_WORDS:
-            self[word] = ids
-        return ids
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, parts: list[str]) -> None:
+        ids = np.array(self.bare.encode(" ".join(parts), add_special_tokens=False).ids, "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        raw = ids.tobytes()
+        self.known.update((p, raw[4 * a: 4 * b]) for p, a, b in zip(parts, [0, *ends], ends, strict=False))
+
+    def __call__(self, text: str) -> bytes:
+        if len(self.known) > CACHE_PARTS:
+            self.known.clear()
+        if not _PLAIN.fullmatch(text) or any(t in text for t in self.special):
+            return b"".join(np.array(self.whole.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+                            for w in _WORD.findall(text))
+        parts = _PARTS.findall(text.lower())
+        new = set(parts).difference(self.known)
+        if new:
+            self._learn(list(new))
+        return b"".join(map(self.known.__getitem__, parts))
+
+
+@cache
+def text_ids(path: str) -> TextIds:
+    """One per Python worker, so what it has learned serves its later tasks."""
+    return TextIds(path)
 
 
 PIECES = "id {}, piece int, start long, length long, ids_crc32 long"
@@ -52,11 +89,11 @@ def pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     closing = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(path)
+        ids_of = text_ids(path)
         for batch in batches:
             owner, rows = [], []
             for i, text in enumerate(batch.column(1)):
-                ids = b"".join(map(known.__getitem__, _WORD.findall(text.as_py() or ""))) + closing
+                ids = ids_of(text.as_py() or "") + closing
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at: at + 4 * capacity]
                     owner.append(i)
