@@ -12,7 +12,7 @@ from faultline.llm.common import SPACE_SPLIT
 from faultline.sources.scratch import stored
 
 #: Rows of a leaf that are ordered together when its boundary is looked for.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 LEVELS = ("domain", "lang", "source")
 
 
