@@ -138,8 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     mix = F.xxhash64(F.lit("train"), "k")
     chosen = known.where("y = 0").orderBy(mix, "k").limit(rows // 2).unionAll(
         known.where("y = 1").orderBy(mix, "k").limit(rows // 2))
-    texts = docs.join(F.broadcast(chosen), F.col(id_column) == F.col("k")).select(
-        "k", "y", F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("t"))
+    own = docs.select(F.col(f"`{id_column}`").alias("k"), F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("t"))
+    texts = own.join(F.broadcast(chosen), "k")
     sample = texts.orderBy(F.xxhash64("k"), "k", F.xxhash64("t")).limit(rows).collect()
     return fit([r.t.encode() for r in sample], np.array([r.y for r in sample], np.float64))
 

@@ -243,8 +243,8 @@ def train(pages: DataFrame, html_column: str = "html", id_column: str = "page_id
     are and drawn anew in other markup."""
     marked = pages.where(F.col(html_column).contains("<article"))
     chosen = marked.select(F.col(id_column).alias("k")).distinct().orderBy(F.xxhash64(F.lit("pages"), "k"), "k").limit(TRAIN_PAGES)
-    sample = pages.join(F.broadcast(chosen), F.col(id_column).eqNullSafe(F.col("k"))).select(
-        "k", F.substring(html_column, 1, TRAIN_CHARS).alias("h")).orderBy(F.xxhash64("h"), "k").limit(TRAIN_PAGES).collect()
+    own = pages.select(F.col(f"`{id_column}`").alias("k"), F.substring(F.col(f"`{html_column}`"), 1, TRAIN_CHARS).alias("h"))
+    sample = own.join(F.broadcast(chosen), "k").orderBy(F.xxhash64("h"), "k").limit(TRAIN_PAGES).collect()
     rng = random.Random(11)
     items, tags = [], []
     for row in sample:

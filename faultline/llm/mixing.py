@@ -87,7 +87,7 @@ def count_tokens(text: Column) -> Column:
 
 def mix_sources(docs: DataFrame, mix: Mix = Mix(), levels: Sequence[Column] | None = None, text: str = "text",
                 identity: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """`docs` with `_domain`, `_tokens` and `_epoch`: a row for each epoch that selects it.
+    """(row, domain, n_tokens, epoch): each row of `docs`, its columns in `row`, once for each epoch that selects it.
 
     Each epoch of a leaf is a seeded order of its rows; epochs follow each other and the leaf gives the longest
     prefix of rows within its budget, so no row is cut. Orders come from hashes, so a leaf is found by bucket sums
@@ -99,9 +99,10 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), levels: Sequence[Column] | No
     """
     levels = list(levels) if levels is not None else default_levels()
     names = [f"_l{i}" for i in range(len(levels))]
-    counted = docs.withColumns({n: c for n, c in zip(names, levels, strict=True)}).withColumns({
-        "_tokens": count_tokens(F.col(f"`{text}`").cast("string")),
-        "_key": F.xxhash64(*[F.col(f"`{c}`") for c in identity], F.col(f"`{text}`"))})
+    counted = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in zip(names, levels, strict=True)],
+        count_tokens(F.col(f"`{text}`").cast("string")).alias("_tokens"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in identity], F.col(f"`{text}`")).alias("_key"))
     keyed = stored(counted.select(*names, "_tokens", "_key"), "mix")
     leaves = keyed.groupBy(*names).agg(F.sum("_tokens").alias("n"), F.count("*").alias("rows")).collect()
     available = {tuple(r[n] for n in names): r.n for r in leaves}
@@ -142,7 +143,7 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), levels: Sequence[Column] | No
     epochs = F.when(F.col("full") + chosen.cast("long") > 0, F.sequence(
         F.lit(0).cast("long"), F.col("full") + chosen.cast("long") - 1))
     return marked.withColumn("_epoch", F.explode(epochs)).select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.col(names[0]).alias("_domain"), "_tokens", "_epoch")
+        "row", F.col(names[0]).alias("domain"), F.col("_tokens").alias("n_tokens"), F.col("_epoch").alias("epoch"))
 
 
 def default_levels(domains: int = 4) -> list[Column]:

@@ -76,7 +76,7 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with the measures as columns below `_q`; a null text has no words."""
+    """(row, measures): each row of `docs` as it is and what is counted in it; a null text has no words."""
     value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
 
     def of(words: Column, lines: Column) -> Column:
@@ -93,10 +93,11 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
 
     words = F.array_remove(F.split(value, SPACE_SPLIT), "")
     lines = F.filter(F.split(value, "\n"), lambda x: x.rlike(WORD))
-    return docs.withColumn("_q", _bound(words, lambda w: _bound(lines, lambda x: of(w, x))))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("row"), _bound(words, lambda w: _bound(lines, lambda x: of(w, x))).alias("measures"))
 
 
-def failed(rules: tuple[Rule, ...], measured: str = "_q") -> Column:
+def failed(rules: tuple[Rule, ...], measured: str = "measures") -> Column:
     """True where any rule of the table is broken."""
     def broken(rule: Rule) -> Column:
         top, bottom = F.col(f"{measured}.{rule.top}") * 100, F.col(f"{measured}.{rule.bottom}")
@@ -108,15 +109,15 @@ def failed(rules: tuple[Rule, ...], measured: str = "_q") -> Column:
 
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """`docs` with `_q`, `_base_failed` and `_kept`.
+    """(row, measures, base_failed, kept) of each row of `docs`; `row` holds its columns, whatever their names.
 
     Null, empty and blank texts have no words and fail. Every row is judged on its own whole text, so copies get
-    the same verdict; columns of `docs` keep their names, and an empty table stays empty.
+    the same verdict; an empty table stays empty.
     """
     return measures(docs, text).withColumns({
-        "_base_failed": failed(BASE), "_kept": ~(failed(BASE) | failed(rules))})
+        "base_failed": failed(BASE), "kept": ~(failed(BASE) | failed(rules))})
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """Only the rows that pass, with their own columns."""
-    return judge(docs, text).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judge(docs, text).where("kept").select(*[F.col(f"row.`{c}`") for c in docs.columns])

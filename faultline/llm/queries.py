@@ -46,8 +46,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of all tokens, domains weighted 4:3:2:1 and English twice as heavy as any other language."""
     weights = {(f"domain{i}",): 4 - i for i in range(4)} | {(f"domain{i}", "en"): 2 for i in range(4)}
     chosen = mixing.mix_sources(table(spark, sf_dir, "documents"), mixing.Mix(weights))
-    return chosen.select("doc_id", F.col("_domain").alias("domain"), "lang", "source",
-                         F.col("_tokens").alias("n_tokens"), F.col("_epoch").alias("epoch"))
+    return chosen.select("row.doc_id", "domain", "row.lang", "row.source", "n_tokens", "epoch")
 
 
 @query
@@ -60,8 +59,8 @@ def op6_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select(
-        "doc_id", *[f"_q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-        F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+        "row.doc_id", *[f"measures.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        "base_failed", "kept")
 
 
 @query

@@ -22,6 +22,8 @@ _KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 #: Rows with and without a pattern that the field is fitted on, at most.
 TRAIN_FOUND, TRAIN_OTHER = 1200, 600
 PLAIN_COPIES = 40
+#: Characters of a text that a training example takes; scans take all.
+SAMPLE_CHARS = 100_000
 #: Words looked at to either side of an odd word.
 REACH = 2
 
@@ -174,9 +176,8 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     found = text.rlike(r"(?i)password|passwd|secret|token|api_?key|AKIA[A-Z0-9]{12}|[0-9a-f]{32}")
     ids = docs.select(F.col(id_column).alias("k"), found.alias("f"), F.xxhash64(F.lit("secrets"), F.col(id_column)).alias("h"))
     chosen = ids.where("f").orderBy("h", "k").limit(TRAIN_FOUND).unionAll(ids.where("not f").orderBy("h", "k").limit(TRAIN_OTHER))
-    own = F.broadcast(chosen.select("k").distinct())
-    sample = docs.join(own, F.col(id_column).eqNullSafe(F.col("k"))).select(
-        "k", F.substring(text, 1, 200_000).alias("t")).orderBy(F.xxhash64("t"), "k").limit(TRAIN_FOUND + TRAIN_OTHER).collect()
+    own = docs.select(F.col(f"`{id_column}`").alias("k"), F.substring(text, 1, SAMPLE_CHARS).alias("t"))
+    sample = own.join(F.broadcast(chosen.select("k").distinct()), "k").orderBy(F.xxhash64("t"), "k").limit(TRAIN_FOUND + TRAIN_OTHER).collect()
     items, tags = [], []
     for row in sample:
         spans = base_spans(row.t)
