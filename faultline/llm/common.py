@@ -103,4 +103,4 @@ def take_rows(blocks: DataFrame, kept: DataFrame, docs: DataFrame, text_column:
 
     rows = blocks.groupBy("block").cogroup(kept.select("block", "doc").groupBy("block")).applyInArrow(
         run, f"row {row_type}, text string")
-    return rows.select(*[F.col("text").alias(c) if c == text_column else F.col(f"row.`{c}`") for c in docs.columns])
+    return rows.select(*[F.col("text").alias(c) if c == text_column else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import text_blocks, unpack
+from faultline.llm.common import flat_ids, row_blocks, take_rows, text_blocks, unpack
 from faultline.llm.graph import components
 from faultline.llm.shingles import shingle_sets
 from faultline.sources.scratch import stored
@@ -96,7 +96,7 @@ def _token_classes(blocks: DataFrame, bits: int) -> DataFrame:
 
 
 def _sets(blocks: DataFrame, classes: DataFrame, bits: int, id_type: str) -> DataFrame:
-    """(id, set_id, n, tokens) of each text; `tokens` holds the shared ones, rarest first, of the first text of a
+    """(block, doc, id, set_id, n, tokens) of each text; `tokens` holds the shared ones, rarest first, of the first text of a
     block with that set, where there are enough of them to link at all."""
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         sets, tokens, _ = _block_tokens(left["lengths"][0].as_py(), left["payload"][0].as_py())
@@ -114,11 +114,13 @@ def _sets(blocks: DataFrame, classes: DataFrame, bits: int, id_type: str) -> Dat
                     keep = np.flatnonzero(k)
                     part = own[keep][np.argsort(k[keep], kind="stable")].tobytes()
             shared.append(part)
-        return pa.table({"id": left["ids"].combine_chunks().flatten(), "set_id": pa.array(set_ids, pa.binary()),
+        own_block = left["block"][0].as_py()
+        return pa.table({"block": pa.array([own_block] * len(sets), pa.int64()), "doc": pa.array(range(len(sets)), pa.int32()),
+                         "id": flat_ids(left), "set_id": pa.array(set_ids, pa.binary()),
                          "n": pa.array([len(s) for s in sets], pa.int64()), "tokens": pa.array(shared, pa.binary())})
 
     return blocks.groupBy("block").cogroup(classes.groupBy("block")).applyInArrow(
-        join, f"id {id_type}, set_id binary, n long, tokens binary")
+        join, f"block long, doc int, id {id_type}, set_id binary, n long, tokens binary")
 
 
 class Lists:
@@ -229,16 +231,9 @@ def _search_clusters(sets: DataFrame, clusters: DataFrame) -> DataFrame:
     return components(links.unionAll(stored(met.groupBy("cluster", "part", "chunk").applyInArrow(_links, schema), "set-links")))
 
 
-def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row of `docs`.
-
-    Rows with equal sets are one set until the end, so copies cost nothing and are in one component. Null, empty and
-    blank texts have no shingles and are their own component; a null id is passed on and names a component only
-    where all its ids are null; rows alike are kept each; an empty table stays empty; other columns are not read.
-    Texts are read whole, and a task holds one block of them at a time.
-    """
-    id_type = docs.schema[id_column].dataType.simpleString()
-    blocks = text_blocks(docs, id_column, text_column)
+def _members(blocks: DataFrame) -> DataFrame:
+    """(block, doc, id, set_id, n, key) of each text; texts of one component have one key, empty sets none."""
+    id_type = blocks.schema["ids"].dataType.elementType.simpleString()
     size = blocks.agg(F.sum("size").alias("s")).first().s or 0
     bits = max(4, math.ceil(math.log2(max(1, size / 7 / RANGE_TOKENS))))
     rows = stored(_sets(blocks, _token_classes(blocks, bits), bits, id_type), "sets")
@@ -261,10 +256,37 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     labels = _search_clusters(sets, clusters)
 
     joined = sets.select("sid", "set_id").join(labels.withColumnRenamed("node", "sid"), "sid").select("set_id", "label")
-    named = rows.select("id", "set_id", "n").join(joined, "set_id", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce(
-        F.col("label").cast("string"), F.concat(F.lit("s"), F.hex("set_id"))).alias("key"))
-    named = stored(named, "members")
+    return stored(rows.drop("tokens").join(joined, "set_id", "left").select(
+        "block", "doc", "id", "set_id", "n",
+        F.coalesce(F.col("label").cast("string"), F.concat(F.lit("s"), F.hex("set_id"))).alias("key")), "members")
+
+
+def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) of every row of `docs`.
+
+    Rows with equal sets are one set until the end, so copies cost nothing and are in one component. Null, empty and
+    blank texts have no shingles and are their own component; a null id is passed on and names a component only
+    where all its ids are null; rows alike are kept each; an empty table stays empty; other columns are not read.
+    Texts are read whole, and a task holds one block of them at a time.
+    """
+    named = _members(text_blocks(docs, id_column, text_column))
     smallest = named.where("key is not null").groupBy("key").agg(F.min("id").alias("component_id"))
-    full = named.where("key is not null").join(smallest, "key").select("id", "n_shingles", "component_id")
-    alone = named.where("key is null").select("id", "n_shingles", F.col("id").alias("component_id"))
-    return full.unionAll(alone).withColumnRenamed("id", id_column)
+    full = named.where("key is not null").join(smallest, "key").select(
+        F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id")
+    alone = named.where("key is null").select(
+        F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    return full.unionAll(alone)
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of `docs` with one of each component: that of the smallest id (null last), then the smallest set.
+
+    Of rows alike one stays; texts without words are linked with nothing and all stay; columns are as they were.
+    """
+    blocks = row_blocks(docs, text_column)
+    named = _members(blocks)
+    own = F.col(f"id.`{id_column}`")
+    first = named.where("key is not null").groupBy("key").agg(
+        F.min(F.struct(own.isNull().alias("none"), own.alias("id"), "set_id", "block", "doc")).alias("one"))
+    kept = first.select("one.block", "one.doc").unionAll(named.where("key is null").select("block", "doc"))
+    return take_rows(blocks, kept, docs, text_column)

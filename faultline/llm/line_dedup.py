@@ -192,13 +192,13 @@ def _cut(blocks: DataFrame, runs: DataFrame, docs: DataFrame, text_column: str)
 
     rows = blocks.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(
         run, f"row {row_type}, text string, lines long, removed long")
-    columns = [F.col("text").alias(c) if c == text_column else F.col(f"row.`{c}`") for c in docs.columns]
-    return rows.select(*columns, F.col("lines").alias("_lines"), F.col("removed").alias("_removed"))
+    columns = [F.col("text").alias(c) if c == text_column else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return rows.select(F.struct(*columns).alias("row"), F.col("lines").alias("n_lines"), F.col("removed").alias("n_removed"))
 
 
 def remove_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                           min_words: int = MIN_WORDS) -> DataFrame:
-    """`docs` with shortened texts, `_lines` (lines with a word) and `_removed` (those that went).
+    """(row, n_lines, n_removed): rows of `docs` with shortened texts, lines with a word, and those of them that went.
 
     Kept is the copy of the smallest id (null first), then of the smallest hash of the text, then the first line;
     rows alike are copies of each other and all but one lose what qualifies. Copies within a text count too. Null

@@ -32,8 +32,8 @@ def op2_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of lines and what is left of each text once later copies of line runs of 50 words or more are gone."""
     left = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"))
-    return left.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"),
-                       F.octet_length("text").cast("long").alias("n_bytes_kept"), F.sha2("text", 256).alias("kept_sha256"))
+    return left.select("row.doc_id", "n_lines", "n_removed", F.octet_length("row.text").cast("long").alias("n_bytes_kept"),
+                       F.sha2("row.text", 256).alias("kept_sha256"))
 
 
 @query
