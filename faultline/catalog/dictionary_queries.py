@@ -54,7 +54,7 @@ query("group_head", f"""SELECT code, topology, (SELECT first(x.system_name ORDER
   FROM (SELECT DISTINCT code, topology FROM grouped) g""")(
     lambda s, d: D.group_sizes(lines(s, d), CONFIG.limits).select("code", "topology", "system_name"))
 _pieces = f"""SELECT l.code, l.topology, piece, count(*) AS n_rows, coalesce(string_agg(line, chr(10) ORDER BY row_id), '') AS batch_text
-  FROM (SELECT l.*, CASE WHEN n_pieces > 1 THEN CAST('0x' || substr(md5(CAST(row_id AS VARCHAR)), 1, 8) AS BIGINT) % n_pieces ELSE 0 END AS piece
+  FROM (SELECT l.*, CASE WHEN n_pieces > 1 THEN CAST('0x' || substr(md5(concat_ws(chr(31), CAST(row_id AS VARCHAR), line)), 1, 8) AS BIGINT) % n_pieces ELSE 0 END AS piece
         FROM {_lines} l JOIN ({_sizes}) s ON l.code = s.code AND l.topology = s.topology) l GROUP BY l.code, l.topology, piece"""
 query("batch_text", f"SELECT code, topology, piece, n_rows, md5(batch_text) AS text_md5 FROM ({_pieces})")(
     lambda s, d: D.group_batches(lines(s, d), SMALL.limits).select(
@@ -86,9 +86,9 @@ _ITEMS = f"""SELECT code, topology, piece, n, pos, {S.strip("json_extract_string
         FROM ({_BATCH}) WHERE status = 'ok')"""
 _BUILT = f"""SELECT code, topology, row_number() OVER (PARTITION BY code, topology ORDER BY place) - 1 AS pos, failure_mode, mechanism, cause, symptom, frequency FROM (
   SELECT code, topology, min([piece, pos]) AS place, failure_mode, mechanism, cause, symptom, CAST(sum(frequency) AS BIGINT) AS frequency FROM ({_ITEMS})
-  WHERE failure_mode <> '' GROUP BY code, topology, failure_mode, mechanism, cause, symptom, CASE WHEN n = 1 THEN pos ELSE -1 END)"""
+  WHERE failure_mode <> '' GROUP BY code, topology, failure_mode, mechanism, cause, symptom)"""
 query("build_dictionary", _BUILT)(lambda s, d: mode_rows(built(s, d)))
-query("phase3", f"""SELECT code, topology, CASE WHEN count(DISTINCT piece) > 1 THEN 'Inspect|Replace' ELSE 'Inspect|Replace|Inspect' END AS actions,
+query("phase3", f"""SELECT code, topology, (SELECT string_agg(x, '|' ORDER BY place) FROM (SELECT x, min([piece, pos]) AS place FROM (SELECT a.piece, unnest(range(len(json_extract_string(a.j, '$.Empirical_Actions_Taken[*]')))) AS pos, unnest(json_extract_string(a.j, '$.Empirical_Actions_Taken[*]')) AS x FROM (SELECT * FROM ({_BATCH}) WHERE status = 'ok') a WHERE a.code = t.code AND a.topology = t.topology) GROUP BY x)) AS actions,
   (SELECT count(*) FROM ({_BUILT}) b WHERE b.code = t.code AND b.topology = t.topology) AS n_modes,
   (SELECT CAST(sum(frequency) AS BIGINT) FROM ({_BUILT}) b WHERE b.code = t.code AND b.topology = t.topology) AS n_logs
   FROM ({_BATCH}) t WHERE status = 'ok' GROUP BY code, topology""")(

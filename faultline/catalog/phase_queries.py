@@ -117,8 +117,9 @@ query("phase2", "SELECT row_id, p2_complete AS complete, p2_reasoning AS reasoni
         c("P2_Confidence").alias("confidence"), c("P2_Requires_Relabel").alias("relabel")))
 query("relabel_select", "SELECT row_id FROM p2b WHERE to_relabel")(
     lambda s, d: p2_rows(s, d).where(routing.needs_relabel()).select("row_id"))
-query("phase2b", "SELECT row_id, p2b_complete AS complete, p2b_code AS code, p2b_suggested AS suggested, p2b_reasoning AS reasoning, p2b_confidence AS confidence, p2b_flag AS flag FROM p2bx")(
-    lambda s, d: p2b_rows(s, d).select("row_id", c("P2_Relabel_Complete").alias("complete"), *[
+query("phase2b", "SELECT row_id, CASE WHEN NOT coalesce(to_relabel, false) THEN 'not_needed' WHEN p2b_complete THEN 'ok' ELSE 'other' END AS status, p2b_complete AS complete, p2b_code AS code, p2b_suggested AS suggested, p2b_reasoning AS reasoning, p2b_confidence AS confidence, p2b_flag AS flag FROM p2bx")(
+    lambda s, d: p2b_rows(s, d).select("row_id", F.when(c("P2_Relabel_Status").isin("ok", "not_needed"), c("P2_Relabel_Status")).otherwise("other").alias("status"),
+        c("P2_Relabel_Complete").alias("complete"), *[
         c(f"P2_Relabel_{n}").alias(a) for n, a in (("System_Code", "code"), ("Suggested_Code", "suggested"),
                                                  ("Reasoning", "reasoning"), ("Confidence", "confidence"), ("Review_Flag", "flag"))]))
 query("merge_codes", f"SELECT wo_id, row_id, system_code AS legacy_system_code, merged_code AS merged_system_code, "

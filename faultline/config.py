@@ -123,7 +123,6 @@ class Limits:
     """Size bounds of single cells and of what may be broadcast."""
 
     batch_chars: int = 4_000_000
-    branch_chars: int = 4_000_000
     page_lines: int = 10_000
     broadcast_bytes: int = 64 << 20
 

@@ -37,7 +37,7 @@ def group_sizes(lines: DataFrame, limits: Limits) -> DataFrame:
     return lines.groupBy("code", "topology").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum("n_chars").alias("n_chars"),
-        F.min_by("system_name", "row_id").alias("system_name"),
+        F.min_by("system_name", F.struct("row_id", "system_name")).alias("system_name"),
     ).withColumn("n_pieces", F.greatest(
         F.ceil(F.col("n_chars") / limits.batch_chars).cast("bigint"), F.lit(1).cast("bigint")))
 
@@ -52,30 +52,38 @@ def line_chars(line: Column) -> Column:
     return F.coalesce(F.length(line).cast("bigint") + 1, F.lit(0).cast("bigint"))
 
 
-def salt(row_id: Column, n: Column) -> Column:
-    """Even spread of row identities over n pieces, the same in every run."""
-    digits = F.substring(F.md5(row_id.cast("string")), 1, 8)
-    return F.when(n > 1, F.conv(digits, 16, 10).cast("bigint") % n).otherwise(F.lit(0).cast("bigint"))
+def salt(row_id: Column, line: Column, n: Column) -> Column:
+    """Even spread of lines over n pieces, the same in every run; rows without a number differ by their text."""
+    known = F.concat_ws("\u001f", row_id.cast("string"), line)
+    return F.conv(F.substring(F.md5(known), 1, 8), 16, 10).cast("bigint") % n
 
 
 def group_batches(lines: DataFrame, limits: Limits) -> DataFrame:
-    """(code, topology, piece, n_pieces, system_name, n_rows, batch_text), text in row order.
+    """(code, topology, piece, n_pieces, system_name, n_rows, batch_text), text in order of row_id and line.
 
     A group within `limits.batch_chars` is one piece with its whole text. A larger one is
     spread over as many pieces as it needs, each line in exactly one, so no task ever gathers
-    a hot group; the dictionary built from the pieces is merged again.
+    a hot group; the dictionary built from the pieces is merged again. Lines that are alike in
+    number and text are counted first and dealt to the pieces in turn, so that copies are spread
+    as well and a second run makes the same pieces.
     """
     sizes = group_sizes(lines, limits)
     head = broadcast_if_small(
         sizes.select("code", "topology", "n_pieces", "system_name"), limits.broadcast_bytes)
-    pieces = (lines.select("code", "topology", "row_id", "line")
-              .join(head, ["code", "topology"])
-              .withColumn("piece", salt(F.col("row_id"), F.col("n_pieces"))))
+    keys = ["code", "topology", "n_pieces", "system_name"]
+    placed = lines.select("code", "topology", "row_id", "line").join(head, ["code", "topology"])
+    whole = placed.where("n_pieces = 1").select(*keys, "row_id", "line", F.lit(0).cast("bigint").alias("piece"),
+                                                F.lit(1).cast("bigint").alias("times"))
+    alike = placed.where("n_pieces > 1").groupBy(*keys, "row_id", "line").agg(F.count(F.lit(1)).alias("n"))
+    turn = F.explode(F.sequence(F.lit(0).cast("bigint"), F.least("n", "n_pieces") - 1))
+    dealt = alike.withColumn("k", turn).select(
+        *keys, "row_id", "line", ((salt(F.col("row_id"), F.col("line"), F.col("n_pieces")) + F.col("k")) % F.col("n_pieces")).alias("piece"),
+        F.floor((F.col("n") - F.col("k") - 1) / F.col("n_pieces") + 1).cast("bigint").alias("times"))
     gathered = F.sort_array(F.collect_list(
-        F.when(F.col("line").isNotNull(), F.struct("row_id", "line"))))
-    return pieces.groupBy("code", "topology", "piece", "n_pieces", "system_name").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.array_join(F.transform(gathered, lambda x: x["line"]), "\n").alias("batch_text"))
+        F.when(F.col("line").isNotNull(), F.struct("row_id", "line", "times"))))
+    repeated = F.flatten(F.transform(gathered, lambda x: F.array_repeat(x["line"], x["times"].cast("int"))))
+    return whole.unionByName(dealt).groupBy("code", "topology", "piece", "n_pieces", "system_name").agg(
+        F.sum("times").alias("n_rows"), F.array_join(repeated, "\n").alias("batch_text"))
 
 
 # ---- extraction results
@@ -99,43 +107,50 @@ def extracted_actions(answer: str = "answer") -> Column:
     return F.try_variant_get(answer, "$.Empirical_Actions_Taken", "array<string>")
 
 
-def build_dictionary(answers: DataFrame) -> DataFrame:
-    """Entries from valid extraction answers (code, topology, piece, answer).
+def merge_lists(lists: DataFrame) -> DataFrame:
+    """One entry per (code, topology) from rows (code, topology, piece, actions, modes).
 
-    A group answered in one piece keeps its lists as they came. The lists of several pieces
-    are merged: equal actions once, equal modes once with their frequencies summed. Merging
-    sums before it gathers, so a gathered list is as long as what is distinct in it.
+    One rule for any number of pieces: equal actions once, equal modes once with their frequencies
+    summed, both in order of first place. It sums before it gathers, so a gathered list is as long
+    as what is distinct in it.
     """
-    lists = answers.select("code", "topology", "piece",
-                           extracted_actions().alias("actions"), extracted_modes().alias("modes"))
     keys = ["code", "topology"]
+    place = F.min(F.struct("piece", "pos")).alias("place")
 
-    def positions(name: str) -> DataFrame:
+    def items(name: str) -> DataFrame:
         return lists.select(*keys, "piece", F.posexplode(name).alias("pos", "item"))
 
-    # one answer alone keeps duplicates by position; with several, position no longer tells
-    count = lists.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    single = F.when(F.col("n") == 1, F.col("pos")).otherwise(-1).alias("own")
-    place = F.min(F.struct("piece", "pos")).alias("place")
-
-    def gather(items: DataFrame, value: Column, name: str) -> DataFrame:
-        return items.groupBy(*keys).agg(F.transform(
+    def gather(found: DataFrame, value: Column, name: str) -> DataFrame:
+        return found.groupBy(*keys).agg(F.transform(
             F.sort_array(F.collect_list(F.struct("place", value.alias("value")))),
             lambda x: x["value"]).alias(name))
 
-    actions = (positions("actions").join(count, keys)
-               .groupBy(*keys, single, "item").agg(place))
-    modes = (positions("modes").join(count, keys)
-             .select(*keys, "piece", "pos", single,
-                     *[F.col(f"item.{f}").alias(f) for f in TEXT_FIELDS], F.col("item.frequency").alias("frequency"))
-             .groupBy(*keys, "own", *TEXT_FIELDS)
-             .agg(place, F.sum("frequency").alias("frequency")))
-    return (count.select(*keys)
-            .join(gather(actions, F.col("item"), "actions"), keys, "left")
-            .join(gather(modes, F.struct(*TEXT_FIELDS, "frequency"), "modes"), keys, "left")
-            .select(*keys,
-                    F.coalesce("actions", F.array().cast("array<string>")).alias("actions"),
-                    F.coalesce("modes", F.array().cast(f"array<{MODE_TYPE}>")).alias("modes")))
+    actions = items("actions").groupBy(*keys, "item").agg(place)
+    modes = (items("modes")
+             .select(*keys, "piece", "pos", *[F.col(f"item.{f}").alias(f) for f in TEXT_FIELDS],
+                     F.col("item.frequency").alias("frequency"))
+             .groupBy(*keys, *TEXT_FIELDS).agg(place, F.sum("frequency").alias("frequency")))
+
+    def attach(rows: DataFrame, side: DataFrame, name: str) -> DataFrame:
+        side = side.select(F.col("code").alias("_c"), F.col("topology").alias("_t"), name)
+        return rows.join(side, F.col("code").eqNullSafe(F.col("_c")) & F.col("topology").eqNullSafe(F.col("_t")), "left").drop("_c", "_t")
+
+    entries = attach(attach(lists.select(*keys).distinct(), gather(actions, F.col("item"), "actions"), "actions"),
+                     gather(modes, F.struct(*TEXT_FIELDS, "frequency"), "modes"), "modes")
+    return entries.select(
+        *keys, F.coalesce("actions", F.array().cast("array<string>")).alias("actions"),
+        F.coalesce("modes", F.array().cast(f"array<{MODE_TYPE}>")).alias("modes"))
+
+
+def build_dictionary(answers: DataFrame) -> DataFrame:
+    """Entries from valid extraction answers (code, topology, piece, answer)."""
+    return merge_lists(answers.select(
+        "code", "topology", "piece", extracted_actions().alias("actions"), extracted_modes().alias("modes")))
+
+
+def one_per_key(entries: DataFrame) -> DataFrame:
+    """Entries of a dictionary that may list a key more than once, merged by the rule of pieces."""
+    return merge_lists(entries.select("code", "topology", F.lit(0).alias("piece"), "actions", "modes"))
 
 
 def mode_frequency(entries: DataFrame) -> DataFrame:
@@ -154,7 +169,7 @@ def lookup_entries(pairs: DataFrame, entries: DataFrame) -> DataFrame:
     the only variant there is. Every join is at most one to one, so nothing fans out; only keys
     travel, the lists stay behind.
     """
-    keys = entries.select("code", "topology")
+    keys = entries.select("code", "topology").distinct()
     flat = keys.where(F.col("topology").isNull()).select("code", F.lit(True).alias("flat")).distinct()
     named = keys.where(F.col("topology").isNotNull())
     exact = named.select("code", "topology", F.lit(True).alias("exact"))
@@ -175,7 +190,9 @@ def attach_entry(rows: DataFrame, entries: DataFrame, columns: Sequence[str], li
     """Adds `columns` of the entry each row resolves to; NULL where there is none."""
     pairs = rows.select("code", "topology").distinct()
     found = lookup_entries(pairs, entries).where("found")
-    side = entries.select(F.col("code").alias("_code"), F.col("topology").alias("_topology"), *columns)
+    # a key that is listed again must not multiply rows: the greatest of its values holds
+    side = entries.groupBy(F.col("code").alias("_code"), F.col("topology").alias("_topology")).agg(
+        F.max(F.struct(*columns)).alias("_entry")).select("_code", "_topology", "_entry.*")
     resolved = found.join(
         side, (F.col("code") == F.col("_code")) & F.col("entry_topology").eqNullSafe(F.col("_topology")))
     resolved = broadcast_if_small(resolved.select("code", "topology", *columns), limits.broadcast_bytes)

@@ -16,7 +16,7 @@ def broadcast_if_small(df: DataFrame, limit_bytes: int) -> DataFrame:
     execution splits the partitions of a hot key.
     """
     kept = stored(df, "lookup")
-    width = F.length(F.to_json(F.struct(*[F.col(c) for c in kept.columns])))
+    width = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in kept.columns])))
     total = kept.agg(F.sum(width.cast("bigint"))).first()[0] or 0
     return F.broadcast(kept) if 2 * total <= limit_bytes else kept
 

@@ -49,6 +49,9 @@ def extraction_prompt(config: Config) -> Column:
 
 
 def dictionary_from_answers(calls: DataFrame, answers: DataFrame, key: str = "call_id") -> DataFrame:
-    """Entries of all groups with a valid answer; a failed one is left out and stays pending."""
+    """Entries of all groups whose pieces all have a valid answer; others are left out and stay pending."""
     good = answers.where(F.col("status") == "ok").select(key, "answer")
-    return build_dictionary(calls.select("code", "topology", "piece", key).join(good, key))
+    answered = calls.select("code", "topology", "piece", "n_pieces", key).join(good, key)
+    whole = answered.groupBy("code", "topology").agg(
+        F.count_distinct("piece").alias("_have"), F.max("n_pieces").alias("_need")).where("_have = _need")
+    return build_dictionary(answered.join(whole.select("code", "topology"), ["code", "topology"], "left_semi"))

@@ -8,6 +8,7 @@ they share is what makes a second run cheap: it asks only what is new.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from uuid import uuid4
@@ -19,14 +20,14 @@ from faultline.config import ROUTE_BYPASSED, Config
 from faultline.functions.contract import (
     AUDIT, CLASSIFICATION, EXTRACTION, OPERATIONAL, SEMANTIC, Contract, check_response, parse_response,
 )
-from faultline.operators.dictionary import line_chars
+from faultline.operators.dictionary import line_chars, one_per_key
 from faultline.operators.hooks import Labeller
 from faultline.operators.ledger import answers, label_pending, read_ledger
 from faultline.operators.merge import merge_codes, merge_failures, merge_labels, with_qa_status
 from faultline.operators.routing import needs_relabel, with_route
 from faultline.operators.sizes import broadcast_if_small
 from faultline.operators.taxonomy import (
-    branch_members, branch_texts, require_pitch_prefixes, taxonomy_nodes, with_order,
+    branch_members, branch_texts, require_pitch_prefixes, row_branch, taxonomy_nodes, with_order,
 )
 from faultline.plans import codes, extraction, labels
 
@@ -39,7 +40,8 @@ class Run:
     folder: str
     config: Config
     labeller: Labeller
-    partitions: int | None = None
+    partitions: int = 10
+    extraction_partitions: int = 5
     slices: int = 1
     name: str = field(default_factory=lambda: uuid4().hex)
 
@@ -54,7 +56,7 @@ class Run:
         """Writes a step's result, in one folder per value of `by`, and goes on from the written table."""
         writer = df.write.mode("overwrite")
         (writer.partitionBy(by) if by else writer).parquet(self.path(name))
-        return self.spark.read.parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def ask(self, phase: str, contract: Contract, calls: DataFrame,
             prompt: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame], DataFrame] | None = None,
@@ -63,7 +65,8 @@ class Run:
         label_pending(calls, self.ledger, phase, contract, system_prompt or self.config.prompts.engineer,
                       self.labeller, prompt,
                       check or (lambda df: check_response(df, contract)),
-                      self.config.rules.max_attempts, self.partitions, self.slices)
+                      self.config.rules.max_attempts,
+                      self.extraction_partitions if phase == extraction.P3 else self.partitions, self.slices)
         return self.answers(phase)
 
     def answers(self, phase: str) -> DataFrame:
@@ -80,11 +83,14 @@ def run_codes(run: Run, rows: DataFrame, taxonomy: DataFrame) -> tuple[DataFrame
     routed = with_route(rows, config.taxonomy)
     require_pitch_prefixes(routed, F.col("route") != ROUTE_BYPASSED, config.taxonomy)
     members = branch_members(with_order(taxonomy_nodes(taxonomy)), config.taxonomy)
-    texts = run.table("branches", branch_texts(members, config.limits))
+    shown_to = row_branch(F.col("system_code"), F.col("descriptions"), config.taxonomy)
+    wanted = routed.select(F.explode(F.array(F.when(F.col("route") != ROUTE_BYPASSED, shown_to), F.when(
+        F.col("route") == ROUTE_BYPASSED, "all"))).alias("branch")).where("branch IS NOT NULL")
+    texts = run.table("branches", branch_texts(members, config.limits, wanted))
     named = codes.correction_rows(codes.with_prompt_parts(routed, config), texts, config)
     named = codes.relabel_rows(codes.audit_rows(named, config), texts, config)
     # work-order numbers may repeat, so rows get a key of their own, fixed once they are stored
-    keyed = named.drop(*codes.PARTS, "parts_hash").withColumn("row_key", F.monotonically_increasing_id())
+    keyed = named.drop(*codes.PARTS.values(), "parts_hash").withColumn("row_key", F.monotonically_increasing_id())
     stored = run.table("work_orders", keyed, by="route")
     calls_of = codes.with_prompt_parts(stored, config)
     shown = broadcast_if_small(
@@ -97,8 +103,9 @@ def run_codes(run: Run, rows: DataFrame, taxonomy: DataFrame) -> tuple[DataFrame
     p1 = run.ask(codes.P1, CLASSIFICATION, codes.classification_calls(calls_of, codes.P1), classify)
     p2 = run.ask(codes.P2, AUDIT, codes.audit_calls(calls_of),
                  lambda calls: calls.withColumn("prompt", codes.audit_prompt(config)), system_prompt=config.prompts.auditor)
+    kept = [c for c in ("Legacy_System_Code",) if c in rows.columns]
     plan = stored.select("row_key", "row_id", "system_code", "route", "P1_Audit_Exempt", "P1_branch_problem",
-                         "P1_call", "P2_call", "P2_RELABEL_call")
+                         "P2_RELABEL_branch_problem", "P1_call", "P2_call", "P2_RELABEL_call", *kept)
     asked, bypassed = plan.where(F.col("route") != ROUTE_BYPASSED), plan.where(F.col("route") == ROUTE_BYPASSED)
     audited = run.table("audited", codes.apply_audit(codes.apply_correction(asked, p1), None).unionByName(
         codes.apply_audit(codes.apply_correction(bypassed, None), p2)))
@@ -108,7 +115,7 @@ def run_codes(run: Run, rows: DataFrame, taxonomy: DataFrame) -> tuple[DataFrame
                   classify)
     relabelled = codes.apply_split(audited, needs_relabel(), p2b, codes.apply_relabel)
     merged = merge_codes(relabelled, config.rules.code_gate).drop(
-        "row_id", "system_code", "route", "P1_branch_problem", "P1_call", "P2_call", "P2_RELABEL_call")
+        "row_id", "system_code", "route", "P1_branch_problem", "P2_RELABEL_branch_problem", "P1_call", "P2_call", "P2_RELABEL_call")
     return stored.select("row_key", *rows.columns), run.table("codes", merged)
 
 
@@ -162,9 +169,14 @@ def finish(rows: DataFrame, coded: DataFrame, labelled: DataFrame, config: Confi
     return with_qa_status(merge_failures(merge_labels(joined, config.rules), config.rules), config.rules.qa)
 
 
+#: Names of the job's own results. Those of an earlier pass are made anew; legacy copies, which are not among them, stay.
+RESULTS = re.compile(r"(P1|P2|P2_Relabel|P4|Merged)_\w+|\w+_Corrected_Flag|QA_Status|code_mismatch", re.I)
+
+
 def full_run(run: Run, rows: DataFrame, taxonomy: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
-    """Everything in order. Pass an edited `dictionary` to label with that instead."""
+    """Everything in order, also on the result of an earlier pass. Pass an edited `dictionary` to label with that instead."""
+    rows = rows.drop(*[c for c in rows.columns if RESULTS.fullmatch(c)])
     rows, coded = run_codes(run, rows, taxonomy)
     grouped = with_codes(run, rows, coded)
-    entries = dictionary if dictionary is not None else run_dictionary(run, grouped)
+    entries = run.table("dictionary", one_per_key(dictionary)) if dictionary is not None else run_dictionary(run, grouped)
     return finish(rows, coded, run_labels(run, grouped, entries), run.config)

@@ -59,6 +59,28 @@ def test_second_run_asks_nothing_and_one_partition_gives_the_same(spark, inputs,
     assert pieces > read_ledger(spark, run.ledger, "P3").count()
 
 
+def test_second_pass_over_a_result_keeps_legacy_copies_and_asks_nothing(spark, inputs, finished):
+    run, result = finished
+    calls = read_ledger(spark, run.ledger).count()
+    again = full_run(Run(spark, run.folder, CONFIG, keyword_labeller), result, inputs[1])
+    assert read_ledger(spark, run.ledger).count() == calls
+    columns = ["row_id", "Legacy_System_Code", "Legacy_Maintenance_Type", "Merged_System_Code", "QA_Status", "P2_Status", "P2_Relabel_Status"]
+    assert content(again.select(columns)) == content(result.select(columns))
+
+
+def test_no_rows_give_no_rows(spark, inputs, tmp_path):
+    empty = full_run(Run(spark, str(tmp_path), CONFIG, keyword_labeller), inputs[0].limit(0), inputs[1])
+    assert empty.isEmpty() and "QA_Status" in empty.columns
+
+
+def test_each_phase_asks_in_as_many_tasks_as_set(spark, inputs, finished):
+    """Also where texts are joined by a key that all rows share: calls are dealt after the join."""
+    run, result = finished
+    asked = read_ledger(spark, run.ledger).groupBy("phase").count().collect()
+    assert {r.phase for r in asked} >= {"P1", "P2", "P3", "P4_OPERATIONAL"}
+    assert result.where("P2_Requires_Relabel AND P2_Relabel_Status NOT IN ('ok', 'config_error', 'error', 'invalid')").isEmpty()
+
+
 def test_ledger_reports(spark, finished):
     run, _ = finished
     totals = run_totals(ledger_metrics(read_ledger(spark, run.ledger), CONFIG.pricing)).first()

@@ -11,6 +11,7 @@ from faultline.errors import DataError
 from faultline.operators import dictionary as D
 from faultline.operators import merge, metrics, prompts
 from faultline.operators.joins import merge_tables
+from faultline.plans import extraction
 from faultline.sources import dictionary_json as J
 from faultline.sources import tables
 
@@ -37,6 +38,40 @@ def test_csv_edges(spark, tmp_path):
         "Manufacturer", "Turbine_Model", "Drive_Type", "Generator_Type", "Pitch_Type", "Yaw_Brake_Type"]
 
 
+def test_folders_are_known_by_their_files(spark, tmp_path):
+    spark.createDataFrame([("1", "x")], "WO_ID string, Descriptions string").write.parquet(str(tmp_path / "orders"))
+    assert [r.WO_ID for r in tables.load_work_orders(spark, str(tmp_path / "orders")).collect()] == ["1"]
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "a.csv").write_text("WO_ID,Descriptions\n007,y\n")
+    assert [r.WO_ID for r in tables.load_work_orders(spark, str(tmp_path / "odd")).collect()] == ["007"]
+    assert tables.load_work_orders(spark, str(tmp_path / "odd"), fmt="csv").count() == 1
+
+
+def test_taxonomy_order_follows_files_and_rows(spark, tmp_path):
+    folder = tmp_path / "tax"
+    folder.mkdir()
+    (folder / "part-0.csv").write_text("Code,Name\n=A,first\n")
+    (folder / "part-1.csv").write_text("Code,Name\n" + "".join(f"=B{i},n{i}\n" for i in range(500)))
+    got = [r.code for r in tables.load_taxonomy(spark, str(folder)).orderBy("ord").collect()]
+    assert got == ["=A"] + [f"=B{i}" for i in range(500)]
+
+
+def test_own_names_of_the_user_come_back(spark):
+    df = spark.createDataFrame([("1", "text", "mine", 7, "b")], "WO_ID string, Long_Text string, descriptions string, row_id long, Branch string")
+    columns = ColumnMap(descriptions="Long_Text")
+    mapped = tables.map_columns(df, columns)
+    assert mapped.first().descriptions == "text"
+    back = tables.user_columns(mapped, columns).first()
+    assert (back.Long_Text, back.descriptions, back.row_id, back.Branch) == ("text", "mine", 7, "b")
+
+
+def test_csv_export_overwrites(spark, tmp_path):
+    df = spark.createDataFrame([("1", "Pass")], "WO_ID string, QA_Status string")
+    for _ in range(2):
+        tables.export_final(df, str(tmp_path / "out"), fmt="csv")
+    assert tables.load_work_orders(spark, str(tmp_path / "out")).count() == 1
+
+
 def test_missing_and_empty_files(spark, tmp_path):
     with pytest.raises(DataError):
         tables.load_work_orders(spark, str(tmp_path / "none.csv"))
@@ -151,19 +186,48 @@ def answer(modes, actions):
         {"Failure_Mode": m, "Mechanism": "", "Cause": "c ", "Symptom_Effect": "s", "Frequency_in_Logs": n} for m, n in modes]})
 
 
-def test_pieces_are_merged_and_single_answers_kept(spark):
+def test_one_rule_merges_any_number_of_pieces(spark):
     df = spark.createDataFrame([
         ("one", "t", 0, answer([("A", 1), (" ", 9), ("A", 2)], ["x", "x"])),
         ("two", "t", 0, answer([("A", 1), ("B", 1)], ["x"])), ("two", "t", 1, answer([("C", 4), ("A", 5)], ["y", "x"])),
         ("none", "t", 0, answer([], []))], "code string, topology string, piece long, raw string")
     got = {r.code: r for r in D.build_dictionary(df.withColumn("answer", F.parse_json("raw"))).collect()}
-    assert [(m.failure_mode, m.cause, m.frequency) for m in got["one"].modes] == [("A", "c", 1), ("A", "c", 2)]
-    assert got["one"].actions == ["x", "x"]
+    assert [(m.failure_mode, m.cause, m.frequency) for m in got["one"].modes] == [("A", "c", 3)]
+    assert got["one"].actions == ["x"]
     assert [(m.failure_mode, m.frequency) for m in got["two"].modes] == [("A", 6), ("B", 1), ("C", 4)]
     assert got["two"].actions == ["x", "y"]
     assert got["none"].modes == [] and got["none"].actions == []
 
 
+def test_a_failed_piece_withholds_the_group(spark):
+    calls = spark.createDataFrame([("a", "t", 0, 2, "k0"), ("a", "t", 1, 2, "k1"), ("b", "t", 0, 1, "k2")],
+                                  "code string, topology string, piece long, n_pieces long, call_id string")
+    good = answer([("A", 1)], ["x"])
+    answers = spark.createDataFrame([("k0", "ok", good), ("k1", "invalid", None), ("k2", "ok", good)],
+                                    "call_id string, status string, raw string").withColumn("answer", F.try_parse_json("raw"))
+    assert [r.code for r in extraction.dictionary_from_answers(calls, answers).collect()] == ["b"]
+
+
+def test_copies_and_missing_numbers_are_spread(spark):
+    alike = spark.range(1000).select(
+        F.lit("c").alias("code"), F.lit("t").alias("topology"), F.lit(None).cast("string").alias("row_id"), F.lit("n").alias("system_name"),
+        F.lit("- the same").alias("line")).withColumn("n_chars", D.line_chars(F.col("line")))
+    other = alike.limit(1).drop("line").crossJoin(spark.range(1000).select(F.concat(F.lit("- x"), "id").alias("line"))).select(*alike.columns)
+    pieces = D.group_batches(alike.unionByName(other), Limits(batch_chars=2000)).collect()
+    assert sum(p.n_rows for p in pieces) == 2000 and len(pieces) == pieces[0].n_pieces
+    assert max(p.n_rows for p in pieces) < 2 * 2000 / len(pieces) + 20
+    assert sum(p.batch_text.split("\n").count("- the same") for p in pieces) == 1000
+
+
+def test_repeated_entries_do_not_multiply_rows(spark):
+    mode = [("A", "", "", "", 1)]
+    entries = spark.createDataFrame([("c", "t", ["x"], mode), ("c", "t", ["x", "y"], mode), ("d", None, ["z"], [])], D.ENTRY_SCHEMA)
+    rows = spark.createDataFrame([(1, "c", "t"), (2, "c", "t"), (3, "d", "t")], "row_id int, code string, topology string")
+    assert D.attach_entry(rows, entries, ["actions"], Limits()).count() == 3
+    once = {r.code: r for r in D.one_per_key(entries).collect()}
+    assert once["c"].actions == ["x", "y"] and once["c"].modes[0].frequency == 2 and once["d"].topology is None
+
+
 def test_options(spark):
     one = spark.createDataFrame([(1,)], "i int")
 
