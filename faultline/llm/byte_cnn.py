@@ -42,15 +42,15 @@ class Network:
         return [self.embed, self.filters, self.filter_bias, self.weights, self.bias]
 
 
-def _lay_out(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(padded bytes, first chunk of each text): each text starts on the stride and ends in zeros, so its chunks
-    never reach the next text and do not depend on its place in the batch."""
-    chunks = -(-np.maximum(lengths, 1) // STRIDE) + WIDTH // STRIDE
-    starts = np.concatenate([[0], np.cumsum(chunks)])
+def _lay_out(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(padded bytes, first and end chunk of each text): each text starts on the stride and ends in zeros, and its
+    chunks are those that begin in it, so they never reach the next text or depend on the text's place."""
+    chunks = -(-np.maximum(lengths, 1) // STRIDE)
+    starts = np.concatenate([[0], np.cumsum(chunks + WIDTH // STRIDE)])
     padded = np.zeros(int(starts[-1]) * STRIDE + WIDTH, np.uint8)
     before = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     padded[np.arange(len(data)) + np.repeat(starts[:-1] * STRIDE - before, lengths)] = data
-    return padded, starts
+    return padded, starts[:-1], starts[:-1] + chunks
 
 
 def _chunks(net: Network, padded: np.ndarray, first: int, last: int) -> np.ndarray:
@@ -67,13 +67,15 @@ def pooled(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     while text < len(out):
         last = max(text + 1, int(np.searchsorted(offsets, offsets[text] + SEGMENT, "right")) - 1)
         last = min(last, len(out))
-        padded, starts = _lay_out(data[offsets[text]: offsets[last]], np.diff(offsets[text: last + 1]))
-        for first in range(0, int(starts[-1]), SEGMENT // STRIDE):
-            end = min(first + SEGMENT // STRIDE, int(starts[-1]))
+        padded, starts, ends = _lay_out(data[offsets[text]: offsets[last]], np.diff(offsets[text: last + 1]))
+        for first in range(0, int(ends[-1]), SEGMENT // STRIDE):
+            end = min(first + SEGMENT // STRIDE, int(ends[-1]))
             response = _chunks(net, padded, first, end) @ net.filters
-            at = np.clip(starts[:-1], first, end) - first
-            held = np.flatnonzero((starts[1:] > first) & (starts[:-1] < end))
-            best = np.maximum.reduceat(response, at[held], axis=0) + net.filter_bias
+            held = np.flatnonzero((ends > first) & (starts < end))
+            # from each text's first chunk to its end; what lies between texts is taken apart and left out
+            bounds = np.stack([np.maximum(starts[held], first), np.minimum(ends[held], end)], axis=1).ravel() - first
+            bounds = bounds[:-1] if bounds[-1] == end - first else bounds
+            best = np.maximum.reduceat(response, bounds, axis=0)[::2] + net.filter_bias
             out[text + held] = np.maximum(out[text + held], best)
         text = last
     return out
@@ -101,10 +103,10 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int
         for at in range(0, len(order), batch):
             rows = order[at: at + batch]
             data = np.frombuffer(b"".join(texts[i] for i in rows), np.uint8)
-            padded, starts = _lay_out(data, np.array([len(texts[i]) for i in rows]))
-            chunks = _chunks(net, padded, 0, int(starts[-1]))
+            padded, starts, ends = _lay_out(data, np.array([len(texts[i]) for i in rows]))
+            chunks = _chunks(net, padded, 0, int(ends[-1]))
             response = chunks @ net.filters
-            best = np.stack([s + response[s:e].argmax(axis=0) for s, e in zip(starts[:-1], starts[1:], strict=True)])
+            best = np.stack([s + response[s:e].argmax(axis=0) for s, e in zip(starts, ends, strict=True)])
             raw = np.take_along_axis(response, best, axis=0) + net.filter_bias
             pool = np.maximum(raw, 0)
             p = 1 / (1 + np.exp(-np.clip(pool @ net.weights + net.bias[0], -30, 30)))
