@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultline.catalog import sql as S
+from faultline.catalog.labeller import failing_labeller, keyword_labeller
 from faultline.catalog.dictionary_queries import grouped
 from faultline.catalog.registry import query
 from faultline.catalog.phase_queries import AUDIT_PARTS, WITH_SPEC
@@ -109,13 +110,13 @@ def _label_calls(spark, d):
         c("row_id").cast("string").alias("call_id"), F.lit(None).cast("string").alias("options_key"),
         codes.audit_prompt(CONFIG).alias("prompt"),
         F.lit(prompts.AUDITOR).alias("system_prompt"), F.lit(AUDIT.name).alias("contract"))
-    return hooks.label_calls(calls, hooks.keyword_labeller).select("call_id", "raw_response", "input_tokens", "output_tokens")
+    return hooks.label_calls(calls, keyword_labeller).select("call_id", "raw_response", "input_tokens", "output_tokens")
 
 
-def label_audits(rows, path):
+def label_audits(rows, path, labeller=keyword_labeller):
     """Asks the audit of every row that needs one; equal questions once."""
     ledger.label_pending(
-        codes.audit_calls(rows), path, codes.P2, AUDIT, prompts.AUDITOR, hooks.keyword_labeller,
+        codes.audit_calls(rows), path, codes.P2, AUDIT, prompts.AUDITOR, labeller,
         lambda calls: calls.withColumn("prompt", codes.audit_prompt(CONFIG)), lambda df: check_response(df, AUDIT))
 
 
@@ -129,6 +130,20 @@ def _label_pending(spark, d):
     return asked.join(answers, "call_id").drop("call_id")
 
 
+@query("attempts_of_a_run", f"""SELECT row_id, CASE WHEN bad THEN 2 ELSE 1 END AS attempts, NOT bad AS done, bad AS failed, kind AS last_reason FROM (
+  SELECT row_id, n % 5 = 0 OR n % 7 = 0 AS bad, CASE WHEN n % 5 = 0 THEN 'TimeoutError: no answer' WHEN n % 7 = 0 THEN 'invalid' END AS kind FROM (SELECT row_id, length(prompt) AS n FROM {_AUDITED}))""")
+def _attempts_of_a_run(spark, d):
+    """The ledger of a run whose labeller fails for some questions, twice: state by the branch that runs use."""
+    path = new_folder(spark, "ledger")
+    rows = _audit_rows(spark, d)
+    label_audits(rows, path, failing_labeller)
+    state = ledger.attempt_state(ledger.read_ledger(spark, path, codes.P2), max_attempts=2)
+    reason = F.when(c("last_reason").startswith("TimeoutError"), c("last_reason")).when(c("last_reason").isNotNull(), "invalid")
+    asked = stored(rows.where(routing.needs_audit()).select("row_id", c("P2_call").alias("call_id")), "asked")
+    return asked.join(state, "call_id").select(
+        "row_id", c("attempts").cast("int").alias("attempts"), "done", "failed", reason.alias("last_reason"))
+
+
 @query("export_final", f"SELECT q.row_id, w.maintenance_type, q.status AS \"QA_Status\" FROM ({QA_SQL}) q JOIN wo w ON w.row_id = q.row_id")
 def _export_final(spark, d):
     folder = new_folder(spark, "export")
@@ -140,14 +155,35 @@ def _export_final(spark, d):
 _FIRST_CODE = "regexp_extract(b.text, '^ *- ([^:]*):', 1)"
 
 
-@query("full_run", f"""SELECT t.row_id, CASE WHEN t.route = 'Bypassed' THEN 'bypassed' WHEN b.branch IS NULL THEN 'config_error' ELSE 'ok' END AS p1_status,
+_FULL_RUN = f"""SELECT t.row_id, CASE WHEN t.route = 'Bypassed' THEN 'bypassed' WHEN b.branch IS NULL THEN 'config_error' ELSE 'ok' END AS p1_status,
   CASE WHEN t.route <> 'Bypassed' AND b.branch IS NOT NULL THEN {_FIRST_CODE} WHEN a.flag THEN (SELECT {_FIRST_CODE} FROM branches b WHERE b.branch = 'all')
     ELSE {S.norm('t.system_code')} END AS merged_code,
   CASE WHEN {S.uninformative('t.descriptions')} THEN 'Not Enough Information' WHEN contains(lower(t.descriptions), 'annual service') THEN 'Preventive' ELSE 'Corrective' END AS maintenance_type,
   'Pass' AS status
-  FROM routed t JOIN row_branches r ON r.row_id = t.row_id LEFT JOIN branches b ON b.branch = r.branch LEFT JOIN {_AUDITED} a ON a.row_id = t.row_id""")
-def _full_run(spark, d):
-    run = Run(spark, new_folder(spark, "run"), CONFIG, hooks.keyword_labeller)
-    return full_run(run, wo(spark, d), view(spark, d, "components")).select(
+  FROM routed t JOIN row_branches r ON r.row_id = t.row_id LEFT JOIN branches b ON b.branch = r.branch LEFT JOIN {_AUDITED} a ON a.row_id = t.row_id"""
+
+
+def _result(df):
+    return df.select(
         "row_id", c("P1_Status").alias("p1_status"), c("Merged_System_Code").alias("merged_code"),
         c("Merged_Maintenance_Type").alias("maintenance_type"), c("QA_Status").alias("status"))
+
+
+@query("full_run", _FULL_RUN)
+def _full_run(spark, d):
+    run = Run(spark, new_folder(spark, "run"), CONFIG, keyword_labeller)
+    return _result(full_run(run, wo(spark, d), view(spark, d, "components")))
+
+
+@query("full_run_again", f"""SELECT row_id, p1_status, merged_code, maintenance_type, status, legacy AS legacy_code, CAST(0 AS BIGINT) AS new_calls
+  FROM ({_FULL_RUN}) JOIN (SELECT row_id, system_code AS legacy FROM wo) USING (row_id)""")
+def _full_run_again(spark, d):
+    """A second pass over the result of the first: nothing is asked and legacy copies stay."""
+    folder = new_folder(spark, "run")
+    first = full_run(Run(spark, folder, CONFIG, keyword_labeller), wo(spark, d), view(spark, d, "components"))
+    first = stored(first, "first")
+    calls = ledger.read_ledger(spark, f"{folder}/ledger").count()
+    second = stored(full_run(Run(spark, folder, CONFIG, keyword_labeller), first, view(spark, d, "components")), "second")
+    more = ledger.read_ledger(spark, f"{folder}/ledger").count() - calls
+    return _result(second).join(second.select("row_id", c("Legacy_System_Code").alias("legacy_code")), "row_id").withColumn(
+        "new_calls", F.lit(more).cast("bigint"))

@@ -22,7 +22,7 @@ from faultline.functions.contract import (
 )
 from faultline.operators.dictionary import line_chars, one_per_key
 from faultline.operators.hooks import Labeller
-from faultline.operators.ledger import answers, label_pending, read_ledger
+from faultline.operators.ledger import answers, attempt_state, label_pending, read_ledger
 from faultline.operators.merge import merge_codes, merge_failures, merge_labels, with_qa_status
 from faultline.operators.routing import needs_relabel, with_route
 from faultline.operators.sizes import broadcast_if_small
@@ -70,7 +70,9 @@ class Run:
         return self.answers(phase)
 
     def answers(self, phase: str) -> DataFrame:
-        return parse_response(answers(read_ledger(self.spark, self.ledger, phase)))
+        ledger = read_ledger(self.spark, self.ledger, phase)
+        state = attempt_state(ledger, max_attempts=self.config.rules.max_attempts)
+        return parse_response(answers(ledger).join(state.select("call_id", "attempts", "failed", "last_reason"), "call_id"))
 
 
 def run_codes(run: Run, rows: DataFrame, taxonomy: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -26,7 +26,7 @@ from faultline.operators.ledger import call_id
 from faultline.operators.prompts import render
 from faultline.operators.routing import is_non_failure, is_uninformative
 from faultline.operators.topology import with_topology
-from faultline.plans.codes import join_answers
+from faultline.plans.codes import STATE, attempt_columns, join_answers
 
 P4_OPERATIONAL, P4_SEMANTIC = "P4_OPERATIONAL", "P4_SEMANTIC"
 SKIPPED_REASON = "Deterministically skipped due to missing or uninformative description."
@@ -159,7 +159,7 @@ def apply_operational(
         "P4_Operational_Review_Flag": F.when(skip, F.lit(False)).otherwise(F.col("_flag")),
     }).withColumn("non_failure", ~skip & is_non_failure(F.col("P4_Maintenance_Type"), rules)).withColumn(
         "needs_semantic", F.coalesce(~skip & ok & ~F.col("non_failure"), F.lit(False))
-    ).drop("_status", *fields)
+    ).withColumns(attempt_columns("P4_Operational")).drop("_status", *STATE, *fields)
 
 
 def with_semantic_call(rows: DataFrame, config: Config) -> DataFrame:
@@ -220,5 +220,6 @@ def apply_semantic(
             F.coalesce("_status", F.lit("pending"))),
         "code_mismatch": c("code_mismatch") | F.coalesce(c("_answered_code") != c("code"), F.lit(False)),
         **{n: F.when(done, v) for n, v in result.items()},
+        **attempt_columns("P4_Semantic"),
         **{n: F.when(done, c(n)) for n in first_half}})
-        .drop("_status", "op_reasoning", *fields))
+        .drop("_status", "op_reasoning", *STATE, *fields))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.catalog.views import CONFIG, view
 from faultline.config import Limits
-from faultline.operators.hooks import keyword_labeller
+from faultline.catalog.labeller import keyword_labeller
 from faultline.operators.ledger import read_ledger
 from faultline.operators.metrics import ledger_metrics, run_totals
 from faultline.plans.full import Run, full_run
