@@ -16,6 +16,7 @@ from faultline.operators import dictionary as D
 from faultline.operators import prompts
 from faultline.plans import extraction, labels
 from faultline.sources import dictionary_json as J
+from faultline.sources.scratch import new_folder
 
 c = F.col
 SMALL = replace(CONFIG, limits=Limits(batch_chars=100_000))
@@ -99,19 +100,26 @@ query("mode_frequency", "SELECT code, topology, failure_mode, CAST(sum(frequency
     lambda s, d: D.mode_frequency(entries(s, d)))
 
 
-# ---- JSON form
+# ---- JSON form, through files
+
+def written(spark, d):
+    folder = new_folder(spark, "dictionary")
+    J.write_dictionary(entries(spark, d), folder)
+    return folder
+
 
 _LONG = f"""SELECT code, topology, row_number() OVER (PARTITION BY code, topology ORDER BY pos) - 1 AS pos, {S.strip('failure_mode')} AS failure_mode, {S.strip('mechanism')} AS mechanism,
   {S.strip('cause')} AS cause, {S.strip('symptom')} AS symptom, frequency FROM dict_long WHERE {S.norm('failure_mode')} IS NOT NULL"""
 query("read_dictionary", _LONG)(
-    lambda s, d: mode_rows(J.parse_dictionary(J.dictionary_json(entries(s, d)), "json")))
+    lambda s, d: mode_rows(J.read_dictionary(s, written(s, d), per_line=True)))
 _JSON_ENTRY = """CAST(to_json({'Actions': coalesce(acts, []), 'Failure_Modes': ms}) AS VARCHAR)"""
 query("write_dictionary", f"""SELECT code, '{{' || CAST(to_json(code) AS VARCHAR) || ':' || CASE WHEN bool_or(topology IS NULL) THEN any_value(entry)
     ELSE '{{' || string_agg(CAST(to_json(topology) AS VARCHAR) || ':' || entry, ',' ORDER BY topology) || '}}' END || '}}' AS json FROM (
   SELECT m.code, m.topology, {_JSON_ENTRY} AS entry FROM (SELECT code, topology, list({{'Failure_Mode': failure_mode, 'Mechanism': mechanism, 'Cause': cause, 'Symptom': symptom, 'Frequency_in_Logs': frequency}} ORDER BY pos) AS ms
     FROM dict_long GROUP BY code, topology) m JOIN (SELECT code, topology, list(action ORDER BY pos) AS acts FROM dict_actions GROUP BY code, topology) a
     ON a.code = m.code AND a.topology IS NOT DISTINCT FROM m.topology) GROUP BY code""")(
-    lambda s, d: J.dictionary_json(entries(s, d)))
+    lambda s, d: s.read.text(written(s, d)).select(F.get(F.map_keys(F.try_variant_get(
+        F.parse_json("value"), "$", "map<string,variant>")), F.lit(0)).alias("code"), c("value").alias("json")))
 query("clean_modes", _LONG)(
     lambda s, d: mode_rows(entries(s, d).withColumn("modes", F.filter(
         F.transform("modes", lambda m: F.struct(*[F.get(D.clean_modes(F.array(m)), F.lit(0))[f].alias(f) for f in D.TEXT_FIELDS], m["frequency"].alias("frequency"))),
