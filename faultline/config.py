@@ -20,6 +20,8 @@ ROUTE_BYPASSED = "Bypassed"
 AUDIT_SKIPPED_REASON = (
     "Skipped because the row was handled by Phase 1 targeted pitch or missing-code correction."
 )
+LABEL_SKIPPED_REASON = "Deterministically skipped due to missing or uninformative description."
+SEMANTIC_SKIPPED_REASON = " | FMEA: Skipped deterministically as maintenance type is "
 QA_PASS = "Pass"
 QA_LOW = "Requires Human Review (Low Confidence)"
 QA_FLAGGED = "Requires Human Review (Flagged by Model)"

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.config import Config, Rules
+from faultline.config import LABEL_SKIPPED_REASON, SEMANTIC_SKIPPED_REASON, Config, Rules
 from faultline.functions.contract import (
     MODE_FIELDS, OPERATIONAL, SEMANTIC, also_require, check_action, check_mode, check_response,
     failure_selection, flag_at, text_at,
@@ -29,7 +29,6 @@ from faultline.operators.topology import with_topology
 from faultline.plans.codes import STATE, attempt_columns, join_answers
 
 P4_OPERATIONAL, P4_SEMANTIC = "P4_OPERATIONAL", "P4_SEMANTIC"
-SKIPPED_REASON = "Deterministically skipped due to missing or uninformative description."
 MODE_NAMES = tuple(f.name for f in MODE_FIELDS)
 
 
@@ -154,7 +153,7 @@ def apply_operational(
         "code_mismatch": F.coalesce(F.col("_answered_code") != F.col("code"), F.lit(False)),
         "P4_Maintenance_Type": F.when(skip, label).otherwise(F.col("_type")),
         "P4_Action_Taken": F.when(skip, label).otherwise(F.col("_action")),
-        "op_reasoning": F.when(skip, SKIPPED_REASON).otherwise(F.concat(F.lit("Operational: "), F.col("_reasoning"))),
+        "op_reasoning": F.when(skip, LABEL_SKIPPED_REASON).otherwise(F.concat(F.lit("Operational: "), F.col("_reasoning"))),
         "P4_Operational_Confidence": F.when(skip, "High").otherwise(F.col("_confidence")),
         "P4_Operational_Review_Flag": F.when(skip, F.lit(False)).otherwise(F.col("_flag")),
     }).withColumn("non_failure", ~skip & is_non_failure(F.col("P4_Maintenance_Type"), rules)).withColumn(
@@ -195,7 +194,7 @@ def apply_semantic(
     fixed = F.when(c("skip"), rules.uninformative_label).when(c("non_failure"), rules.healthy_label)
     ok = c("_status") == "ok"
     done = c("skip") | (c("op_status") == "ok") & (~c("needs_semantic") | F.coalesce(ok, F.lit(False)))
-    skipped_type = F.concat(F.lit(" | FMEA: Skipped deterministically as maintenance type is "),
+    skipped_type = F.concat(F.lit(SEMANTIC_SKIPPED_REASON),
                             c("P4_Maintenance_Type"), F.lit("."))
     fixed_rows = c("skip") | c("non_failure")
     confidence = F.when(fixed_rows, c("P4_Operational_Confidence")).otherwise(
