@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import jaccard_join, line_dedup, mixing, packing, quality_rules
-from faultline.llm.common import WORD
+from faultline.llm.common import WORD, share_library
 from faultline.sources.scratch import stored
 
 #: Domains by weight and English twice as heavy as another language; sources of one language alike.
@@ -60,6 +60,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share_library(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from contextlib import contextmanager
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +19,22 @@ from faultline.sources.scratch import stored
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_SPLIT = r"[\x20\x09-\x0D]+"
 #: Text bytes gathered in one block; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Rows handed to Python at a time when blocks are made, which also bounds the rows of a block.
+BATCH_ROWS = 2000
+
+
+def share_library(spark: SparkSession) -> None:
+    """Lets Python workers of a local session import this library wherever the session was started.
+
+    On a cluster it is shipped to the executors as any package is.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        own = spark.sparkContext.environment
+        paths = [p for p in own.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if root not in paths:
+            own["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +56,18 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]: offsets[-1]], offsets.astype(np.int64) - int(offsets[0])
 
 
+@contextmanager
+def record_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Rows handed to Python at a time while the body runs its jobs; long texts make the usual 10,000 heavy."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_blocks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Whole texts packed into compressed blocks and stored once: (block, size, ids, lengths, payload).
 
@@ -67,7 +97,8 @@ def text_blocks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     packed = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(
         pack, f"ids array<{id_type}>, size long, lengths binary, payload binary")
-    return stored(packed.select(F.monotonically_increasing_id().alias("block"), "*"), "blocks")
+    with record_batches(docs.sparkSession, BATCH_ROWS):
+        return stored(packed.select(F.monotonically_increasing_id().alias("block"), "*"), "blocks")
 
 
 def unpack(lengths: bytes, payload: bytes) -> tuple[np.ndarray, np.ndarray]:

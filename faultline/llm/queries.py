@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import byte_cnn, html_text, jaccard_join, line_dedup, mixing, neighbours, packing, quality_rules, secrets, suffix_dedup
-from faultline.llm.common import table
+from faultline.llm.common import share_library, table
 from faultline.llm.sql import ORACLE
 
 QUERIES = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
-    return f
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        share_library(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 @query
