@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import public_tokenizers
@@ -20,8 +20,8 @@ TOKENIZER = "word_bpe_49k.json"
 END = 1
 #: Pieces that are packed together; more of them are dealt to more tasks.
 GROUP_PIECES = 50_000
-#: Parts of words whose ids a Python worker remembers before it starts anew.
-CACHE_PARTS = 400_000
+#: Parts of words whose ids a task remembers before it starts anew.
+CACHE_PARTS = 300_000
 #: White space that the tokenizer drops, so no token spans it.
 _WORD = re.compile(r"[^ \t\n\r]+")
 #: Characters whose normal form is themselves and whose class is the same for any Unicode version: ASCII and Latin-1
@@ -42,17 +42,24 @@ class TextIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.whole.get_vocab()
+        vocabulary = self.bare.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
+        self.special = tuple(t.content for t in self.bare.get_added_tokens_decoder().values())
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def whole(self):
+        """The tokenizer as it is, loaded when a text first needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _learn(self, parts: list[str]) -> None:
         ids = np.array(self.bare.encode(" ".join(parts), add_special_tokens=False).ids, "<u4")
         ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
@@ -74,7 +81,7 @@ class TextIds:
 
 @cache
 def text_ids(path: str) -> TextIds:
-    """One per Python worker, so what it has learned serves its later tasks."""
+    """One per Python worker: the vocabulary is loaded once."""
     return TextIds(path)
 
 
@@ -103,6 +110,7 @@ def pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
                 batch.column(0).take(pa.array(owner, pa.int64())), pa.array(columns[0], pa.int32()),
                 *[pa.array(c, pa.int64()) for c in columns[1:]]],
                 ["id", "piece", "start", "length", "ids_crc32"])
+        ids_of.known = {}      # idle workers hold no words
 
     return docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text")).mapInArrow(
         cut, PIECES.format(kind))
