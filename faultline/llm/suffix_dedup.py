@@ -289,7 +289,7 @@ def _count_strings(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
 
     strings = stored(blocks.select("block", "lengths", "payload").groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(
         run, "block long, doc int, first int, string binary"), "strings")
-    again = strings.groupBy("string").count().where("count > 1").select("string")
+    again = stored(strings.groupBy("string").count().where("count > 1").select("string"), "again")
     return strings.join(again, "string").select("block", "doc", "first", F.col("first").alias("last"))
 
 
@@ -335,12 +335,13 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     id_type = docs.schema[id_column].dataType.simpleString()
     blocks = text_blocks(docs, id_column, text_column)
     found = stored(_find_anchors(blocks), "anchors")
-    repeated = found.groupBy("core").count().where("count > 1").select("core")
+    # stored, so that the join takes both sides from plain exchanges and a hot core's rows can be split over tasks
+    repeated = stored(found.groupBy("core").count().where("count > 1").select("core"), "repeated")
     hits = stored(found.join(repeated, "core"), "hits")
     contexts = hits.groupBy("core", "full").agg(F.count("*").alias("copies"), F.min(F.struct(
         "block", "doc", "place")).alias("one"))
     contexts = stored(contexts, "contexts")
-    cores = contexts.groupBy("core").agg(F.count("*").alias("contexts"))
+    cores = stored(contexts.groupBy("core").agg(F.count("*").alias("contexts")), "cores")
     state = stored(hits.join(contexts, ["core", "full"]).join(cores, "core"), "states")
 
     whole = state.where("copies > 1").select("block", "doc", "first", "last")
