@@ -29,15 +29,16 @@ from faultline.sources.scratch import stored
 
 #: A pair links at PERCENT or more of its union in common.
 PERCENT = 75
+DENOMINATOR = 100 + PERCENT
 #: Shingles of one hash range, about.
 RANGE_TOKENS = 1_000_000
 #: Sets and bytes searched together in one task; larger clusters are split.
-TASK_SETS, TASK_BYTES = 3000, 32 << 20
+TASK_SETS, TASK_BYTES = 3000, 8 << 20
 
 
 def least_overlap(n: int, m: int) -> int:
     """Smallest intersection of sets of n and m shingles that links them."""
-    return -(-PERCENT * (n + m) // (100 + PERCENT))
+    return -(-PERCENT * (n + m) // DENOMINATOR)
 
 
 def least_part(n: int) -> int:
@@ -138,6 +139,12 @@ class Lists:
         ends = np.cumsum(counts)
         self.lists = [lists[e - c: e] for e, c in zip(ends, counts, strict=True)]
 
+    def _merge(self, lists: np.ndarray, below: int) -> np.ndarray:
+        """How many of these lists hold each member under `below`, by one pass over them."""
+        span = self.starts[lists + 1] - self.starts[lists]
+        at = np.repeat(self.starts[lists] - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(int(span.sum()))
+        return np.bincount(self.members[at], minlength=below + 1)[:below]
+
     def _probe(self, lists: np.ndarray, member: int) -> int:
         """How many of these lists hold the member, all bisected at once."""
         low, high = self.starts[lists].copy(), self.starts[lists + 1].copy()
@@ -152,7 +159,8 @@ class Lists:
     def search(self, query: int, only: np.ndarray | None = None) -> Iterator[int]:
         """Earlier sets of other groups that link to the query; joins their groups as it goes.
 
-        A member that occurs often enough in all lists occurs `need - len(long)` times in the short ones.
+        A member that occurs often enough in all lists occurs `need - len(long)` times in the short ones. Where so
+        many do that probing the long lists for each would read more than the lists hold, those are merged as well.
         """
         n, lists = int(self.sizes[query]), self.lists[query]
         need = least_part(n)
@@ -162,19 +170,22 @@ class Lists:
         lists = lists[np.argsort(size, kind="stable")]
         aside = min(need - 1, int(need / (0.01 * math.log2(int(size.max()) + 1) + 1)))
         short, long = lists[: len(lists) - aside], lists[len(lists) - aside:]
-        span = self.starts[short + 1] - self.starts[short]
-        at = np.repeat(self.starts[short] - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(int(span.sum()))
-        counts = np.bincount(self.members[at], minlength=query + 1)[:query]
+        counts = self._merge(short, query)
         allowed = (counts >= need - aside) & (self.group[:query] != self.group[query]) & (
             100 * self.sizes[:query] >= PERCENT * n)
         if only is not None:
             allowed &= only[:query] | only[query]
         found = np.flatnonzero(allowed)
+        steps = len(long) * max(1, int(size.max()).bit_length())
+        merged = len(found) * steps > int((self.starts[long + 1] - self.starts[long]).sum())
+        if merged:
+            counts = counts + self._merge(long, query)
+            found = found[DENOMINATOR * counts[found] >= PERCENT * (n + self.sizes[found])]
         for member in found[np.argsort(-counts[found], kind="stable")].tolist():
             if self.group[member] == self.group[query]:
                 continue
             wanted = least_overlap(n, int(self.sizes[member]))
-            if counts[member] + aside >= wanted and counts[member] + self._probe(long, member) >= wanted:
+            if merged or counts[member] + aside >= wanted and counts[member] + self._probe(long, member) >= wanted:
                 yield member
                 self.group[self.group == self.group[member]] = self.group[query]
 
@@ -250,7 +261,9 @@ def _members(blocks: DataFrame) -> DataFrame:
 
     heads = sets.select("sid", "n", "tokens").mapInArrow(rarest, "sid long, heads array<long>")
     heads = stored(heads.select("sid", F.explode("heads").alias("token")), "heads")
-    roots = heads.groupBy("token").agg(F.min("sid").alias("a"), F.max("sid").alias("top")).where("a < top").drop("top")
+    # stored, so that the join takes both sides from plain exchanges and a hot token's rows can be split over tasks
+    roots = stored(heads.groupBy("token").agg(
+        F.min("sid").alias("a"), F.max("sid").alias("top")).where("a < top").drop("top"), "roots")
     meet = heads.join(roots, "token").where("a < sid").select("a", F.col("sid").alias("b")).distinct()
     clusters = sets.join(components(meet).select(F.col("node").alias("sid"), F.col("label").alias("cluster")), "sid")
     labels = _search_clusters(sets, clusters)
@@ -270,7 +283,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     Texts are read whole, and a task holds one block of them at a time.
     """
     named = _members(text_blocks(docs, id_column, text_column))
-    smallest = named.where("key is not null").groupBy("key").agg(F.min("id").alias("component_id"))
+    smallest = stored(named.where("key is not null").groupBy("key").agg(F.min("id").alias("component_id")), "smallest")
     full = named.where("key is not null").join(smallest, "key").select(
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id")
     alone = named.where("key is null").select(
