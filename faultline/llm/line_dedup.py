@@ -132,7 +132,8 @@ def _round(lines: DataFrame, depth: int) -> DataFrame:
     before = "alive" if depth else "cast(null as array<int>) AS alive"
     named = lines.where(F.col("longest") >= 1 << depth).selectExpr("block", "doc", "ids", before).mapInArrow(
         emit, "name long, block long, doc int, place int")
-    again = named.groupBy("name").count().where("count > 1").select("name")
+    # stored, so that the join takes both sides from plain exchanges and a hot line's rows can be split over tasks
+    again = stored(named.groupBy("name").count().where("count > 1").select("name"), "again")
     kept = named.join(again, "name").groupBy("block", "doc").agg(F.sort_array(F.collect_list("place")).alias("alive"))
     return stored(lines.drop("alive").join(kept, ["block", "doc"]), "lines")
 
@@ -218,6 +219,7 @@ def remove_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_colum
             break
     found = stored(found, "runs")
     order = F.struct("id", "mark", "block", "doc", "first")
-    first = found.groupBy("size", "a", "b").agg(F.min(order).alias("one"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = stored(found.groupBy("size", "a", "b").agg(
+        F.min(order).alias("one"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     later = found.join(first, ["size", "a", "b"]).where(order != F.col("one")).select("block", "doc", "first", "size")
     return _cut(blocks, later, docs, text_column)
