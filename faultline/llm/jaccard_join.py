@@ -8,18 +8,20 @@ The way of a document:
 3. The others meet over their rarest shared shingles: two sets that link have one in common there (prefix filter).
    Sets so connected are a cluster; a cluster is searched in one task, a large one in many (see `_search_clusters`).
 4. The search sets a query's longest lists aside, merges the short ones and probes the long ones by bisection.
+   For components alone, sets known to be connected are not compared again; to count links every pair is verified.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import flat_ids, row_blocks, take_rows, text_blocks, unpack
@@ -97,8 +99,8 @@ def _token_classes(blocks: DataFrame, bits: int) -> DataFrame:
 
 
 def _sets(blocks: DataFrame, classes: DataFrame, bits: int, id_type: str) -> DataFrame:
-    """(block, doc, id, set_id, n, tokens) of each text; `tokens` holds the shared ones, rarest first, of the first text of a
-    block with that set, where there are enough of them to link at all."""
+    """(block, doc, id, set_id, n, tokens, copies) of each text; `tokens` holds the shared ones, rarest first, of the first text
+    of a block with that set, where there are enough of them to link at all, and `copies` how many texts of the block have it."""
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         sets, tokens, _ = _block_tokens(left["lengths"][0].as_py(), left["payload"][0].as_py())
         parts = sorted(zip(right["part"].to_pylist(), right["classes"].to_pylist(), strict=True))
@@ -115,13 +117,16 @@ def _sets(blocks: DataFrame, classes: DataFrame, bits: int, id_type: str) -> Dat
                     keep = np.flatnonzero(k)
                     part = own[keep][np.argsort(k[keep], kind="stable")].tobytes()
             shared.append(part)
+        held = Counter(set_ids)
+        copies = [held[s] if part is not None else None for s, part in zip(set_ids, shared, strict=True)]
         own_block = left["block"][0].as_py()
         return pa.table({"block": pa.array([own_block] * len(sets), pa.int64()), "doc": pa.array(range(len(sets)), pa.int32()),
                          "id": flat_ids(left), "set_id": pa.array(set_ids, pa.binary()),
-                         "n": pa.array([len(s) for s in sets], pa.int64()), "tokens": pa.array(shared, pa.binary())})
+                         "n": pa.array([len(s) for s in sets], pa.int64()), "tokens": pa.array(shared, pa.binary()),
+                         "copies": pa.array(copies, pa.int64())})
 
     return blocks.groupBy("block").cogroup(classes.groupBy("block")).applyInArrow(
-        join, f"block long, doc int, id {id_type}, set_id binary, n long, tokens binary")
+        join, f"block long, doc int, id {id_type}, set_id binary, n long, tokens binary, copies long")
 
 
 class Lists:
@@ -156,38 +161,62 @@ class Lists:
         found = low < end
         return int(np.count_nonzero(self.members[low[found]] == member))
 
-    def search(self, query: int, only: np.ndarray | None = None) -> Iterator[int]:
-        """Earlier sets of other groups that link to the query; joins their groups as it goes.
+    def _candidates(self, query: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+        """(members, counts, long lists, merged): earlier sets of the mask that may link to the query.
 
-        A member that occurs often enough in all lists occurs `need - len(long)` times in the short ones. Where so
-        many do that probing the long lists for each would read more than the lists hold, those are merged as well.
+        A member that occurs often enough in all lists occurs `need - len(long)` times in the short ones, which `counts`
+        holds. Where so many do that probing the long lists for each would read more than the lists hold, those are
+        merged as well: then the counts are whole and the members are the links.
         """
         n, lists = int(self.sizes[query]), self.lists[query]
         need = least_part(n)
         if len(lists) < need:
-            return
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), lists[:0], True
         size = self.starts[lists + 1] - self.starts[lists]
         lists = lists[np.argsort(size, kind="stable")]
         aside = min(need - 1, int(need / (0.01 * math.log2(int(size.max()) + 1) + 1)))
         short, long = lists[: len(lists) - aside], lists[len(lists) - aside:]
         counts = self._merge(short, query)
-        allowed = (counts >= need - aside) & (self.group[:query] != self.group[query]) & (
-            100 * self.sizes[:query] >= PERCENT * n)
-        if only is not None:
-            allowed &= only[:query] | only[query]
-        found = np.flatnonzero(allowed)
+        found = np.flatnonzero((counts >= need - aside) & others & (100 * self.sizes[:query] >= PERCENT * n))
         steps = len(long) * max(1, int(size.max()).bit_length())
         merged = len(found) * steps > int((self.starts[long + 1] - self.starts[long]).sum())
         if merged:
             counts = counts + self._merge(long, query)
             found = found[DENOMINATOR * counts[found] >= PERCENT * (n + self.sizes[found])]
-        for member in found[np.argsort(-counts[found], kind="stable")].tolist():
-            if self.group[member] == self.group[query]:
-                continue
-            wanted = least_overlap(n, int(self.sizes[member]))
-            if merged or counts[member] + aside >= wanted and counts[member] + self._probe(long, member) >= wanted:
+        return found, counts[found], long, merged
+
+    def _verified(self, query: int, member: int, count: int, long: np.ndarray) -> bool:
+        """Whether a member with so many of the short lists links to the query."""
+        wanted = least_overlap(int(self.sizes[query]), int(self.sizes[member]))
+        return count + len(long) >= wanted and count + self._probe(long, member) >= wanted
+
+    def _join(self, query: int, members: np.ndarray) -> None:
+        """Makes one group of those of the query and the members."""
+        old = np.unique(self.group[members])
+        old = old[old != self.group[query]]
+        if len(old):
+            self.group[np.isin(self.group, old)] = self.group[query]
+
+    def search(self, query: int, only: np.ndarray | None = None) -> Iterator[int]:
+        """Earlier sets of other groups that link to the query, as few as connect them; joins their groups as it goes."""
+        others = self.group[:query] != self.group[query]
+        if only is not None:
+            others &= only[:query] | only[query]
+        found, counts, long, merged = self._candidates(query, others)
+        order = np.argsort(-counts, kind="stable")
+        for member, count in zip(found[order].tolist(), counts[order].tolist(), strict=True):
+            if self.group[member] != self.group[query] and (merged or self._verified(query, member, count, long)):
                 yield member
-                self.group[self.group == self.group[member]] = self.group[query]
+                self._join(query, np.array([member]))
+
+    def search_all(self, query: int, others: np.ndarray) -> np.ndarray:
+        """All earlier sets of the mask that link to the query, whatever their groups; joins these."""
+        found, counts, long, merged = self._candidates(query, others)
+        if not merged:
+            good = [self._verified(query, m, c, long) for m, c in zip(found.tolist(), counts.tolist(), strict=True)]
+            found = found[np.array(good, bool)]
+        self._join(query, found)
+        return found
 
 
 def _links(group: pa.Table) -> pa.Table:
@@ -201,7 +230,51 @@ def _links(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([int(a) for a, _ in pairs], pa.int64()), "b": pa.array([int(b) for _, b in pairs], pa.int64())})
 
 
-def _search_clusters(sets: DataFrame, clusters: DataFrame) -> DataFrame:
+def _count_links(group: pa.Table) -> pa.Table:
+    """(a, b, links) of the sets of one task that link to any: a set that `a` is connected with, and the texts it links to.
+
+    The task has one part of a cluster, or two parts whose pairs across are looked at.
+    """
+    group = group.sort_by([("n", "ascending"), ("sid", "ascending")])
+    sid, part, copies = (group[c].to_numpy() for c in ("sid", "part", "copies"))
+    lists = Lists(group["n"].to_numpy(), [np.frombuffer(t, np.uint64) for t in group["tokens"].to_pylist()], np.arange(len(sid)))
+    whole = group["low"][0].as_py() == group["high"][0].as_py()
+    links = np.zeros(len(sid), np.int64)
+    for q in range(len(sid)):
+        found = lists.search_all(q, np.ones(q, bool) if whole else part[:q] != part[q])
+        links[q] += copies[found].sum()
+        links[found] += copies[q]
+    linked = np.flatnonzero(links)
+    return pa.table({"a": pa.array(sid[linked]), "b": pa.array(sid[lists.group[linked]]), "links": pa.array(links[linked])})
+
+
+def _dealt(clusters: DataFrame, shares: int) -> DataFrame:
+    """`clusters` of two sets or more with the number of parts each is dealt to: one, or as many as make `shares` fit a task."""
+    shaped = clusters.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum(F.octet_length("tokens")).alias("bytes"))
+    tasks = F.greatest(F.col("sets") / TASK_SETS, F.col("bytes") / TASK_BYTES)
+    shaped = shaped.where("sets > 1").select("cluster", "sets", F.when(tasks > 1, F.ceil(tasks * shares)).otherwise(1).cast("int").alias("parts"))
+    return stored(clusters.join(shaped, "cluster"), "clusters")
+
+
+def _own_part() -> Column:
+    return F.pmod(F.xxhash64(F.lit("part"), "sid"), F.col("parts").cast("long")).cast("int")
+
+
+def _search_all(clusters: DataFrame) -> DataFrame:
+    """(node, label, links) of linked sets: each pair of a cluster meets in one task and is verified there.
+
+    A cluster that fits a task is searched whole. A larger one is dealt to parts, and each part meets itself and every
+    other, so work and copies of its sets grow with its square, as its pairs do; only sums per set leave a task.
+    """
+    met = _dealt(clusters, 2).withColumn("part", _own_part()).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("cluster", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"),
+                     "part", "sid", "n", "tokens", "copies")
+    links = stored(met.groupBy("cluster", "low", "high").applyInArrow(_count_links, "a long, b long, links long"), "set-links")
+    sums = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    return components(links.select("a", "b")).join(sums, "node")
+
+
+def _search_clusters(clusters: DataFrame) -> DataFrame:
     """Labels (node, label) of linked sets.
 
     A cluster that fits a task is searched whole. A larger one is dealt to parts, each searched with one common
@@ -209,12 +282,9 @@ def _search_clusters(sets: DataFrame, clusters: DataFrame) -> DataFrame:
     are never both in the cluster's largest group, so only the sets outside it are sent to every part, in chunks:
     all pairs that may still join groups meet in one task, and none within the largest group is looked at.
     """
-    shaped = clusters.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum(F.octet_length("tokens")).alias("bytes"))
-    shaped = shaped.where("sets > 1").select("cluster", "sets", F.greatest(
-        F.ceil(F.col("sets") / TASK_SETS), F.ceil(F.col("bytes") / TASK_BYTES)).cast("int").alias("parts"))
-    dealt = stored(clusters.join(shaped, "cluster"), "clusters")
+    dealt = _dealt(clusters, 1)
     mix = F.pmod(F.xxhash64("sid"), F.lit(1 << 30))
-    own = F.pmod(F.xxhash64(F.lit("part"), "sid"), F.col("parts").cast("long")).cast("int")
+    own = _own_part()
     in_sample = (F.col("parts") > 1) & (mix * F.col("parts") * 8 < F.lit(1 << 30))
     first = dealt.withColumn("part", F.explode(F.when(
         in_sample, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))))
@@ -242,13 +312,17 @@ def _search_clusters(sets: DataFrame, clusters: DataFrame) -> DataFrame:
     return components(links.unionAll(stored(met.groupBy("cluster", "part", "chunk").applyInArrow(_links, schema), "set-links")))
 
 
-def _members(blocks: DataFrame) -> DataFrame:
-    """(block, doc, id, set_id, n, key) of each text; texts of one component have one key, empty sets none."""
+def _members(blocks: DataFrame, counted: bool = False) -> DataFrame:
+    """(block, doc, id, set_id, n, key) of each text; texts of one component have one key, empty sets none.
+
+    If `counted`, also `links`: the number of other texts that each links to.
+    """
     id_type = blocks.schema["ids"].dataType.elementType.simpleString()
     size = blocks.agg(F.sum("size").alias("s")).first().s or 0
     bits = max(4, math.ceil(math.log2(max(1, size / 7 / RANGE_TOKENS))))
     rows = stored(_sets(blocks, _token_classes(blocks, bits), bits, id_type), "sets")
-    sets = rows.where("tokens is not null").groupBy("set_id").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    sets = rows.where("tokens is not null").groupBy("set_id").agg(
+        F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.sum("copies").alias("copies"))
     sets = stored(stored(sets, "candidates").withColumn("sid", F.monotonically_increasing_id()), "candidates")
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,12 +340,25 @@ def _members(blocks: DataFrame) -> DataFrame:
         F.min("sid").alias("a"), F.max("sid").alias("top")).where("a < top").drop("top"), "roots")
     meet = heads.join(roots, "token").where("a < sid").select("a", F.col("sid").alias("b")).distinct()
     clusters = sets.join(components(meet).select(F.col("node").alias("sid"), F.col("label").alias("cluster")), "sid")
-    labels = _search_clusters(sets, clusters)
-
-    joined = sets.select("sid", "set_id").join(labels.withColumnRenamed("node", "sid"), "sid").select("set_id", "label")
-    return stored(rows.drop("tokens").join(joined, "set_id", "left").select(
+    labels = (_search_all(clusters) if counted else _search_clusters(clusters)).withColumnRenamed("node", "sid")
+    own, more = sets.select("sid", "set_id", "copies"), []
+    if counted:
+        links = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")
+        joined = own.join(labels, "sid", "left").select("set_id", "label", links).where("links > 0")
+        more = [F.coalesce("links", F.lit(0)).cast("long").alias("links")]
+    else:
+        joined = own.join(labels, "sid").select("set_id", "label")
+    return stored(rows.drop("tokens", "copies").join(joined, "set_id", "left").select(
         "block", "doc", "id", "set_id", "n",
-        F.coalesce(F.col("label").cast("string"), F.concat(F.lit("s"), F.hex("set_id"))).alias("key")), "members")
+        F.coalesce(F.col("label").cast("string"), F.concat(F.lit("s"), F.hex("set_id"))).alias("key"), *more), "members")
+
+
+def _named(members: DataFrame, id_column: str, *more: Column) -> DataFrame:
+    """(id, n_shingles, component_id) of the members, and other columns of them."""
+    smallest = stored(members.where("key is not null").groupBy("key").agg(F.min("id").alias("component_id")), "smallest")
+    own = F.col("id").alias(id_column), F.col("n").alias("n_shingles")
+    full = members.where("key is not null").join(smallest, "key").select(*own, "component_id", *more)
+    return full.unionAll(members.where("key is null").select(*own, F.col("id").alias("component_id"), *more))
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -282,13 +369,16 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     where all its ids are null; rows alike are kept each; an empty table stays empty; other columns are not read.
     Texts are read whole, and a task holds one block of them at a time.
     """
-    named = _members(text_blocks(docs, id_column, text_column))
-    smallest = stored(named.where("key is not null").groupBy("key").agg(F.min("id").alias("component_id")), "smallest")
-    full = named.where("key is not null").join(smallest, "key").select(
-        F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id")
-    alone = named.where("key is null").select(
-        F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    return full.unionAll(alone)
+    return _named(_members(text_blocks(docs, id_column, text_column)), id_column)
+
+
+def jaccard_links(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """`jaccard_components` with `n_links`, the number of other rows that each row links to.
+
+    Every pair of sets that may link is verified, also within a component; rows with equal sets link to each other, rows
+    alike too. Texts without shingles have no links.
+    """
+    return _named(_members(text_blocks(docs, id_column, text_column), counted=True), id_column, F.col("links").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

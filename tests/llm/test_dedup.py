@@ -147,6 +147,27 @@ def test_jaccard_components(spark, monkeypatch, task_sets):
     assert kept.columns == documents(spark, rows).columns
 
 
+@pytest.mark.parametrize("task_sets", [jaccard_join.TASK_SETS, 3])
+def test_jaccard_links_are_all_counted(spark, monkeypatch, task_sets):
+    """Also within groups of near copies, and where their clusters are split over several tasks."""
+    monkeypatch.setattr(jaccard_join, "TASK_SETS", task_sets)
+    rng = random.Random(6)
+    rows = texts()
+    base = [f"v{rng.randint(0, 10**6)}" for _ in range(200)]
+    for k in range(12):                                # near copies that nearly all link to each other, two of them twice
+        words = list(base)
+        for _ in range(k % 5):
+            words[rng.randrange(200)] = f"u{rng.randint(0, 10**6)}"
+        rows += [(700 + k, " ".join(words))] * (1 + (k in (3, 8)))
+    sets = sets_of(rows)
+    links = [sum(a != b and bool(x & y) and 175 * len(x & y) >= 75 * (len(x) + len(y)) for b, y in enumerate(sets)) for a, x in enumerate(sets)]
+    want = sorted(str((i, len(s), n)) for (i, _), s, n in zip(rows, sets, links, strict=True))
+    got = jaccard_join.jaccard_links(documents(spark, rows)).collect()
+    assert sorted(str((r.doc_id, r.n_shingles, r.n_links)) for r in got) == want and max(links) > 10
+    assert sorted(str(tuple(r)[:3]) for r in got) == plain_components(rows)[0]
+    assert jaccard_join.jaccard_links(documents(spark, [])).isEmpty()
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard_join.jaccard_components(documents(spark, [])).isEmpty()
     assert jaccard_join.keep_one(documents(spark, [(None, None)])).count() == 1
