@@ -71,8 +71,9 @@ def _runs(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
 LINES = "block long, doc int, id {}, mark long, ids binary, words binary, longest int"
 
 
-def _read_lines(blocks: DataFrame, id_column: str, id_type: str, min_words: int) -> DataFrame:
-    """A row for each text with lines: their ids and words, and the size of its longest smallest run."""
+def _read_lines(blocks: DataFrame, id_column: str, id_type: str, min_words: int, short: bool) -> DataFrame:
+    """A row for each text with lines: their ids and words, and the size of its longest smallest run; texts without a
+    run (size 0) only if `short`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
@@ -83,11 +84,11 @@ def _read_lines(blocks: DataFrame, id_column: str, id_type: str, min_words: int)
                 for doc in range(len(offsets) - 1):
                     lines = [x for x in raw[offsets[doc]: offsets[doc + 1]].split(b"\n") if x.strip(_BLANK)]
                     held = np.array([len(x.split()) for x in lines], np.int32)
-                    if held.sum() >= min_words:
+                    if held.sum() >= min_words or short and lines:
                         docs.append(doc)
                         ids.append(np.array([digest(x.strip(_BLANK)) for x in lines], np.uint64).tobytes())
                         words.append(held.tobytes())
-                        longest.append(int(_runs(held, min_words)[1].max()))
+                        longest.append(int(_runs(held, min_words)[1].max(initial=0)))
                 marks = np.array([digest(x) for x in ids], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([batch.column(0)[i].as_py()] * len(docs), pa.int64()), pa.array(docs, pa.int32()),
@@ -198,9 +199,10 @@ def _cut(blocks: DataFrame, runs: DataFrame, docs: DataFrame, text_column: str)
 
 
 def remove_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                          min_words: int = MIN_WORDS) -> DataFrame:
+                          min_words: int = MIN_WORDS, whole_texts: bool = False) -> DataFrame:
     """(row, n_lines, n_removed): rows of `docs` with shortened texts, lines with a word, and those of them that went.
 
+    With `whole_texts` all lines of a shorter text are a run too, so later copies of it lose them.
     Kept is the copy of the smallest id (null first), then of the smallest hash of the text, then the first line;
     rows alike are copies of each other and all but one lose what qualifies. Copies within a text count too. Null
     texts become empty, empty and short texts stay, other columns come along, an empty table stays empty. Lines
@@ -208,8 +210,13 @@ def remove_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_colum
     """
     blocks = row_blocks(docs, text_column)
     id_type = docs.schema[id_column].dataType.simpleString()
-    lines = stored(_read_lines(blocks, id_column, id_type, min_words), "lines")
+    lines = stored(_read_lines(blocks, id_column, id_type, min_words, whole_texts), "lines")
     depth, found = 0, None
+    if whole_texts:
+        # named by the hash of all lines; no other run has names like that, and no lines of these texts are named
+        found = lines.where("longest = 0").selectExpr(
+            "block", "doc", "id", "mark", "mark AS a", "0L AS b", "0 AS first", "cast(octet_length(ids) / 8 AS int) AS size")
+        lines = lines.where("longest > 0")
     while True:
         lines = _round(lines, depth)
         runs = _smallest_runs(lines, depth, min_words)

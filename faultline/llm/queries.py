@@ -37,8 +37,9 @@ def op2_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of lines and what is left of each text once later copies of line runs of 50 words or more are gone."""
-    left = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"))
+    """Counts of lines and what is left of each text once later copies of line runs of 50 words or more, and of whole
+    shorter texts, are gone."""
+    left = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"), whole_texts=True)
     return left.select("row.doc_id", "n_lines", "n_removed", F.octet_length("row.text").cast("long").alias("n_bytes_kept"),
                        F.sha2("row.text", 256).alias("kept_sha256"))
 

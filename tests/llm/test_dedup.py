@@ -97,6 +97,14 @@ def test_line_dedup(spark):
     assert line_dedup.remove_repeated_lines(documents(spark, [])).isEmpty()
 
 
+def test_later_copies_of_short_texts_go(spark):
+    rows = [(1, "a short\ntext"), (2, " a short \n\ntext"), (3, "a short"), (4, "text\na short"), (5, None), (6, " \n"), (7, " \n"),
+            (0, "w " * 60), (8, "w " * 60), (9, "a short\ntext\n" + "v " * 60), (None, "one"), (10, "one")]
+    got = line_dedup.remove_repeated_lines(documents(spark, rows), whole_texts=True)
+    assert {r.row.doc_id: r.n_removed for r in got.collect() if r.n_removed} == {2: 2, 8: 1, 10: 1}
+    assert line_dedup.remove_repeated_lines(documents(spark, rows)).where("n_removed > 0").select("row.doc_id").first()[0] == 8
+
+
 def test_names_of_equal_runs_are_equal():
     import numpy as np
 
