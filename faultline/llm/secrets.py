@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +31,9 @@ REACH = 2
 OUTSIDE, BEGIN, INSIDE = range(3)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _ODD = re.compile(r"[0-9=_+/]+")
-_SPACE = " \t\n\x0b\x0c\r"
+_TRIM = "\"'.,;:!?()[]{}<>"
+#: Words of a training sequence, at most; longer stretches are fitted in pieces.
+PIECE = 32
 
 Span = tuple[int, int, int]
 """(start, end, number of the kind), in code points."""
@@ -84,80 +87,75 @@ def word_features(words: list[str], at: int, shapes: list[str], long_text: bool,
     for d in range(-REACH, REACH + 1):
         kind = shapes[at + d] if 0 <= at + d < len(words) else "none"
         out.append(FEATURES[f"{d:+d}:{kind}" if d else f"0:{kind}"])
-    core = words[at].strip("\"'.,;:!?()[]{}<>")
+    out += _own_features(words[at])
+    return out + [FEATURES["longtext"]] * long_text + [FEATURES["oddtext"]] * odd_text
+
+
+def _own_features(word: str) -> list[int]:
+    """What a word shows by itself: its length, letters and quotes."""
+    core = word.strip(_TRIM)
     n = len(core)
-    out.append(FEATURES["len<6" if n < 6 else "len<12" if n < 12 else "len<20" if n < 20 else "len<36" if n < 36 else "len+"])
+    out = [FEATURES["len<6" if n < 6 else "len<12" if n < 12 else "len<20" if n < 20 else "len<36" if n < 36 else "len+"]]
     if n >= 8:
         counts = [core.count(c) / n for c in set(core)]
         out += [FEATURES["varied"]] if -sum(p * math.log2(p) for p in counts) > 3 else []
         out += [FEATURES["dense"]] if sum(c.isdigit() for c in core) * 4 > n else []
-    out += [FEATURES["quoted"]] if words[at][:1] in "\"'" else []
-    out += [FEATURES["akia"]] if core.startswith("AKIA") else []
-    return out + [FEATURES["longtext"]] * long_text + [FEATURES["oddtext"]] * odd_text
+    out += [FEATURES["quoted"]] if word[:1] in "\"'" else []
+    return out + ([FEATURES["akia"]] if core.startswith("AKIA") else [])
 
 
-def _word_at(text: str, place: int) -> tuple[int, int]:
-    start, end = place, place
-    while start and text[start - 1] not in _SPACE:
-        start -= 1
-    while end < len(text) and text[end] not in _SPACE:
-        end += 1
-    return start, end
-
-
-def _near(text: str, start: int, end: int, count: int) -> list[tuple[int, int]]:
-    """The word (start, end) with `count` words before and after it."""
-    out = [(start, end)]
-    at = start
-    for _ in range(count):
-        while at and text[at - 1] in _SPACE:
-            at -= 1
-        if not at:
-            break
-        out.insert(0, _word_at(text, at - 1))
-        at = out[0][0]
-    at = end
-    for _ in range(count):
-        while at < len(text) and text[at] in _SPACE:
-            at += 1
-        if at >= len(text):
-            break
-        out.append(_word_at(text, at))
-        at = out[-1][1]
-    return out
+@lru_cache(maxsize=1 << 16)
+def _look(word: str) -> tuple[str, tuple[int, ...], bool]:
+    """(shape, own features, odd) of a word; one that is not odd is of shape plain and shows nothing but its length."""
+    kind, own = shape(word), tuple(_own_features(word))
+    return kind, own, kind != "plain" or len(own) > 1
 
 
-def segments(text: str, everything: bool = False) -> Iterator[tuple[list[tuple[int, int]], list[list[int]]]]:
-    """(words, features) of the stretches that are tagged.
+def segments(text: str, everything: bool = False) -> Iterator[tuple[list[tuple[int, int]], list[list[int]], bool, bool]]:
+    """(words, features, whether the text begins with them, whether it ends with them) of the stretches that are tagged.
 
-    A word with a digit or one of = _ + / is odd; a stretch holds odd words and those within REACH of them. All
-    others, and all around them, are shaped alike as far as features go. `everything` makes one stretch of a text.
+    A stretch holds odd words and those within REACH of them. All others show only a length, and neighbours of shape
+    plain or the text's end. `everything` makes one stretch of a text.
     """
-    places = [m.start() for m in _ODD.finditer(text)]
-    long_text, odd_text = len(text) > 4000, len(places) * 200 > len(text)
+    places = sum(1 for _ in _ODD.finditer(text))
+    of_text = [FEATURES["longtext"]] * (len(text) > 4000) + [FEATURES["oddtext"]] * (places * 200 > len(text))
+    words = [m.span() for m in _WORD.finditer(text)]
+    looks = [_look(text[a:b]) for a, b in words]
     if everything:
-        stretches = [[m.span() for m in _WORD.finditer(text)]]
+        stretches = [(0, len(words))] if words else []
     else:
-        stretches, last = [], -1
-        for place in places:
-            if place < last:
-                continue
-            start, end = _word_at(text, place)
-            last = end
-            words = _near(text, start, end, 2 * REACH)
-            if stretches and words[0][0] <= stretches[-1][-1][0]:
-                stretches[-1] += [w for w in words if w[0] > stretches[-1][-1][0]]
-            else:
-                stretches.append(words)
-    for words in stretches:
-        own = [text[a:b] for a, b in words]
-        shapes = [shape(w) for w in own]
-        yield words, [word_features(own, i, shapes, long_text, odd_text) for i in range(len(own))]
+        stretches = []
+        for i, (_, _, odd) in enumerate(looks):
+            if odd:
+                first, end = max(0, i - REACH), min(len(words), i + REACH + 1)
+                if stretches and first <= stretches[-1][1]:
+                    stretches[-1] = stretches[-1][0], end
+                else:
+                    stretches.append((first, end))
+    for first, end in stretches:
+        features = []
+        for i in range(first, end):
+            near = [_AT[d][looks[i + d][0] if 0 <= i + d < len(words) else "none"] for d in range(-REACH, REACH + 1)]
+            features.append([FEATURES["bias"], *near, *looks[i][1], *of_text])
+        yield words[first:end], features, first == 0, end == len(words)
+
+
+#: Numbers of the shape features by distance.
+_AT = {d: {s: FEATURES[f"{d:+d}:{s}" if d else f"0:{s}"] for s in (*_SHAPES, "none")} for d in range(-REACH, REACH + 1)}
 
 
 def plain_features(long_text: bool, odd_text: bool) -> list[list[int]]:
     """Features of the words that no stretch holds, one list for each length."""
-    return [word_features([w] * 5, 2, ["plain"] * 5, long_text, odd_text) for w in ("of", "anything", "anythingatall", "a" * 30, "a" * 60)]
+    return [word_features([w] * 5, 2, ["plain"] * 5, long_text, odd_text) for w in ("of", "anana" * 2, "anana" * 3, "a" * 30, "a" * 60)]
+
+
+def outside_features(long_text: bool, odd_text: bool) -> Iterator[list[int]]:
+    """All features that words outside of stretches can have: any length, and any number of words to either side."""
+    for w in ("of", "anana" * 2, "anana" * 3, "a" * 30, "a" * 60):
+        for before in range(REACH + 1):
+            for after in range(REACH + 1):
+                n = before + 1 + after
+                yield word_features([w] * n, before, ["plain"] * n, long_text, odd_text)
 
 
 def labels(words: list[tuple[int, int]], spans: list[Span]) -> list[int]:
@@ -181,9 +179,10 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     items, tags = [], []
     for row in sample:
         spans = base_spans(row.t)
-        for words, features in segments(row.t):
-            items.append(features)
-            tags.append(labels(words, spans))
+        for words, features, _, _ in segments(row.t):
+            own = labels(words, spans)
+            items += [features[k: k + PIECE] for k in range(0, len(words), PIECE)]
+            tags += [own[k: k + PIECE] for k in range(0, len(words), PIECE)]
     for k in (False, True):
         for o in (False, True):
             # ordinary words of any length, which the stretches hardly show
@@ -196,8 +195,9 @@ def scan_text(text: str, field: Crf, everything: bool = False) -> tuple[list[Spa
     """(base spans, all spans). A tagged run of words becomes a span unless a base span overlaps it."""
     base = base_spans(text)
     more = []
-    for words, features in segments(text, everything):
-        tags = field.viterbi(features)
+    after = [row[OUTSIDE] for row in field.moves]
+    for words, features, begins, ends in segments(text, everything):
+        tags = field.viterbi(features, None if begins else field.moves[OUTSIDE], None if ends else after)
         run: list[tuple[int, int]] = []
         for (a, b), tag in [*zip(words, tags, strict=True), ((0, 0), OUTSIDE)]:
             if tag != INSIDE and run:
@@ -218,11 +218,11 @@ def scan(docs: DataFrame, field: Crf, id_column: str = "doc_id", text_column: st
 
     Null, empty and plain texts have no spans; every row is judged alone, so rows alike get the same; null ids are
     passed on; an empty table stays empty; other columns are not read. A text of any length is scanned whole:
-    plain words far from odd ones are outside on the best path, as their own score outweighs all moves, and only if
-    the fitted field does not grant that, all words are tagged.
+    words outside of stretches are outside on the best path, as their own score outweighs all moves, and only if
+    the fitted field does not grant that for all features they can have, all words are tagged.
     """
     everything = any(field.lead(f, OUTSIDE) <= field.most_moves(OUTSIDE)
-                     for k in (False, True) for o in (False, True) for f in plain_features(k, o))
+                     for k in (False, True) for o in (False, True) for f in outside_features(k, o))
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
