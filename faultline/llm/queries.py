@@ -7,7 +7,10 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import byte_cnn, html_text, jaccard_join, line_dedup, mixing, neighbours, packing, quality_rules, secrets, suffix_dedup
+from faultline.llm import (
+    byte_cnn, html_text, jaccard_join, line_dedup, mixing, neighbours, packing, quality_rules, secrets, suffix_dedup,
+    vector_codes, whitening,
+)
 from faultline.llm.common import share_library, table
 from faultline.llm.sql import ORACLE
 
@@ -85,3 +88,19 @@ def op9_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@query
+def op12_adaptive_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    if codes is None:
+        return spark.createDataFrame([], "vec_id long, code string, error long, label_error long, codebooks_sha256 string")
+    hexed = F.array_join(F.transform("code", lambda c: F.lower(F.lpad(F.hex(c.cast("long")), 2, "0"))), "")
+    return vector_codes.with_label_errors(codes.rows, "label").select(
+        "row.vec_id", hexed.alias("code"), "error", "label_error", F.lit(vector_codes.digest(codes.codebooks)).alias("codebooks_sha256"))
