@@ -68,11 +68,12 @@ def record_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def text_blocks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def text_blocks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+                block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Whole texts packed into compressed blocks and stored once: (block, size, ids, lengths, payload).
 
     A block and a place in it name a row from then on, whatever its id is (null or repeated ids too).
-    Blocks hold about BLOCK_BYTES of text, so a task has one of them in memory at a time.
+    Blocks hold about `block_bytes` of text, so a task has one of them in memory at a time.
     """
     id_type = docs.schema[id_column].dataType.simpleString()
 
@@ -89,7 +90,7 @@ def text_blocks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             data, offsets = buffers(batch.column(1))
             first = 0
             while first < batch.num_rows:
-                last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + BLOCK_BYTES, "right")) - 1)
+                last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + block_bytes, "right")) - 1)
                 last = min(last, batch.num_rows)
                 yield block(batch.column(0).slice(first, last - first),
                             data[offsets[first]: offsets[last]], offsets[first: last + 1])
@@ -97,7 +98,7 @@ def text_blocks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     packed = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(
         pack, f"ids array<{id_type}>, size long, lengths binary, payload binary")
-    with record_batches(docs.sparkSession, BATCH_ROWS):
+    with record_batches(docs.sparkSession, BATCH_ROWS * max(1, block_bytes // BLOCK_BYTES)):
         return stored(packed.select(F.monotonically_increasing_id().alias("block"), "*"), "blocks")
 
 

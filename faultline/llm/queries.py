@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import (
-    byte_cnn, html_text, jaccard_join, line_dedup, mixing, neighbours, packing, quality_rules, secrets, suffix_dedup,
+    backoff_lm, byte_cnn, html_text, jaccard_join, line_dedup, mixing, neighbours, packing, quality_rules, secrets, suffix_dedup,
     vector_codes, whitening,
 )
 from faultline.llm.common import share_library, table
@@ -104,3 +104,8 @@ def op12_adaptive_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     hexed = F.array_join(F.transform("code", lambda c: F.lower(F.lpad(F.hex(c.cast("long")), 2, "0"))), "")
     return vector_codes.with_label_errors(codes.rows, "label").select(
         "row.vec_id", hexed.alias("code"), "error", "label_error", F.lit(vector_codes.digest(codes.codebooks)).alias("codebooks_sha256"))
+
+
+@query
+def op13_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score(table(spark, sf_dir, "documents"))
