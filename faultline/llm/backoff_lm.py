@@ -14,6 +14,7 @@ p(w | h) = (c(hw) + strength p(w | h')) / (c(h) + strength), and words are smoot
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,9 @@ ORDER = 2
 STRENGTH = 150.0
 ADDED = 0.1
 #: Text bytes of a block, and of the corpus for each part.
-BLOCK_BYTES, PART_BYTES = 8 << 20, 16 << 20
+BLOCK_BYTES, PART_BYTES = 4 << 20, 16 << 20
+#: Bytes that name a word and a longer n-gram within its part.
+WORD_NAME, GRAM_NAME = 12, 7
 BEGIN, END = 0, 1
 #: Names of the two marks; words hold no white space.
 _MARKS = (b" begin", b" end")
@@ -69,6 +72,11 @@ class Grams:
         wanted = np.repeat(texts, np.diff(np.append(self.starts, len(self.tokens))))
         return [np.bincount(at[wanted & (at >= 0)], minlength=len(key)) for at, key in zip(self.at, self.keys, strict=True)]
 
+    def names(self) -> list[np.ndarray]:
+        """Names within a part, as rows of bytes."""
+        raw = [key.view(np.uint8).reshape(-1, 16) for key in self.keys]
+        return [raw[0][:, 16 - WORD_NAME:], *[r[:, 8: 8 + GRAM_NAME] for r in raw[1:]]]
+
     def parts(self, n: int) -> list[np.ndarray]:
         return [(key[:, 0] % np.uint64(n)).astype(np.int64) for key in self.keys]
 
@@ -118,30 +126,28 @@ def _dealt(values: np.ndarray, part: np.ndarray, held: np.ndarray, kind: type) -
     """The values of each part in `held`, in their order, as bytes."""
     order = np.argsort(part, kind="stable")
     cut = np.searchsorted(part[order], held)
-    raw, size = values[order].astype(kind).tobytes(), values[:1].astype(kind).nbytes or 1
+    raw, size = values[order].astype(kind).tobytes(), int(np.prod(values.shape[1:])) * np.dtype(kind).itemsize
     ends = (np.append(cut[1:], len(part)) * size).tolist()
     return pa.array([raw[a:b] for a, b in zip((cut * size).tolist(), ends, strict=True)], pa.binary())
 
 
 def _ask(blocks: DataFrame, parts: int, order: int) -> DataFrame:
-    """For each block and part the names of its n-grams, 16 bytes for a word and 8 beside the part for a longer one, with
-    their counts in training texts."""
+    """For each block and part the names of its n-grams with their counts in training texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 own = grams(batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), order)
                 trains = ~batch.column(1)[i].values.field("held_out").to_numpy(zero_copy_only=False)
-                counts, part = own.counts(trains), own.parts(parts)
-                names = [own.keys[0], *[key[:, 1] for key in own.keys[1:]]]
-                longer = np.concatenate([np.zeros(0, np.uint64), *names[1:]])
+                counts, part, names = own.counts(trains), own.parts(parts), own.names()
+                longer = np.concatenate([np.zeros((0, GRAM_NAME), np.uint8), *names[1:]])
                 long_part = np.concatenate([np.zeros(0, np.int64), *part[1:]])
                 long_counts = np.concatenate([np.zeros(0, np.int64), *counts[1:]])
                 held = np.unique(np.concatenate([part[0], long_part]))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(held.astype(np.int32)), pa.array(np.full(len(held), batch.column(0)[i].as_py())),
                     *[_dealt(a, p, held, t) for a, p, t in (
-                        (names[0], part[0], np.uint64), (counts[0], part[0], np.uint32),
-                        (longer, long_part, np.uint64), (long_counts, long_part, np.uint32))]],
+                        (names[0], part[0], np.uint8), (counts[0], part[0], np.uint32),
+                        (longer, long_part, np.uint8), (long_counts, long_part, np.uint32))]],
                     ["part", "block", "words", "word_counts", "grams", "gram_counts"])
 
     return blocks.select("block", "ids", "lengths", "payload").mapInArrow(run, ASKED)
@@ -152,8 +158,12 @@ ANSWERED = "part int, block long, word_counts binary, gram_counts binary, tokens
 
 def _total(names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the sum over equal names beside each, the sum of each distinct one)."""
-    if names.dtype == np.uint64 and names.ndim == 2:
-        names = np.ascontiguousarray(names).view("V16").ravel()
+    if names.shape[1] <= 8:
+        whole = np.zeros((len(names), 8), np.uint8)
+        whole[:, : names.shape[1]] = names
+        names = whole.view(np.uint64).ravel()
+    else:
+        names = np.ascontiguousarray(names).view(f"V{names.shape[1]}").ravel()
     _, which = np.unique(names, return_inverse=True)
     sums = np.zeros(which.max(initial=-1) + 1, np.int64)
     np.add.at(sums, which, counts)
@@ -166,12 +176,12 @@ def _answer(group: pa.Table) -> pa.Table:
         return [np.frombuffer(v, kind) for v in group[name].to_pylist()]
 
     words, word_counts, longer, long_counts = (column(c, t) for c, t in (
-        ("words", np.uint64), ("word_counts", np.uint32), ("grams", np.uint64), ("gram_counts", np.uint32)))
-    begin = np.frombuffer(xxhash.xxh3_128_digest(_MARKS[0]), np.uint64)
-    names = np.concatenate(words).reshape(-1, 2)
+        ("words", np.uint8), ("word_counts", np.uint32), ("grams", np.uint8), ("gram_counts", np.uint32)))
+    begin = np.frombuffer(xxhash.xxh3_128_digest(_MARKS[0])[16 - WORD_NAME:], np.uint8)
+    names = np.concatenate(words).reshape(-1, WORD_NAME)
     beside, sums = _total(names, np.concatenate(word_counts))
     marks = beside[(names == begin).all(axis=1)][:1].sum()                       # begin marks are no tokens
-    beside_long, _ = _total(np.concatenate(longer), np.concatenate(long_counts))
+    beside_long, _ = _total(np.concatenate(longer).reshape(-1, GRAM_NAME), np.concatenate(long_counts))
     cut = lambda a, like: [c.astype(np.int64).tobytes() for c in np.split(a, np.cumsum([len(w) for w in like])[:-1])]
     first = np.arange(group.num_rows) == 0
     return pa.table({
@@ -202,10 +212,10 @@ class Automaton:
     words: int
     begin: int
     arcs: dict[int, int]
-    to: list[int]
-    weight: list[float]
-    fail: list[int]
-    fail_weight: list[float]
+    to: array
+    weight: array
+    fail: array
+    fail_weight: array
 
     def score(self, tokens: list[int]) -> float:
         """log10 probability of the tokens after a begin mark."""
@@ -250,8 +260,10 @@ def automaton(own: Grams, counts: list[np.ndarray], n_tokens: int, n_distinct: i
         weight.append(np.log10(p[seen]))
     code = np.concatenate(codes)
     begin = int(state_of[0][BEGIN]) if order > 1 else 0
-    return Automaton(words, begin, dict(zip(code.tolist(), range(len(code)), strict=True)), np.concatenate(to).tolist(),
-                     np.concatenate(weight).tolist(), np.concatenate(fail).tolist(), np.concatenate(fail_weight).tolist())
+    whole = lambda a: array("q", np.concatenate(a).astype(np.int64).tobytes())
+    real = lambda a: array("d", np.concatenate(a).tobytes())
+    return Automaton(words, begin, dict(zip(code.tolist(), range(len(code)), strict=True)), whole(to), real(weight), whole(fail),
+                     real(fail_weight))
 
 
 RESULT = "id {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -264,7 +276,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     A null or empty text is its end mark alone. A text of any length is read whole; rows alike are learned as often as
     they occur and score alike; null ids are held out by the default rule, null and repeated ids are passed on; other
     columns are not read; an empty table stays empty. Where nothing can be learned every token has the same probability, 1.
-    Words are told apart by 128-bit hashes, longer n-grams by 64 bits and their part.
+    Words are told apart by 96 bits of a hash and longer n-grams by 56, each beside its part.
     """
     kind = docs.schema[id_column].dataType.simpleString()
     hold_out = held_out(id_column) if hold_out is None else hold_out
