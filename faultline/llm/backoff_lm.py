@@ -31,7 +31,7 @@ ORDER = 2
 STRENGTH = 150.0
 ADDED = 0.1
 #: Text bytes of a block, and of the corpus for each part.
-BLOCK_BYTES, PART_BYTES = 4 << 20, 16 << 20
+BLOCK_BYTES, PART_BYTES = 4 << 20, 8 << 20
 #: Bytes that name a word and a longer n-gram within its part.
 WORD_NAME, GRAM_NAME = 12, 7
 BEGIN, END = 0, 1

@@ -58,6 +58,20 @@ class Crf:
         return max(max(row[z] - row[label] for row in into) + max(row[z] - row[label] for row in out) for z in others)
 
 
+def viterbi_many(scores: np.ndarray, moves: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Best labels of sequences of one length at once: scores[sequence, item, label], first and last[sequence, label];
+    ties go to the smaller label."""
+    score, back = first + scores[:, 0], []
+    for t in range(1, scores.shape[1]):
+        through = score[:, :, None] + moves
+        back.append(through.argmax(axis=1))
+        score = through.max(axis=1) + scores[:, t]
+    path = [(score + last).argmax(axis=1)]
+    for came in reversed(back):
+        path.append(np.take_along_axis(came, path[-1][:, None], axis=1)[:, 0])
+    return np.stack(path[::-1], axis=1)
+
+
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
