@@ -29,7 +29,9 @@ def query(f):
 
 @query
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+    """The contract's columns, how many bytes are left, and the text they make; what a cut leaves of a character reads U+FFFD."""
+    rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.withColumn("text", F.expr("make_valid_utf8(CAST(kept AS STRING))")).drop("kept")
 
 
 @query

@@ -9,7 +9,9 @@ anchors, a sparse suffix array.
    front-codes the run and sends it by range; a loser tree merges the runs of a range. It compares the prefix that
    an entry shares with the last output first, so no byte known to be equal is read again. With the common prefixes
    to the right and those of the sorted bytes to the left, classes of equal strings follow for each distance.
-Contexts of an anchor that are more than MANY are not gathered: their strings are counted by hash instead.
+Contexts of a core that are more than MANY are dealt out before they are sorted: by sector of the anchor's distance and by
+the bytes that all strings of a sector share, ever narrower sectors until a group is small enough. A sector of
+one distance shares whole strings, so nothing is left to compare.
 """
 
 from __future__ import annotations
@@ -31,11 +33,12 @@ from faultline.sources.scratch import stored
 LENGTH = 400
 SPAN = 240
 GRAM = 12
-#: Contexts of one core that are sorted in one task, at most; beyond that they are counted by hash.
+#: Contexts of one core that are sorted in one task, at most; beyond that the core is dealt out by sectors of these widths.
 MANY = 50_000
+SECTORS = (60, 15, 4, 1)
 #: Suffixes merged in one task, about.
 RANGE_SUFFIXES = 20_000
-#: One core in so many is a candidate for a range bound.
+#: Cores of which one in so many contexts is a candidate for a range bound.
 SAMPLE = 512
 
 _POWERS = np.cumprod(np.full(GRAM, 0x9E3779B97F4A7C15, np.uint64))
@@ -91,7 +94,7 @@ def _find_anchors(blocks: DataFrame) -> DataFrame:
                         core = digest(raw[p: p + CORE])
                         cores.append(core)
                         fulls.append(digest(raw[a: b + LENGTH], p - a))
-                        samples.append(raw[p: p + CORE] if core % SAMPLE == 0 else None)
+                        samples.append(raw[p: p + CORE] if fulls[-1] % SAMPLE == 0 else None)
                     docs.append(np.full(len(place), doc, np.int32))
                     found.append(np.stack([place, first, last]).astype(np.int32))
                 if found:
@@ -198,7 +201,10 @@ def _send_runs(blocks: DataFrame, wanted: DataFrame, bounds: list[bytes]) -> Dat
         suffix = [raw[s:e] for s, e in zip((base + place).tolist(), (base + last + LENGTH).tolist(), strict=True)]
         before = [raw[s:e] for s, e in zip((base + first).tolist(), (base + place).tolist(), strict=True)]
         order = sorted(range(len(suffix)), key=suffix.__getitem__)
-        part = [bisect.bisect_right(bounds, suffix[i][:CORE]) for i in order]
+        dealt = right["part"].to_pylist()
+        part = [bisect.bisect_right(bounds, suffix[i][:CORE]) if dealt[i] is None else dealt[i] for i in order]
+        order = [order[k] for k in sorted(range(len(order)), key=part.__getitem__)]
+        part.sort()
         out = {k: [] for k in ("part", "block", "head", "shared", "rest", "left")}
         at = 0
         while at < len(order):
@@ -273,27 +279,48 @@ def _merge(group: pa.Table) -> pa.Table:
                      "first": pa.array(start[opens], pa.int32()), "last": pa.array(start[closes], pa.int32())})
 
 
-def _count_strings(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The same by hash counts, for anchors with too many contexts to gather: counts are combined before a shuffle."""
+def _sectors(blocks: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """The contexts cut by sectors of `width` distances, each with a hash of the bytes that all its strings share."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         data, offsets = unpack(left["lengths"][0].as_py(), left["payload"][0].as_py())
-        raw, docs, starts, keys = data.tobytes(), [], [], []
-        for doc, first, last in zip(*(right[c].to_pylist() for c in ("doc", "first", "last")), strict=True):
-            for s in range(first, last + 1):
-                at = int(offsets[doc]) + s
-                docs.append(doc)
-                starts.append(s)
-                keys.append(xxhash.xxh3_128_digest(raw[at: at + LENGTH]))
-        return pa.table({"block": pa.array([left["block"][0].as_py()] * len(docs), pa.int64()), "doc": pa.array(docs, pa.int32()),
-                         "first": pa.array(starts, pa.int32()), "string": pa.array(keys, pa.binary())})
-
-    strings = stored(blocks.select("block", "lengths", "payload").groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(
-        run, "block long, doc int, first int, string binary"), "strings")
-    again = stored(strings.groupBy("string").count().where("count > 1").select("string"), "again")
-    return strings.join(again, "string").select("block", "doc", "first", F.col("first").alias("last"))
-
-
-RESULT = "id {}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        raw = data.tobytes()
+        out: list[tuple] = []
+        for doc, place, first, last, ask in zip(*(right[c].to_pylist() for c in ("doc", "place", "first", "last", "ask")), strict=True):
+            base = int(offsets[doc])
+            for near in range((place - last) // width * width, place - first + 1, width):
+                far = near + width - 1
+                shared = raw[base + place - near: base + place + LENGTH - far]
+                out.append((xxhash.xxh3_128_digest(shared, near), doc, place, max(first, place - far), min(last, place - near), ask))
+        columns = list(zip(*out, strict=True)) if out else [()] * 6
+        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+        return pa.table({"block": pa.array([left["block"][0].as_py()] * len(out), pa.int64()), **{
+            k: pa.array(v, t) for k, v, t in zip(("shared", "doc", "place", "first", "last", "ask"), columns, kinds, strict=True)}})
+
+    return blocks.select("block", "lengths", "payload").groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(
+        run, "block long, shared binary, doc int, place int, first int, last int, ask boolean")
+
+
+def _deal(blocks: DataFrame, heavy: DataFrame, ranges: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """(contexts of heavy cores with the part that sorts them, marks of strings that whole groups share)."""
+    dealt = []
+    for width in SECTORS:
+        if heavy.isEmpty():
+            return dealt, None
+        cut = stored(_sectors(blocks, heavy, width), "sectors")
+        sizes = stored(cut.groupBy("shared").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+        # stored, so that adaptive execution can split a hot group
+        cut = stored(cut.join(sizes, "shared"), "groups")
+        if width == 1:
+            return dealt, cut.where("ask").select("block", "doc", "first", "last")
+        few = cut.where(F.col("n") <= MANY)
+        parts = max(1, math.ceil(few.count() / RANGE_SUFFIXES))
+        dealt.append(few.withColumn("part", (F.pmod(F.xxhash64("shared"), F.lit(parts)) + ranges).cast("int")))
+        ranges += parts
+        heavy = cut.where(F.col("n") > MANY)
+    return dealt, None
+
+
+RESULT = "id {}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, kept binary"
 
 
 def _cut(blocks: DataFrame, marks: DataFrame, id_type: str, with_text: bool) -> DataFrame:
@@ -319,14 +346,15 @@ def _cut(blocks: DataFrame, marks: DataFrame, id_type: str, with_text: bool) ->
             "n_removed": pa.array(removed[offsets[1:]] - removed[offsets[:-1]], pa.int64()),
             "n_spans": pa.array(spans[offsets[1:]] - spans[offsets[:-1]], pa.int64()),
             "kept_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string()),
+            "n_kept": pa.array([len(p) for p in parts], pa.int64()),
             "kept": pa.array(parts if with_text else [None] * len(parts), pa.binary())})
 
     return blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(run, RESULT.format(id_type))
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", with_text: bool = True) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; `kept` holds the bytes left, which need not
-    be whole characters, and is null where `with_text` is false.
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, kept) of every row; `kept` holds the bytes left, which need
+    not be whole characters, and is null where `with_text` is false.
 
     All copies of a repeated string go, the first one too. Null and empty texts keep nothing and lose nothing; texts
     under LENGTH bytes stay; rows alike are copies of each other; null and repeated ids are passed on; an empty
@@ -345,18 +373,20 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     state = stored(hits.join(contexts, ["core", "full"]).join(cores, "core"), "states")
 
     whole = state.where("copies > 1").select("block", "doc", "first", "last")
-    few = state.where(f"contexts between 2 and {MANY}").where(
-        (F.col("copies") == 1) | (F.struct("block", "doc", "place") == F.col("one")))
-    wanted = few.select("block", "doc", "place", "first", "last", (F.col("copies") == 1).alias("ask"))
+    once = state.where("contexts > 1").where((F.col("copies") == 1) | (F.struct("block", "doc", "place") == F.col("one"))).withColumn(
+        "ask", F.col("copies") == 1)
+    few = once.where(F.col("contexts") <= MANY)
+    columns = ("block", "doc", "place", "first", "last", "ask", "part")
+    wanted = few.withColumn("part", F.lit(None).cast("int")).select(*columns)
     ranges = max(1, math.ceil(few.count() / RANGE_SUFFIXES))
-    sample = sorted(r.sample for r in few.where("sample is not null").select("sample").distinct().limit(
-        64 * ranges).collect()) if ranges > 1 else []
+    # candidates weigh as much as their contexts; a core is not cut, so a bound is one of them
+    sample = sorted(r.sample for r in few.where("sample is not null").select("sample", F.xxhash64("block", "doc", "place").alias("h")).orderBy(
+        "h").limit(64 * ranges).collect()) if ranges > 1 else []
     bounds = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
-    partial = _send_runs(blocks, wanted, bounds).groupBy("part").applyInArrow(_merge, MARKS)
-    marks = [whole, partial]
-    if not state.where(f"contexts > {MANY}").isEmpty():
-        marks.append(_count_strings(blocks, state.where(f"contexts > {MANY}").select("block", "doc", "first", "last")))
-    every = marks[0]
-    for more in marks[1:]:
-        every = every.unionAll(more)
+    dealt, same = _deal(blocks, once.where(F.col("contexts") > MANY), ranges)
+    for more in dealt:
+        wanted = wanted.unionAll(more.select(*columns))
+    every = whole.unionAll(_send_runs(blocks, wanted, bounds).groupBy("part").applyInArrow(_merge, MARKS))
+    if same is not None:
+        every = every.unionAll(same)
     return _cut(blocks, every, id_type, with_text).withColumnRenamed("id", id_column)

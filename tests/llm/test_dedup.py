@@ -8,7 +8,7 @@ import re
 import pytest
 
 from faultline.llm import jaccard_join, line_dedup, suffix_dedup
-from tests.llm.fixtures import documents, texts
+from tests.llm.fixtures import documents, prose, texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -29,15 +29,28 @@ def plain_suffixes(rows):
     return sorted(map(str, out))
 
 
-@pytest.mark.parametrize("many", [suffix_dedup.MANY, 1])
+@pytest.mark.parametrize("many", [suffix_dedup.MANY, 4, 1])
 def test_suffix_dedup(spark, monkeypatch, many):
-    """Also where every anchor has too many contexts to gather."""
+    """Also where anchors have too many contexts to gather, and are dealt out by sectors."""
     monkeypatch.setattr(suffix_dedup, "MANY", many)
     monkeypatch.setattr(suffix_dedup, "RANGE_SUFFIXES", 20)
     monkeypatch.setattr(suffix_dedup, "SAMPLE", 3)
     rows = texts()
-    got = suffix_dedup.remove_repeats(documents(spark, rows)).drop("kept").collect()
-    assert sorted(str(tuple(r)) for r in got) == plain_suffixes(rows)
+    got = suffix_dedup.remove_repeats(documents(spark, rows)).collect()
+    assert sorted(str(tuple(r)[:5]) for r in got) == plain_suffixes(rows)
+    assert all(len(r.kept) == r.n_kept == r.n_bytes - r.n_removed for r in got)
+
+
+def test_suffix_dedup_of_a_core_with_many_surroundings(spark, monkeypatch):
+    """One passage of 300 bytes in 60 texts, whose surroundings are shared by none, two or many."""
+    monkeypatch.setattr(suffix_dedup, "MANY", 5)
+    rng = random.Random(4)
+    passage = prose(rng, 80)[:300]
+    tails = [prose(rng, 40) for _ in range(9)]
+    rows = [(i, prose(rng, 40) + tails[i % 7][:70] + passage + tails[i * i % 9][:90] + prose(rng, 40)) for i in range(60)]
+    got = suffix_dedup.remove_repeats(documents(spark, rows)).collect()
+    assert sorted(str(tuple(r)[:5]) for r in got) == plain_suffixes(rows)
+    assert sum(r.n_removed > 0 for r in got) > 20
 
 
 def test_suffix_dedup_of_nothing(spark):
