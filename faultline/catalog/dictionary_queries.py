@@ -89,6 +89,12 @@ _BUILT = f"""SELECT code, topology, row_number() OVER (PARTITION BY code, topolo
   SELECT code, topology, min([piece, pos]) AS place, failure_mode, mechanism, cause, symptom, CAST(sum(frequency) AS BIGINT) AS frequency FROM ({_ITEMS})
   WHERE failure_mode <> '' GROUP BY code, topology, failure_mode, mechanism, cause, symptom)"""
 query("build_dictionary", _BUILT)(lambda s, d: mode_rows(built(s, d)))
+query("long_dictionary", f"""SELECT code, topology, place[1] AS piece, failure_mode, mechanism, cause, symptom, frequency FROM (
+  SELECT code, topology, min([piece, pos]) AS place, failure_mode, mechanism, cause, symptom, CAST(sum(frequency) AS BIGINT) AS frequency FROM ({_ITEMS})
+  WHERE failure_mode <> '' GROUP BY code, topology, failure_mode, mechanism, cause, symptom)""")(
+    lambda s, d: D.long_dictionary(check_response(view(s, d, "batch_ledger", grouped=grouped(s, d)), EXTRACTION).where("status = 'ok'").select(
+        "code", "topology", "piece", "answer")).where("failure_mode IS NOT NULL").select(
+        "code", "topology", "piece", *D.TEXT_FIELDS, "frequency"))
 query("phase3", f"""SELECT code, topology, (SELECT string_agg(x, '|' ORDER BY place) FROM (SELECT x, min([piece, pos]) AS place FROM (SELECT a.piece, unnest(range(len(json_extract_string(a.j, '$.Empirical_Actions_Taken[*]')))) AS pos, unnest(json_extract_string(a.j, '$.Empirical_Actions_Taken[*]')) AS x FROM (SELECT * FROM ({_BATCH}) WHERE status = 'ok') a WHERE a.code = t.code AND a.topology = t.topology) GROUP BY x)) AS actions,
   (SELECT count(*) FROM ({_BUILT}) b WHERE b.code = t.code AND b.topology = t.topology) AS n_modes,
   (SELECT CAST(sum(frequency) AS BIGINT) FROM ({_BUILT}) b WHERE b.code = t.code AND b.topology = t.topology) AS n_logs

@@ -12,7 +12,7 @@ from faultline.catalog.taxonomy_queries import members
 from faultline.catalog.views import CONFIG, view
 from faultline.functions import contract as C
 from faultline.operators import merge, prompts, routing, taxonomy
-from faultline.operators.dictionary import mode_lines
+from faultline.operators.dictionary import long_entries, mode_lines
 from faultline.operators.sizes import broadcast_if_small
 from faultline.plans import codes, labels
 from faultline.sources.scratch import stored
@@ -51,26 +51,28 @@ query("check_response_extra", "SELECT row_id, n.reason AS novel_reason, k.reason
         C.ACTION_CLUSTERING).select("row_id", "novel_reason", c("reason").alias("clustering_reason")))
 
 
-def option_inputs(spark, d, wide=False):
-    """Rows with their options hash, and the option sets, both computed once."""
+def named_rows(spark, d, known):
+    return labels.operational_rows(labels.with_label_parts(grouped(spark, d), CONFIG), known, CONFIG)
+
+
+def option_inputs(spark, d):
+    """Rows with their options hash, and what answers may say for each, both computed once."""
     known = stored(entries(spark, d), "entries")
-    rows = labels.operational_rows(labels.with_label_parts(grouped(spark, d), CONFIG), known, CONFIG)
-    narrow = rows.drop("P4_OPERATIONAL_call") if wide else rows.select("row_id", "code", "skip", "options_key")
-    return (stored(narrow, "rows"),
-            broadcast_if_small(labels.option_sets(known, RULES), CONFIG.limits.broadcast_bytes))
+    may = labels.allowed(stored(long_entries(known), "long"), known, RULES)
+    return (stored(named_rows(spark, d, known).select("row_id", "code", "skip", "options_key"), "rows"),
+            broadcast_if_small(may, CONFIG.limits.broadcast_bytes))
 
 
-def with_choices(answers, rows, options):
-    """Answers beside the option lists of their row."""
-    return answers.join(rows.select("row_id", "options_key"), "row_id").join(options, "options_key")
+def with_key(answers, rows):
+    return answers.join(rows.select("row_id", "options_key"), "row_id")
 
 
 def checked_first(spark, d, rows, options):
-    return labels.check_operational(with_choices(view(spark, d, "op_ledger"), rows, options))
+    return labels.check_operational(with_key(view(spark, d, "op_ledger"), rows), options)
 
 
 def checked_second(spark, d, rows, options):
-    return labels.check_semantic(with_choices(view(spark, d, "sem_ledger"), rows, options), RULES)
+    return labels.check_semantic(with_key(view(spark, d, "sem_ledger"), rows), options, RULES)
 
 
 query("check_action", "SELECT row_id, reason FROM op_ok")(
@@ -180,7 +182,9 @@ _MODE_TEXT = f"CASE WHEN len(mode_choices) > 0 THEN {_LISTED} || chr(10) || 'or
 
 
 def option_rows(spark, d):
-    rows, options = option_inputs(spark, d, wide=True)
+    known = stored(entries(spark, d), "entries")
+    rows = stored(named_rows(spark, d, known).drop("P4_OPERATIONAL_call"), "rows")
+    options = broadcast_if_small(labels.option_sets(known, RULES), CONFIG.limits.broadcast_bytes)
     return rows.join(options, "options_key").withColumns(labels.prompt_parts(CONFIG))
 
 

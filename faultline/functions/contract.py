@@ -202,12 +202,6 @@ def failure_selection(member: str, v: str = "answer") -> Column:
         text_at(member, v))
 
 
-def check_action(options: Column, action: Column) -> Column:
-    return F.array_contains(options, action)
-
-
-def check_mode(modes: Column, escapes: Column, selection: Column) -> Column:
-    """Exactly one of: a listed four-field mode, or an escape mode with free fields."""
-    listed = F.coalesce(F.array_contains(modes, selection), F.lit(False))
-    escape = F.coalesce(F.array_contains(escapes, selection["failure_mode"]), F.lit(False))
-    return listed != escape
+def exactly_one(listed: Column, escapes: Column, name: Column) -> Column:
+    """A listed four-field mode, or the name of an escape mode with free fields; not both."""
+    return listed != F.coalesce(F.array_contains(escapes, name), F.lit(False))

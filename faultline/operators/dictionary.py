@@ -1,8 +1,9 @@
 """Failure dictionaries: group texts, extraction results, lookup and answer options.
 
-A dictionary is one row per (code, topology): `actions array<string>` and `modes
-array<struct<failure_mode,mechanism,cause,symptom,frequency>>`. Topology NULL stands for an
-entry that holds for every variant of the code.
+A dictionary has two forms. Long: one row per action and mode (LONG_SCHEMA), which is what answers are summed into
+and checked against, whatever its length. As entries: one row per (code, topology) with `actions array<string>` and `modes
+array<struct<failure_mode,mechanism,cause,symptom,frequency>>`, gathered only for texts that list them all: prompts and
+JSON. Topology NULL stands for an entry that holds for every variant of the code.
 """
 
 from __future__ import annotations
@@ -13,13 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.config import (
-    DEFAULT_ACTION_ESCAPES, DEFAULT_MODE_ESCAPES, NOT_ENOUGH, STANDARD_TOPOLOGY, UNKNOWN, Limits,
+    DEFAULT_ACTION_ESCAPES, DEFAULT_MODE_ESCAPES, NOT_ENOUGH, STANDARD_TOPOLOGY, UNKNOWN, Limits, Rules,
 )
 from faultline.functions.text import normalise, strip
 from faultline.operators.sizes import broadcast_if_small
 
 MODE_TYPE = "struct<failure_mode:string,mechanism:string,cause:string,symptom:string,frequency:bigint>"
 ENTRY_SCHEMA = f"code string, topology string, actions array<string>, modes array<{MODE_TYPE}>"
+#: A row is an action (`action` set), a mode (`failure_mode` set), or neither for an entry that lists nothing.
+LONG_SCHEMA = ("code string, topology string, piece bigint, pos int, action string, failure_mode string, mechanism string, "
+               "cause string, symptom string, frequency bigint")
 TEXT_FIELDS = ("failure_mode", "mechanism", "cause", "symptom")
 
 
@@ -107,50 +111,68 @@ def extracted_actions(answer: str = "answer") -> Column:
     return F.try_variant_get(answer, "$.Empirical_Actions_Taken", "array<string>")
 
 
-def merge_lists(lists: DataFrame) -> DataFrame:
-    """One entry per (code, topology) from rows (code, topology, piece, actions, modes).
+def long_lists(lists: DataFrame) -> DataFrame:
+    """The long dictionary (LONG_SCHEMA) of rows (code, topology, piece, actions, modes).
 
     One rule for any number of pieces: equal actions once, equal modes once with their frequencies
-    summed, both in order of first place. It sums before it gathers, so a gathered list is as long
-    as what is distinct in it.
+    summed, each at its first place. Sums are made before anything is sent, so neither a long
+    list nor a hot key gathers anywhere.
     """
     keys = ["code", "topology"]
-    place = F.min(F.struct("piece", "pos")).alias("place")
+    items = [f for f in ("action", *TEXT_FIELDS)]
+
+    def rows(name: str, fields: dict[str, Column]) -> DataFrame:
+        found = lists.select(*keys, F.col("piece").cast("bigint").alias("piece"), F.posexplode(name).alias("pos", "item"))
+        return found.select(*keys, "piece", "pos", *[fields.get(f, F.lit(None).cast("string")).alias(f) for f in items],
+                            fields.get("frequency", F.lit(None).cast("bigint")).alias("frequency"))
+
+    actions = rows("actions", {"action": F.col("item")})
+    modes = rows("modes", {f: F.col(f"item.{f}") for f in (*TEXT_FIELDS, "frequency")})
+    nothing = lists.select(*keys).distinct().select(*keys, F.lit(None).cast("bigint").alias("piece"), F.lit(None).cast("int").alias("pos"), *[
+        F.lit(None).cast("string").alias(f) for f in items], F.lit(None).cast("bigint").alias("frequency"))
+    place = F.min(F.when(F.col("piece").isNotNull(), F.struct("piece", "pos"))).alias("place")
+    found = actions.unionByName(modes).unionByName(nothing).groupBy(*keys, *items).agg(place, F.sum("frequency").alias("frequency"))
+    return found.select(*keys, "place.piece", "place.pos", *items, "frequency")
+
 
-    def items(name: str) -> DataFrame:
-        return lists.select(*keys, "piece", F.posexplode(name).alias("pos", "item"))
+def gather_entries(long: DataFrame) -> DataFrame:
+    """Entries of a long dictionary, lists in order of place: for texts that show them all."""
+    place = F.struct("piece", "pos")
 
-    def gather(found: DataFrame, value: Column, name: str) -> DataFrame:
-        return found.groupBy(*keys).agg(F.transform(
-            F.sort_array(F.collect_list(F.struct("place", value.alias("value")))),
-            lambda x: x["value"]).alias(name))
+    def listed(present: str, value: Column) -> Column:
+        # what is alike in place is told apart by value, so a list comes out the same in every run
+        held = F.when(F.col("piece").isNotNull() & F.col(present).isNotNull(), F.struct(place.alias("place"), value.alias("value")))
+        return F.transform(F.sort_array(F.collect_list(held)), lambda x: x["value"])
 
-    actions = items("actions").groupBy(*keys, "item").agg(place)
-    modes = (items("modes")
-             .select(*keys, "piece", "pos", *[F.col(f"item.{f}").alias(f) for f in TEXT_FIELDS],
-                     F.col("item.frequency").alias("frequency"))
-             .groupBy(*keys, *TEXT_FIELDS).agg(place, F.sum("frequency").alias("frequency")))
+    modes = listed("failure_mode", F.struct(*TEXT_FIELDS, "frequency"))
+    return long.groupBy("code", "topology").agg(
+        listed("action", F.col("action")).cast("array<string>").alias("actions"), modes.cast(f"array<{MODE_TYPE}>").alias("modes"))
 
-    def attach(rows: DataFrame, side: DataFrame, name: str) -> DataFrame:
-        side = side.select(F.col("code").alias("_c"), F.col("topology").alias("_t"), name)
-        return rows.join(side, F.col("code").eqNullSafe(F.col("_c")) & F.col("topology").eqNullSafe(F.col("_t")), "left").drop("_c", "_t")
 
-    entries = attach(attach(lists.select(*keys).distinct(), gather(actions, F.col("item"), "actions"), "actions"),
-                     gather(modes, F.struct(*TEXT_FIELDS, "frequency"), "modes"), "modes")
-    return entries.select(
-        *keys, F.coalesce("actions", F.array().cast("array<string>")).alias("actions"),
-        F.coalesce("modes", F.array().cast(f"array<{MODE_TYPE}>")).alias("modes"))
+def merge_lists(lists: DataFrame) -> DataFrame:
+    """One entry per (code, topology) from rows (code, topology, piece, actions, modes)."""
+    return gather_entries(long_lists(lists))
+
+
+def long_dictionary(answers: DataFrame) -> DataFrame:
+    """The long dictionary of valid extraction answers (code, topology, piece, answer)."""
+    return long_lists(answers.select(
+        "code", "topology", "piece", extracted_actions().alias("actions"), extracted_modes().alias("modes")))
 
 
 def build_dictionary(answers: DataFrame) -> DataFrame:
     """Entries from valid extraction answers (code, topology, piece, answer)."""
-    return merge_lists(answers.select(
-        "code", "topology", "piece", extracted_actions().alias("actions"), extracted_modes().alias("modes")))
+    return gather_entries(long_dictionary(answers))
+
+
+def long_entries(entries: DataFrame) -> DataFrame:
+    """The long dictionary of entries that may list a key more than once, merged by the rule of pieces."""
+    return long_lists(entries.select("code", "topology", F.lit(0).alias("piece"), "actions", "modes"))
 
 
 def one_per_key(entries: DataFrame) -> DataFrame:
     """Entries of a dictionary that may list a key more than once, merged by the rule of pieces."""
-    return merge_lists(entries.select("code", "topology", F.lit(0).alias("piece"), "actions", "modes"))
+    return gather_entries(long_entries(entries))
 
 
 def mode_frequency(entries: DataFrame) -> DataFrame:
@@ -242,6 +264,25 @@ def escape_modes(escapes: Sequence[str]) -> Column:
     return distinct_texts(_literals(escapes or DEFAULT_MODE_ESCAPES))
 
 
+def allowed_values(long: DataFrame, keys: DataFrame, rules: Rules, no_entry: Column) -> DataFrame:
+    """What answers may say, one distinct row (options_key, action or the four mode fields) each.
+
+    `keys` names the options_key of each (code, topology); `no_entry` is that of rows without an entry. Blank actions
+    and modes are no options; escape actions hold everywhere.
+    """
+    # a name of their own, so that sides of one table can be joined
+    named = keys.select(F.col("code").alias("_code"), F.col("topology").alias("_topology"), "options_key")
+    of = long.join(named, F.col("code").eqNullSafe(F.col("_code")) & F.col("topology").eqNullSafe(F.col("_topology")))
+    none = [F.lit(None).cast("string").alias(f) for f in TEXT_FIELDS]
+    texts = [strip(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in TEXT_FIELDS]
+    actions = of.where(F.col("action").isNotNull()).select("options_key", strip("action").alias("action"), *none).where("action <> ''")
+    modes = of.where(F.col("failure_mode").isNotNull()).select("options_key", F.lit(None).cast("string").alias("action"), *texts).where(
+        "failure_mode <> ''")
+    every = keys.select("options_key").unionByName(keys.sparkSession.range(1).select(no_entry.alias("options_key"))).distinct()
+    escapes = every.select("options_key", F.explode(distinct_texts(_literals(rules.action_escapes or DEFAULT_ACTION_ESCAPES))).alias("action"), *none)
+    return actions.unionByName(modes).unionByName(escapes).distinct()
+
+
 def action_list_text(options: Column) -> Column:
     """Allowed actions as shown in a prompt: exactly what the contract accepts."""
     return F.array_join(options, ", ")

@@ -9,7 +9,7 @@ from faultline.config import Config
 from faultline.functions.contract import EXTRACTION
 from faultline.functions.text import or_unknown
 from faultline.functions.topology import block_of_key
-from faultline.operators.dictionary import batch_line, build_dictionary, group_batches, line_chars
+from faultline.operators.dictionary import batch_line, gather_entries, group_batches, line_chars, long_dictionary
 from faultline.operators.hooks import redact_text
 from faultline.operators.ledger import call_id
 from faultline.operators.prompts import render
@@ -48,10 +48,15 @@ def extraction_prompt(config: Config) -> Column:
     return render(config.prompts.extract, _fields())
 
 
-def dictionary_from_answers(calls: DataFrame, answers: DataFrame, key: str = "call_id") -> DataFrame:
-    """Entries of all groups whose pieces all have a valid answer; others are left out and stay pending."""
+def long_from_answers(calls: DataFrame, answers: DataFrame, key: str = "call_id") -> DataFrame:
+    """The long dictionary of all groups whose pieces all have a valid answer; others are left out and stay pending."""
     good = answers.where(F.col("status") == "ok").select(key, "answer")
     answered = calls.select("code", "topology", "piece", "n_pieces", key).join(good, key)
     whole = answered.groupBy("code", "topology").agg(
         F.count_distinct("piece").alias("_have"), F.max("n_pieces").alias("_need")).where("_have = _need")
-    return build_dictionary(answered.join(whole.select("code", "topology"), ["code", "topology"], "left_semi"))
+    return long_dictionary(answered.join(whole.select("code", "topology"), ["code", "topology"], "left_semi"))
+
+
+def dictionary_from_answers(calls: DataFrame, answers: DataFrame, key: str = "call_id") -> DataFrame:
+    """The same as entries with their lists."""
+    return gather_entries(long_from_answers(calls, answers, key))

@@ -20,7 +20,7 @@ from faultline.config import ROUTE_BYPASSED, Config
 from faultline.functions.contract import (
     AUDIT, CLASSIFICATION, EXTRACTION, OPERATIONAL, SEMANTIC, Contract, check_response, parse_response,
 )
-from faultline.operators.dictionary import line_chars, one_per_key
+from faultline.operators.dictionary import gather_entries, line_chars, long_entries
 from faultline.operators.hooks import Labeller
 from faultline.operators.ledger import answers, attempt_state, label_pending, read_ledger
 from faultline.operators.merge import merge_codes, merge_failures, merge_labels, with_qa_status
@@ -132,31 +132,33 @@ def with_codes(run: Run, rows: DataFrame, coded: DataFrame) -> DataFrame:
 
 
 def run_dictionary(run: Run, grouped: DataFrame) -> DataFrame:
-    """Dictionary entries; only groups that are new or changed are asked about."""
+    """The long dictionary; only groups that are new or changed are asked about."""
     calls = run.table("batches", extraction.extraction_calls(grouped, run.config))
     answered = run.ask(extraction.P3, EXTRACTION, calls.dropDuplicates(["call_id"]),
                        lambda df: df.withColumn("prompt", extraction.extraction_prompt(run.config)))
-    return run.table("dictionary", extraction.dictionary_from_answers(calls, answered))
+    return run.table("dictionary_long", extraction.long_from_answers(calls, answered))
 
 
-def run_labels(run: Run, grouped: DataFrame, entries: DataFrame) -> DataFrame:
-    """row_key with the P4 columns."""
+def run_labels(run: Run, grouped: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """row_key with the P4 columns. Prompts show gathered lists; answers are joined with the long dictionary."""
     config = run.config
+    entries = run.table("dictionary", gather_entries(dictionary))
+    allowed = broadcast_if_small(labels.allowed(dictionary, entries, config.rules), config.limits.broadcast_bytes)
     named = labels.operational_rows(grouped, entries, config)
     plan = run.table("label_plan", named.select("row_key", "row_id", "code", "skip", "P4_OPERATIONAL_call"))
-    options = broadcast_if_small(labels.option_sets(entries, config.rules), config.limits.broadcast_bytes)
+    options = broadcast_if_small(labels.option_sets(entries, config.rules).select("options_key", "actions_text", "modes_text"), config.limits.broadcast_bytes)
 
     def prompt_with(column):
         return lambda calls: calls.join(options, "options_key").withColumn("prompt", column)
 
     calls = labels.operational_calls(named, config)
     first = run.ask(labels.P4_OPERATIONAL, OPERATIONAL, calls, prompt_with(labels.operational_prompt(config)),
-                    lambda df: labels.check_operational(df.join(options, "options_key")))
+                    lambda df: labels.check_operational(df, allowed))
     halfway = run.table("operational", labels.with_semantic_call(codes.apply_split(
         plan, ~F.col("skip"), first, lambda rows, got: labels.apply_operational(rows, got, config.rules)), config))
     second = run.ask(labels.P4_SEMANTIC, SEMANTIC, labels.semantic_calls(halfway, calls),
                      prompt_with(labels.semantic_prompt(config)),
-                     lambda df: labels.check_semantic(df.join(options, "options_key"), config.rules))
+                     lambda df: labels.check_semantic(df, allowed, config.rules))
     done = codes.apply_split(halfway, F.col("needs_semantic"), second,
                              lambda rows, got: labels.apply_semantic(rows, got, config.rules))
     return run.table("labels", done.select("row_key", "P4_Status", "code_mismatch", *sorted(
@@ -180,5 +182,5 @@ def full_run(run: Run, rows: DataFrame, taxonomy: DataFrame, dictionary: DataFra
     rows = rows.drop(*[c for c in rows.columns if RESULTS.fullmatch(c)])
     rows, coded = run_codes(run, rows, taxonomy)
     grouped = with_codes(run, rows, coded)
-    entries = run.table("dictionary", one_per_key(dictionary)) if dictionary is not None else run_dictionary(run, grouped)
+    entries = run.table("dictionary_long", long_entries(dictionary)) if dictionary is not None else run_dictionary(run, grouped)
     return finish(rows, coded, run_labels(run, grouped, entries), run.config)

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from faultline.config import LABEL_SKIPPED_REASON, SEMANTIC_SKIPPED_REASON, Config, Rules
 from faultline.functions.contract import (
-    MODE_FIELDS, OPERATIONAL, SEMANTIC, also_require, check_action, check_mode, check_response,
+    MODE_FIELDS, OPERATIONAL, SEMANTIC, also_require, check_response, exactly_one,
     failure_selection, flag_at, text_at,
 )
 from faultline.functions.flags import coerce_flag, lower_confidence
 from faultline.functions.text import active_code, or_unknown, strip
 from faultline.functions.topology import block_of_key, topology_key
 from faultline.operators.dictionary import (
-    ENTRY_SCHEMA, MODE_TYPE, TEXT_FIELDS, action_list_text, action_options, attach_entry, escape_modes, group_code, mode_list_text,
+    ENTRY_SCHEMA, MODE_TYPE, TEXT_FIELDS, action_list_text, action_options, allowed_values, attach_entry, escape_modes, group_code, mode_list_text,
     mode_options,
 )
 from faultline.operators.hooks import redact_text
@@ -124,17 +124,38 @@ def semantic_prompt(config: Config) -> Column:
     return render(config.prompts.semantic, {**fields, "valid_failure_modes_list": F.col("modes_text")})
 
 
-def check_operational(answers: DataFrame) -> DataFrame:
-    """Contract plus the row's own action list (`action_choices`)."""
-    ok = check_action(F.col("action_choices"), text_at("Action_Taken"))
-    return also_require(check_response(answers, OPERATIONAL), ok, "Action_Taken: not an allowed value")
+def allowed(long: DataFrame, entries: DataFrame, rules: Rules) -> DataFrame:
+    """Rows (options_key, action or mode) that answers are joined with; `entries` are the gathered form of `long`."""
+    keys = with_options(entries, rules).select("code", "topology", "options_key")
+    return allowed_values(long, keys, rules, no_entry_key(rules))
 
 
-def check_semantic(answers: DataFrame, rules: Rules) -> DataFrame:
-    """Contract plus exactly one of the row's own failure modes (`mode_choices`) or an escape."""
-    selection = F.struct(*[text_at(f"Failure_Mode_Selection.{n}").alias(f) for n, f in zip(MODE_NAMES, TEXT_FIELDS)])
-    ok = check_mode(F.col("mode_choices"), escape_modes(rules.mode_escapes), selection)
-    return also_require(check_response(answers, SEMANTIC), ok, "Failure_Mode_Selection: not exactly one option")
+def _listed(checked: DataFrame, options: DataFrame, said: dict[str, Column]) -> DataFrame:
+    """Adds `_listed`, whether the option set of the row has what the answer says. An option set lists a value once, so
+    rows stay as many as they are; a value that many answers share is split by adaptive execution."""
+    names = {f: f"_o_{f}" for f in said}
+    first = next(iter(names.values()))
+    side = options.select(F.col("options_key").alias("_o_key"), *[F.col(f).alias(n) for f, n in names.items()]).where(F.col(first).isNotNull())
+    checked = checked.withColumns({f"_s_{f}": v for f, v in said.items()})
+    on = F.col("options_key") == F.col("_o_key")
+    for f, n in names.items():
+        on = on & (F.col(f"_s_{f}") == F.col(n))
+    joined = checked.join(side, on, "left").withColumn("_listed", F.col(first).isNotNull())
+    return joined.drop("_o_key", *names.values(), *[f"_s_{f}" for f in said])
+
+
+def check_operational(answers: DataFrame, options: DataFrame) -> DataFrame:
+    """Contract, and an action that `options` (see `allowed`) lists for the row's options_key."""
+    checked = _listed(check_response(answers, OPERATIONAL), options, {"action": text_at("Action_Taken")})
+    return also_require(checked, F.col("_listed"), "Action_Taken: not an allowed value").drop("_listed")
+
+
+def check_semantic(answers: DataFrame, options: DataFrame, rules: Rules) -> DataFrame:
+    """Contract, and exactly one of the failure modes that `options` lists for the row's options_key, or an escape."""
+    said = {f: text_at(f"Failure_Mode_Selection.{n}") for n, f in zip(MODE_NAMES, TEXT_FIELDS)}
+    checked = _listed(check_response(answers, SEMANTIC), options, said)
+    ok = exactly_one(F.col("_listed"), escape_modes(rules.mode_escapes), said["failure_mode"])
+    return also_require(checked, ok, "Failure_Mode_Selection: not exactly one option").drop("_listed")
 
 
 def apply_operational(

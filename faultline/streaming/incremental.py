@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from faultline.operators.dictionary import long_entries
 from faultline.plans.full import Run, finish, run_codes, run_labels, with_codes
 from faultline.sources.tables import map_columns
 
@@ -20,10 +21,12 @@ def label_stream(
     in the ledger, so nothing is asked or written twice.
     """
 
+    long = run.table("dictionary_long", long_entries(dictionary))
+
     def handle(batch: DataFrame, number: int) -> None:
         part = replace(run, name=f"{run.name}-{number}")
         rows, coded = run_codes(part, map_columns(batch, run.config.columns), taxonomy)
-        labelled = run_labels(part, with_codes(part, rows, coded), dictionary)
+        labelled = run_labels(part, with_codes(part, rows, coded), long)
         finish(rows, coded, labelled, run.config).write.mode("overwrite").parquet(
             f"{run.folder}/labelled/batch={number}")
 

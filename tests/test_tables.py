@@ -325,3 +325,29 @@ def test_cost_and_totals(spark):
 
 def test_config_defaults():
     assert Config().rules.max_attempts == 2 and Config().taxonomy.pitch_keywords == ("pitch", "pich", "ptch")
+
+
+def test_a_key_of_100_000_modes_is_checked_by_a_join(spark):
+    """Nothing on the check side is a list, whatever a key holds; answers stay as many as they are."""
+    from faultline.operators.dictionary import LONG_SCHEMA, allowed_values, long_lists
+    from faultline.plans.labels import check_semantic, no_entry_key
+    n = 100_000
+    lists = spark.range(2).crossJoin(spark.range(n).select(F.col("id").alias("m"))).select(
+        F.lit("MDA10").alias("code"), F.lit(None).cast("string").alias("topology"), F.col("id").alias("piece"),
+        F.array(F.lit("Replaced")).alias("actions"), F.array(F.struct(
+            F.concat(F.lit("mode "), "m").alias("failure_mode"), F.lit("m").alias("mechanism"), F.lit("c").alias("cause"),
+            F.lit("s").alias("symptom"), F.lit(1).cast("bigint").alias("frequency"))).alias("modes"))
+    long = long_lists(lists)
+    assert long.schema.simpleString() == spark.createDataFrame([], LONG_SCHEMA).schema.simpleString()
+    assert long.where("failure_mode IS NOT NULL").agg(F.count("*"), F.sum("frequency")).first()[:] == (n, 2 * n)
+    keys = spark.createDataFrame([("MDA10", None, "k1")], "code string, topology string, options_key string")
+    rules = Rules()
+    options = allowed_values(long, keys, rules, no_entry_key(rules))
+    assert all(t == "string" for _, t in options.dtypes)
+    answer = ('{"System_Code": "MDA10", "Failure_Mode_Selection": {"Failure_Mode": "%s", "Mechanism": "m", "Cause": "c", "Symptom": "%s"}, '
+              '"Reasoning": "r", "Confidence_Score": "High", "Review_Flag": false}')
+    said = [("k1", answer % ("mode 99999", "s")), ("k1", answer % ("mode 99999", "other")), ("k1", answer % ("mode 100000", "s")),
+            ("k2", answer % ("mode 1", "s")), ("k1", answer % ("Other Novel Failure", "s")), ("k1", answer % ("mode 7", "s"))]
+    got = check_semantic(spark.createDataFrame(said, "options_key string, raw_response string").withColumn(
+        "n", F.monotonically_increasing_id()), options, rules)
+    assert [r.status for r in got.orderBy("n").collect()] == ["ok", "invalid", "invalid", "invalid", "ok", "ok"]
