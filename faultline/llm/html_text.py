@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,15 +19,19 @@ from faultline.llm.crf import Crf, fit
 TRAIN_PAGES, DRAWINGS = 150, 5
 #: Weight of the pages as they are.
 AS_THEY_ARE = 4
-#: Characters of a page that a training example takes; extraction itself takes all.
-TRAIN_CHARS = 30_000
+#: Blocks of a training sequence, at most; longer pages are fitted in pieces.
+PIECE = 60
 
 # names of HTML: what starts a new block, what is never text, what has no end tag
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td "
     "tfoot th thead tr ul title".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea select button canvas audio video".split())
+# What runs to its own end tag whatever stands in it; what holds no prose but is marked up like anything else.
+RAW = frozenset("script style textarea iframe".split())
+DROPPED = frozenset("noscript template object svg select button canvas audio video".split())
+#: Of these the next one cannot begin before the last has ended.
+ALONE = frozenset("select button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An open element of the first set is closed by a start tag of the second.
 CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"},
@@ -61,10 +66,12 @@ _BY_PART = {part: [h for h, parts in HINTS.items() if part in parts] for parts i
 
 @dataclass
 class Block:
-    """Text of one leaf, the tags above it, what their names hint at (and the nearest one's), and its linked characters."""
+    """Text of one leaf, the tags above it and the nearest block among them, what their names hint at (and the nearest
+    one's), and its linked characters."""
 
     text: str
-    tags: tuple[str, ...]
+    tags: frozenset
+    last: str
     hints: frozenset
     near: frozenset
     linked: int
@@ -81,56 +88,93 @@ def name_hints(attributes: str) -> frozenset:
     return frozenset(found)
 
 
+class _Ends:
+    """Where elements end, if they do. Places are asked for in rising order, so each page is searched once a name."""
+
+    def __init__(self, page: str):
+        self.page, self.found = page, {}
+
+    def next(self, mark: str, tag: str, at: int) -> tuple[int, int] | None:
+        """(start, end) of the first tag from there on; `mark` is "</" or "<"."""
+        known = self.found.get((mark, tag))
+        if known is None or known[0] is not None and known[0] < at:
+            m = re.compile(rf"{mark}{re.escape(tag)}(?![^\s/>])[^>]*(?:>|\Z)", re.I).search(self.page, at)
+            known = self.found[mark, tag] = m.span() if m else (None, None)
+        return known if known[0] is not None else None
+
+    def closed(self, tag: str, at: int) -> bool:
+        """Whether the element that starts before this place has an end tag of its own."""
+        end = self.next("</", tag, at)
+        if end is None or tag not in ALONE:
+            return end is not None
+        again = self.next("<", tag, at)
+        return again is None or again[0] > end[0]
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The blocks of a page in order: text between block-level tags, character references decoded, white space joined.
 
-    Comments, scripts and other elements that hold no prose are left out with all they contain. Missing end tags are
-    supplied as browsers do: a block start ends an open paragraph, an end tag closes what is open inside it.
+    Comments, scripts and other elements that hold no prose are left out with all they contain; one of these that is
+    never closed holds nothing, but for scripts and styles, which then reach to the end of the page. Missing end tags are
+    supplied as browsers do: a block start ends an open paragraph, an end tag closes what is open inside it. Elements may
+    be nested to any depth.
     """
     out: list[Block] = []
     stack: list[tuple[str, frozenset]] = []
+    open_tags: Counter = Counter()
+    open_blocks: list[str] = []
+    named: list[frozenset] = []
+    hints: Counter = Counter()
     pieces: list[str] = []
-    linked, at, skip_to = 0, 0, None
+    ends = _Ends(page)
+    linked, at, dropped = 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", "".join(pieces)).strip()
         if text:
-            named = [h for _, h in stack if h]
-            out.append(Block(text, tuple(t for t, _ in stack), frozenset().union(*named), named[-1] if named else frozenset(), linked))
+            out.append(Block(text, frozenset(open_tags), open_blocks[-1] if open_blocks else "", frozenset(hints),
+                             named[-1] if named else frozenset(), linked))
         pieces.clear()
         linked = 0
 
     def close(i: int) -> None:
+        nonlocal dropped
         if any(t in BLOCKS for t, _ in stack[i:]):
             flush()
-        del stack[i:]
+        while len(stack) > i:
+            tag, own = stack.pop()
+            open_tags[tag] -= 1
+            if not open_tags[tag]:
+                del open_tags[tag]
+            dropped -= tag in DROPPED
+            if tag in BLOCKS:
+                open_blocks.pop()
+            if own:
+                named.pop()
+                hints.subtract(own)
+                for h in own:
+                    if not hints[h]:
+                        del hints[h]
 
     while at < len(page):
-        if skip_to:
-            end = re.compile(rf"</{skip_to}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at, skip_to = (end.end() if end else len(page)), None
-            continue
         m = _TOKEN.match(page, at)
         at = m.end()
         tag = m[3]
         if tag is None:
             piece = m[1] if m[1] is not None else m[0] if m[0][0] != "<" or m[0] == "<" else None
-            if piece:
+            if piece and not dropped:
                 piece = html.unescape(piece) if "&" in piece and m[1] is None else piece
                 pieces.append(piece)
-                if any(t == "a" for t, _ in stack):
+                if "a" in open_tags:
                     linked += len(piece)
             continue
         tag = tag.lower()
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-            else:
-                if tag in BLOCKS:
-                    flush()
+            if tag in open_tags:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
+            elif tag in BLOCKS and not dropped:
+                flush()
             continue
         if tag in VOID:
             if tag == "hr":
@@ -138,19 +182,31 @@ def leaf_blocks(page: str) -> list[Block]:
             else:
                 pieces.append(" ")
             continue
-        if tag in RAW and not m[4].rstrip().endswith("/"):
-            skip_to = tag
+        if m[4].rstrip().endswith("/") and tag in RAW | DROPPED:
+            continue
+        if tag in RAW:
+            end = ends.next("</", tag, at)
+            at = end[1] if end else len(page) if tag in ("script", "style") else at
+            continue
+        if tag in DROPPED and not ends.closed(tag, at):
             continue
         if tag in BLOCKS:
             for i in range(len(stack) - 1, -1, -1):
                 if tag in CLOSED_BY.get(stack[i][0], ()):
                     close(i)
                     break
-                if stack[i][0] in BLOCKS and stack[i][0] not in CLOSED_BY:
+                if stack[i][0] in BLOCKS and stack[i][0] not in CLOSED_BY or stack[i][0] in DROPPED:
                     break
-            flush()
-        if len(stack) < 500:
-            stack.append((tag, name_hints(m[4]) if "=" in m[4] else frozenset()))
+            if not dropped:
+                flush()
+            open_blocks.append(tag)
+        own = name_hints(m[4]) if "=" in m[4] else frozenset()
+        stack.append((tag, own))
+        open_tags[tag] += 1
+        dropped += tag in DROPPED
+        if own:
+            named.append(own)
+            hints.update(own)
     flush()
     return out
 
@@ -166,10 +222,8 @@ def features(blocks: list[Block]) -> list[list[int]]:
                  "stop" if b.text[-1] in ".!?…:\"”»)" else "nostop"]
         names += ["rights"] if "©" in b.text or "copyright" in b.text.lower() else []
         names += ["sign"] if any(c in b.text for c in "|»›•→") and words < 20 else []
-        tags = set(b.tags)
-        names += [f"in:{t}" for t in _TAGS if t in tags]
-        last = next((t for t in reversed(b.tags) if t in BLOCKS), None)
-        names += [f"last:{last}"] if last in _TAGS else []
+        names += [f"in:{t}" for t in _TAGS if t in b.tags]
+        names += [f"last:{b.last}"] if b.last in _TAGS else []
         names += [f"hint:{h}" for h in b.hints] + [f"near:{h}" for h in b.near]
         out.append([FEATURES[n] for n in names])
     return out
@@ -179,7 +233,7 @@ def _labelled(page: str) -> tuple[list[Block], list[int]]:
     """Blocks of a page that marks its article by tag: those in it, outside of side matter, are main text."""
     blocks = leaf_blocks(page)
     other = {"nav", "header", "footer", "aside", "form", "head"}
-    return blocks, [int("article" in b.tags and not other & set(b.tags) and not b.hints & set(HINTS) - {"main"}) for b in blocks]
+    return blocks, [int("article" in b.tags and not other & b.tags and not b.hints & set(HINTS) - {"main"}) for b in blocks]
 
 
 #: Ways to mark up each kind of block, for drawings: (tag, class or id names).
@@ -223,18 +277,19 @@ def drawings(blocks: list[Block], tags: list[int], rng: random.Random) -> Iterat
         heads = rng.choice(("h1", "h2", "h1"))
         inside = [f"<{heads}>{html.escape(main[0])}</{heads}>"] + [
             f"<{(k := rng.choice(('p', 'p', 'p', 'div', 'li', 'blockquote', 'h2', 'td')))}>{html.escape(t)}</{k}>" for t in main[1:]]
+        strange = -1
         if rng.random() < 0.5:
-            inside.insert(rng.randint(1, len(inside)), some(rng.choice(("advert", "side", "talk", "form", "top", "foot"))))
+            strange = rng.randint(1, len(inside))
+            inside.insert(strange, some(rng.choice(("advert", "side", "talk", "form", "top", "foot"))))
+        own = [(len(leaf_blocks(part_)), int(i != strange)) for i, part_ in enumerate(inside)]
         middle = f"<{tag}" + (f" {rng.choice(('class', 'id'))}='{name}'" if name else "") + ">" + "".join(inside) + f"</{tag}>"
         middle = "".join(inside) if rng.random() < 0.1 else middle
         if rng.random() < 0.3:
             middle = f"<div id='{rng.choice(('wrapper', 'page', 'main'))}'>{middle}</div>"
         drawn = leaf_blocks("<body>" + "".join(before) + middle + "".join(after) + "</body>")
-        wanted = []
-        side = set(HINTS) - {"main"}
-        for b in drawn:
-            out = bool(b.hints & side) or bool({"nav", "header", "footer", "aside", "form"} & set(b.tags))
-            wanted.append(int(not out))
+        # a block is what the part it was drawn in is
+        parts = [*[(len(leaf_blocks(p)), 0) for p in before], *own, *[(len(leaf_blocks(p)), 0) for p in after]]
+        wanted = [y for n, y in parts for _ in range(n)]
         yield drawn, wanted
 
 
@@ -243,16 +298,17 @@ def train(pages: DataFrame, html_column: str = "html", id_column: str = "page_id
     are and drawn anew in other markup."""
     marked = pages.where(F.col(html_column).contains("<article"))
     chosen = marked.select(F.col(id_column).alias("k")).distinct().orderBy(F.xxhash64(F.lit("pages"), "k"), "k").limit(TRAIN_PAGES)
-    own = pages.select(F.col(f"`{id_column}`").alias("k"), F.substring(F.col(f"`{html_column}`"), 1, TRAIN_CHARS).alias("h"))
+    own = pages.select(F.col(f"`{id_column}`").alias("k"), F.col(f"`{html_column}`").alias("h"))
     sample = own.join(F.broadcast(chosen), "k").orderBy(F.xxhash64("h"), "k").limit(TRAIN_PAGES).collect()
     rng = random.Random(11)
     items, tags = [], []
     for row in sample:
         blocks, wanted = _labelled(row.h)
         for own, y in [(blocks, wanted)] * AS_THEY_ARE + list(drawings(blocks, wanted, rng)):
-            if len(own) <= 60:
-                items.append(features(own))
-                tags.append(y)
+            seen = features(own)
+            for k in range(0, len(own), PIECE):
+                items.append(seen[k: k + PIECE])
+                tags.append(y[k: k + PIECE])
     return fit(items, tags, len(FEATURES), 2, epochs=120)
 
 

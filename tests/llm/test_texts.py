@@ -225,3 +225,37 @@ def test_html_edges(spark, page_field):
     assert html_text.extract(pages, page_field).count() == 3
     assert html_text.extract(pages.limit(0), page_field).isEmpty()
     assert html_text.train(pages.limit(0)).viterbi([[0]]) in ([0], [1])
+
+
+@pytest.mark.parametrize("page, blocks", [
+    ("<article><p>One <button>Share<p>Two</p><p>Three</p></article>", ["One Share", "Two", "Three"]),
+    ("<article><p>One <button>Share</button></p><p>Two</p></article>", ["One", "Two"]),
+    ("<p>One <button>A <p>Two</p> <button>B</button> end", ["One A", "Two", "end"]),
+    ("<p>Sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> ends.</p>", ["Sum x+1 ends."]),
+    ("<p>One <svg><text>no</text><svg><text>no</text></svg></svg>two</p><p>x", ["One two", "x"]),
+    ("<p>One <svg><text>kept</text></p><p>Two", ["One kept", "Two"]),
+    ("<p>One <video>no <p>no</p></video></p><p>Two</p>", ["One", "Two"]),
+    ("<p>One<textarea>kept <p>Two", ["Onekept", "Two"]),
+    ("<p>One<script>if (a < b) '</p>'", ["One"]),
+    ("<p>One<script>x</script> two<style>p {}</style></p><button/>three", ["One two", "three"]),
+    ("", []), ("</p></div>", []),
+])
+def test_html_elements_that_are_not_closed(page, blocks):
+    assert [b.text for b in html_text.leaf_blocks(page)] == blocks
+
+
+def test_html_nested_ten_thousand_deep():
+    n = 10_000
+    page = "<article>" + "".join(f"<div><b>{i}" for i in range(n)) + "</b></div>" * n + "<p>end</p></article><p>out"
+    blocks = html_text.leaf_blocks(page)
+    assert len(blocks) == n + 2 and blocks[-2].text == "end" and "article" in blocks[-2].tags and "div" not in blocks[-2].tags
+    assert "article" not in blocks[-1].tags and html_text.leaf_blocks("<nav>" * n)[:1] == []
+
+
+def test_html_drawings_are_labelled_by_the_part_they_were_drawn_in():
+    import random
+    page = "<nav><a>Home</a></nav><article><h1>Title</h1>" + "".join(f"<p>Sentence {i}.</p>" for i in range(200)) + "</article>"
+    blocks, tags = html_text._labelled(page)
+    for drawn, wanted in html_text.drawings(blocks, tags, random.Random(3)):
+        assert len(drawn) == len(wanted) and sum(wanted) == 201
+        assert [b.text for b, y in zip(drawn, wanted) if y] == [b.text for b, y in zip(blocks, tags) if y]
