@@ -162,8 +162,11 @@ AUDIT_PARTS = {"legacy_system_name": S.unknown("system_name"), "legacy_system_co
 WITH_SPEC = f"(SELECT *, {S.topo_column('system_code', 'system_name', 'descriptions')} AS spec FROM routed)"
 
 
-@query("prompt_classify", f"""SELECT w.row_id, md5({S.render(prompts.CLASSIFY, {**AUDIT_PARTS, 'taxonomy_text': 'b.text'})}) AS prompt_md5
-  FROM {WITH_SPEC} w JOIN row_branches r ON w.row_id = r.row_id JOIN branches b ON r.branch = b.branch WHERE w.route <> 'Bypassed'""")
+CLASSIFIED = f"""(SELECT w.row_id, {S.render(prompts.CLASSIFY, {**AUDIT_PARTS, 'taxonomy_text': 'b.text'})} AS prompt
+  FROM {WITH_SPEC} w JOIN row_branches r ON w.row_id = r.row_id JOIN branches b ON r.branch = b.branch WHERE w.route <> 'Bypassed')"""
+
+
+@query("prompt_classify", f"SELECT row_id, md5(prompt) AS prompt_md5 FROM {CLASSIFIED}")
 def _prompt_classify(spark, d):
     texts = taxonomy.branch_texts(members(spark, d), CONFIG.limits)
     rows = codes.with_prompt_parts(routing.with_route(wo(spark, d), CONFIG.taxonomy), CONFIG)

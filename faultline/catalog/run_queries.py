@@ -8,14 +8,14 @@ from faultline.catalog import sql as S
 from faultline.catalog.labeller import failing_labeller, keyword_labeller
 from faultline.catalog.dictionary_queries import grouped
 from faultline.catalog.registry import query
-from faultline.catalog.phase_queries import AUDIT_PARTS, WITH_SPEC
+from faultline.catalog.phase_queries import AUDIT_PARTS, CLASSIFIED, WITH_SPEC
 from faultline.catalog.row_queries import QA_SQL, with_status, wo
 from faultline.catalog.views import CONFIG, table, view
 from faultline.functions.contract import AUDIT, check_response
 from faultline.operators import hooks, ledger, metrics, prompts, routing
 from faultline.operators.joins import merge_tables
 from faultline.plans import codes, extraction
-from faultline.plans.full import Run, full_run
+from faultline.plans.full import Run, full_run, report, run_codes
 from faultline.sources.scratch import new_folder, stored
 from faultline.sources.tables import export_final
 
@@ -187,3 +187,19 @@ def _full_run_again(spark, d):
     more = ledger.read_ledger(spark, f"{folder}/ledger").count() - calls
     return _result(second).join(second.select("row_id", c("Legacy_System_Code").alias("legacy_code")), "row_id").withColumn(
         "new_calls", F.lit(more).cast("bigint"))
+
+
+_ASKED = f"""SELECT 'P1' AS phase, prompt FROM {CLASSIFIED} UNION ALL SELECT 'P2', prompt FROM {_AUDITED}"""
+
+
+@query("run_report", f"""SELECT CASE WHEN grouping(phase) = 1 THEN 'run' ELSE 'phase' END AS level, phase, CAST(sum(n) AS BIGINT) AS rows, count(*) AS calls,
+  CAST(sum(length(prompt) // 4) AS BIGINT) AS input_tokens FROM (SELECT phase, prompt, count(*) AS n FROM ({_ASKED}) GROUP BY phase, prompt)
+  GROUP BY GROUPING SETS ((phase), ())""")
+def _run_report(spark, d):
+    """What correction and audit of a run asked: rows, calls and tokens by phase and in all."""
+    run = Run(spark, new_folder(spark, "run"), CONFIG, keyword_labeller)
+    run_codes(run, wo(spark, d), view(spark, d, "components"))
+    asked = report(run).where("level <> 'batch'").select("level", "phase", "rows", "calls", "input_tokens")
+    found = asked.where(c("phase").isin(codes.P1, codes.P2))
+    return found.unionByName(found.agg(F.lit("run").alias("level"), F.lit(None).cast("string").alias("phase"), *[
+        F.sum(k).alias(k) for k in ("rows", "calls", "input_tokens")]))

@@ -31,6 +31,24 @@ def call_metrics(calls: DataFrame, pricing: Pricing) -> DataFrame:
         "cost_usd", F.round(call_cost(F.col("input_tokens"), F.col("output_tokens"), pricing), 6))
 
 
+def run_report(ledger: DataFrame, rows_of_calls: DataFrame, pricing: Pricing) -> DataFrame:
+    """What was asked, by batch, by phase and in all: (level, phase, batch_id, rows, calls, tokens, seconds, cost_usd).
+
+    `rows_of_calls` (phase, call_id, rows) says how many rows share a call: equal questions are asked once, and an answer
+    counts for all of them. A call that is asked again counts again.
+    """
+    asked = ledger.join(rows_of_calls, ["phase", "call_id"], "left")
+    sets = asked.groupingSets([["phase", "batch_id"], ["phase"], []], "phase", "batch_id").agg(
+        F.grouping_id("phase", "batch_id").alias("_id"),
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("calls"),
+        F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"),
+        F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"),
+        F.round(F.coalesce(F.sum("seconds"), F.lit(0.0)), 2).alias("seconds"))
+    level = F.when(F.col("_id") == 0, "batch").when(F.col("_id") == 1, "phase").otherwise("run")
+    return sets.select(level.alias("level"), "phase", "batch_id", "rows", "calls", "input_tokens", "output_tokens", "seconds",
+                       F.round(call_cost(F.col("input_tokens"), F.col("output_tokens"), pricing), 6).alias("cost_usd"))
+
+
 def ledger_metrics(ledger: DataFrame, pricing: Pricing) -> DataFrame:
     return call_metrics(ledger.withColumn("rows_processed", F.lit(1)), pricing)
 

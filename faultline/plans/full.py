@@ -23,6 +23,7 @@ from faultline.functions.contract import (
 from faultline.operators.dictionary import gather_entries, line_chars, long_entries
 from faultline.operators.hooks import Labeller
 from faultline.operators.ledger import answers, attempt_state, label_pending, read_ledger
+from faultline.operators.metrics import run_report
 from faultline.operators.merge import merge_codes, merge_failures, merge_labels, with_qa_status
 from faultline.operators.routing import needs_relabel, with_route
 from faultline.operators.sizes import broadcast_if_small
@@ -44,6 +45,8 @@ class Run:
     extraction_partitions: int = 5
     slices: int = 1
     name: str = field(default_factory=lambda: uuid4().hex)
+    batches: list[str] = field(default_factory=list)
+    asked: list[str] = field(default_factory=list)
 
     @property
     def ledger(self) -> str:
@@ -62,11 +65,12 @@ class Run:
             prompt: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame], DataFrame] | None = None,
             system_prompt: str | None = None) -> DataFrame:
         """Labels what is pending and returns (call_id, status, answer)."""
-        label_pending(calls, self.ledger, phase, contract, system_prompt or self.config.prompts.engineer,
+        self.asked.append(phase)
+        self.batches.extend(label_pending(calls, self.ledger, phase, contract, system_prompt or self.config.prompts.engineer,
                       self.labeller, prompt,
                       check or (lambda df: check_response(df, contract)),
                       self.config.rules.max_attempts,
-                      self.extraction_partitions if phase == extraction.P3 else self.partitions, self.slices)
+                      self.extraction_partitions if phase == extraction.P3 else self.partitions, self.slices))
         return self.answers(phase)
 
     def answers(self, phase: str) -> DataFrame:
@@ -166,6 +170,25 @@ def run_labels(run: Run, grouped: DataFrame, dictionary: DataFrame) -> DataFrame
             "P4_Status", "P4_OPERATIONAL_call", "P4_SEMANTIC_call"))))
 
 
+#: Where the rows of a phase and the names of their calls are kept.
+CALLS = {codes.P1: ("work_orders", "P1_call"), codes.P2: ("work_orders", "P2_call"), codes.P2B: ("work_orders", "P2_RELABEL_call"),
+         extraction.P3: ("batches", "call_id"), labels.P4_OPERATIONAL: ("operational", "P4_OPERATIONAL_call"),
+         labels.P4_SEMANTIC: ("operational", "P4_SEMANTIC_call")}
+
+
+def report(run: Run) -> DataFrame:
+    """What this run asked so far, by batch, phase and in all, from its own tables; see `run_report`."""
+    asked = read_ledger(run.spark, run.ledger).where(F.col("batch_id").isin(run.batches))
+    sides = run.spark.createDataFrame([], "call_id string, rows long, phase string")
+    for phase in run.asked:
+        table, call = CALLS[phase]
+        # a group's call stands for all its rows
+        rows = F.sum("n_rows") if phase == extraction.P3 else F.count(F.lit(1))
+        named = run.spark.read.parquet(run.path(table)).where(F.col(call).isNotNull())
+        sides = sides.unionByName(named.groupBy(F.col(call).alias("call_id")).agg(rows.alias("rows")).withColumn("phase", F.lit(phase)))
+    return run_report(asked, sides, run.config.pricing)
+
+
 def finish(rows: DataFrame, coded: DataFrame, labelled: DataFrame, config: Config) -> DataFrame:
     """Merged labels and quality status on the full rows."""
     produced = ({*coded.columns} | {*labelled.columns}) - {"row_key"}
@@ -183,4 +206,6 @@ def full_run(run: Run, rows: DataFrame, taxonomy: DataFrame, dictionary: DataFra
     rows, coded = run_codes(run, rows, taxonomy)
     grouped = with_codes(run, rows, coded)
     entries = run.table("dictionary_long", long_entries(dictionary)) if dictionary is not None else run_dictionary(run, grouped)
-    return finish(rows, coded, run_labels(run, grouped, entries), run.config)
+    labelled = run_labels(run, grouped, entries)
+    run.table("report", report(run))
+    return finish(rows, coded, labelled, run.config)

@@ -24,7 +24,7 @@ def label_stream(
     long = run.table("dictionary_long", long_entries(dictionary))
 
     def handle(batch: DataFrame, number: int) -> None:
-        part = replace(run, name=f"{run.name}-{number}")
+        part = replace(run, name=f"{run.name}-{number}", batches=[], asked=[])
         rows, coded = run_codes(part, map_columns(batch, run.config.columns), taxonomy)
         labelled = run_labels(part, with_codes(part, rows, coded), long)
         finish(rows, coded, labelled, run.config).write.mode("overwrite").parquet(

@@ -108,3 +108,16 @@ def test_stream_labels_new_files_only(spark, inputs, finished, tmp_path):
     assert labelled.select("batch").distinct().count() == 2
     columns = ["row_id", "Merged_System_Code", "P4_Maintenance_Type", "P4_Failure_Mode", "QA_Status"]
     assert content(labelled.select(columns)) == content(result.select(columns))
+
+
+def test_run_report_counts_every_call_and_its_rows(spark, finished):
+    run, result = finished
+    report = spark.read.parquet(run.path("report"))
+    ledger = read_ledger(spark, run.ledger).where(F.col("batch_id").isin(run.batches))
+    assert {r.batch_id for r in report.where("level = 'batch'").collect()} == set(run.batches)
+    phases = {r.phase: r for r in report.where("level = 'phase'").collect()}
+    assert {p: r.calls for p, r in phases.items()} == {r.phase: r["count"] for r in ledger.groupBy("phase").count().collect()}
+    whole = report.where("level = 'run'").first()
+    for c in ("rows", "calls", "input_tokens", "output_tokens"):
+        assert whole[c] == sum(r[c] for r in phases.values())
+    assert all(r.rows >= r.calls for p, r in phases.items()) and whole.cost_usd > 0
