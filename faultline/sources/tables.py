@@ -12,6 +12,7 @@ from faultline.config import REQUIRED, ColumnMap
 from faultline.errors import DataError
 from faultline.functions.text import NA_TOKENS
 from faultline.operators.sizes import number_rows
+from faultline.sources.csv_records import PLACE, read_csv
 
 
 def require_columns(df: DataFrame, expected: Sequence[str], source: str) -> None:
@@ -42,9 +43,11 @@ def _read(spark: SparkSession, path: str, multiline: bool, fmt: str | None = Non
     try:
         if fmt == "parquet":
             df = spark.read.parquet(path)
+        elif multiline:
+            df = read_csv(spark, path)
         else:
             # no inference: every column stays text, so codes keep their leading zeros
-            df = spark.read.csv(path, header=True, inferSchema=False, multiLine=multiline, quote='"', escape='"')
+            df = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"')
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise DataError(f"no data at {path}") from error
@@ -52,7 +55,7 @@ def _read(spark: SparkSession, path: str, multiline: bool, fmt: str | None = Non
     if not df.columns:
         raise DataError(f"{path} is empty")
     if fmt == "csv":
-        df = df.withColumns({c: na_to_null(F.col(f"`{c}`")) for c in df.columns})
+        df = df.withColumns({c: na_to_null(F.col(f"`{c}`")) for c in df.columns if c not in PLACE})
     return df
 
 
@@ -62,10 +65,10 @@ def load_work_orders(
     """CSV (quoted line breaks, doubled quotes, usual missing-value texts) or Parquet; `fmt` says which, else the
     file names do.
 
-    With `multiline` a CSV file is one task, so land big inputs as many files or as Parquet;
-    without quoted line breaks switch it off and files are split.
+    CSV files are split over tasks; without quoted line breaks switch `multiline` off, which spares the
+    count of quotes.
     """
-    df = _read(spark, path, multiline, fmt)
+    df = _read(spark, path, multiline, fmt).drop(*PLACE)
     require_columns(df, required, path)
     return df
 
@@ -107,8 +110,10 @@ def load_taxonomy(spark: SparkSession, path: str, fmt: str | None = None) -> Dat
         taxonomy = df.select(F.col("ord").cast("bigint").alias("ord"), F.col("Code").alias("code"), F.col("Name").alias("name"))
     else:
         # Spark reads large files first, so its own numbering follows sizes; within a file it follows the rows
-        placed = df.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"),
-                           F.monotonically_increasing_id().alias("_row"), F.col("Code").alias("code"), F.col("Name").alias("name"))
+        place = [F.col(c) for c in PLACE] if PLACE[0] in df.columns else [
+            F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"),
+            F.monotonically_increasing_id().alias("_row")]
+        placed = df.select(*place, F.col("Code").alias("code"), F.col("Name").alias("name"))
         taxonomy = number_rows(placed, ["_file", "_from", "_row"], "ord").select("ord", "code", "name")
     if taxonomy.isEmpty():
         raise DataError(f"{path} holds no taxonomy rows")

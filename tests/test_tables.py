@@ -351,3 +351,40 @@ def test_a_key_of_100_000_modes_is_checked_by_a_join(spark):
     got = check_semantic(spark.createDataFrame(said, "options_key string, raw_response string").withColumn(
         "n", F.monotonically_increasing_id()), options, rules)
     assert [r.status for r in got.orderBy("n").collect()] == ["ok", "invalid", "invalid", "invalid", "ok", "ok"]
+
+
+@pytest.mark.parametrize("split", [97, 400, 5000, 1 << 27])
+def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path, split):
+    """Quoted line breaks, quotes, commas and long fields over many splits give what the one-task reader gives, in order."""
+    import random
+
+    from faultline.sources.csv_records import PLACE, read_csv
+    rng = random.Random(1)
+    values = ["plain", "a, b", 'say "x"', "two\nlines", "", '"', "\n", "end\n", "é日", " sp ", "x\n\n\ny" * 30]
+    quoted = lambda v: '"' + v.replace('"', '""') + '"' if any(c in v for c in ',"\n') or rng.random() < 0.3 else v
+    lines = ['Id,Text,"K\nx"'] + [",".join(map(quoted, (str(i), rng.choice(values), rng.choice(["k", "", "z,\n"])))) for i in range(300)]
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    path = str(tmp_path / "a.csv")
+    want = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+    keys = {"spark.sql.files.maxPartitionBytes": split, "spark.sql.files.openCostInBytes": 0, "spark.sql.files.minPartitionNum": 1}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        tasks = spark.read.text(path).select(F.spark_partition_id()).distinct().count()
+        got = read_csv(spark, path)
+        rows = [tuple(r)[3:] for r in sorted(got.collect(), key=lambda r: tuple(r)[:3])]
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    assert got.columns == [*PLACE, *want.columns] and rows == [tuple(r) for r in want.collect()]
+    assert tasks > 1 or split > 5000
+
+
+def test_csv_folders_with_windows_line_ends_and_names_in_paths(spark, tmp_path):
+    for day, text in (("1", '\ufeffId,T\r\n1,"a\r\nb"\r\n\r\n2,c\r\n'), ("2", "Id,T\n3,d"), ("3", "Id,T\n")):
+        (tmp_path / "x" / f"day={day}").mkdir(parents=True)
+        (tmp_path / "x" / f"day={day}" / "f.csv").write_bytes(text.encode())
+    got = tables.load_work_orders(spark, str(tmp_path / "x"))
+    assert got.columns == ["Id", "T", "day"]
+    rows = sorted((r.Id, r["T"].replace("\r\n", "\n"), str(r.day)) for r in got.collect())
+    assert rows == [("1", "a\nb", "1"), ("2", "c", "1"), ("3", "d", "2")]
