@@ -40,6 +40,14 @@ def _load(spark, d):
     return load_work_orders(spark, folder, required=["wo_id", "descriptions"])
 
 
+@query("file_order", "SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, wo_id FROM wo")
+def _file_order(spark, d):
+    """Files that hold the work orders in their order, read and numbered; names of files rise with the ranges."""
+    folder = new_folder(spark, "work-orders")
+    wo(spark, d).repartitionByRange(8, "row_id").sortWithinPartitions("row_id").drop("row_id").write.parquet(f"{folder}/first.parquet")
+    return load_work_orders(spark, f"{folder}/first.parquet", numbered=True).select("row_id", "wo_id")
+
+
 @query("map_columns", "SELECT wo_id AS row_id, " + ", ".join(COLUMNS[:-1]) + ", CAST(NULL AS VARCHAR) AS yaw_brake_type FROM wo")
 def _map(spark, d):
     return map_columns(wo(spark, d).drop("row_id", "yaw_brake_type"), CONFIG.columns)

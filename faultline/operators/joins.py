@@ -15,8 +15,8 @@ def merge_tables(left: DataFrame, right: DataFrame, key: str, how: str = "left")
 
     Built from an inner join, which adaptive execution can split on a hot key of either side,
     plus anti joins for the rows without a partner. Those look only at the distinct keys of the
-    other side and reuse the inner join's exchange, so no hot key ends up in one task, which a
-    full outer join could not avoid.
+    other side, so no hot key ends up in one task, which a full outer join could not avoid. Each of
+    these joins reads its sides anew; store a side that is costly to make.
     """
     for side, name in ((left, "primary"), (right, "secondary")):
         if key not in side.columns:

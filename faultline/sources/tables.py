@@ -60,17 +60,34 @@ def _read(spark: SparkSession, path: str, multiline: bool, fmt: str | None = Non
 
 
 def load_work_orders(
-    spark: SparkSession, path: str, required: Sequence[str] = (), multiline: bool = True, fmt: str | None = None
+    spark: SparkSession, path: str, required: Sequence[str] = (), multiline: bool = True, fmt: str | None = None,
+    numbered: bool = False,
 ) -> DataFrame:
     """CSV (quoted line breaks, doubled quotes, usual missing-value texts) or Parquet; `fmt` says which, else the
     file names do.
 
     CSV files are split over tasks; without quoted line breaks switch `multiline` off, which spares the
-    count of quotes.
+    count of quotes. `numbered` adds `row_id`, the place of each row in the whole source: files by name, rows as they
+    stand; group texts then list their lines in that order.
     """
-    df = _read(spark, path, multiline, fmt).drop(*PLACE)
+    df = _read(spark, path, multiline, fmt)
     require_columns(df, required, path)
-    return df
+    if not numbered:
+        return df.drop(*PLACE)
+    if "row_id" in df.columns:
+        raise DataError(f"{path} has a column row_id of its own")
+    return number_rows(_with_place(df), list(PLACE), "row_id").drop(*PLACE)
+
+
+def _with_place(df: DataFrame) -> DataFrame:
+    """Adds the place of each row in its source, where the reader has not."""
+    if PLACE[0] in df.columns:
+        return df
+    # rows of a split are numbered in their order; a Parquet file's rows carry their own number, whatever splits there are
+    hidden = df.select("_metadata").schema["_metadata"].dataType.names
+    row = F.col("_metadata.row_index") if "row_index" in hidden else F.monotonically_increasing_id()
+    block = F.lit(0).cast("long") if "row_index" in hidden else F.col("_metadata.file_block_start")
+    return df.select("*", F.col("_metadata.file_path").alias(PLACE[0]), block.alias(PLACE[1]), row.alias(PLACE[2]))
 
 
 #: Names that the phases use for columns of their own.
@@ -109,12 +126,8 @@ def load_taxonomy(spark: SparkSession, path: str, fmt: str | None = None) -> Dat
     if "ord" in df.columns:
         taxonomy = df.select(F.col("ord").cast("bigint").alias("ord"), F.col("Code").alias("code"), F.col("Name").alias("name"))
     else:
-        # Spark reads large files first, so its own numbering follows sizes; within a file it follows the rows
-        place = [F.col(c) for c in PLACE] if PLACE[0] in df.columns else [
-            F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"),
-            F.monotonically_increasing_id().alias("_row")]
-        placed = df.select(*place, F.col("Code").alias("code"), F.col("Name").alias("name"))
-        taxonomy = number_rows(placed, ["_file", "_from", "_row"], "ord").select("ord", "code", "name")
+        placed = _with_place(df).select(*PLACE, F.col("Code").alias("code"), F.col("Name").alias("name"))
+        taxonomy = number_rows(placed, list(PLACE), "ord").select("ord", "code", "name")
     if taxonomy.isEmpty():
         raise DataError(f"{path} holds no taxonomy rows")
     return taxonomy

@@ -388,3 +388,21 @@ def test_csv_folders_with_windows_line_ends_and_names_in_paths(spark, tmp_path):
     assert got.columns == ["Id", "T", "day"]
     rows = sorted((r.Id, r["T"].replace("\r\n", "\n"), str(r.day)) for r in got.collect())
     assert rows == [("1", "a\nb", "1"), ("2", "c", "1"), ("3", "d", "2")]
+
+
+def test_group_texts_follow_the_order_of_files(spark, tmp_path):
+    """Number 10 after 2: rows are numbered by file, split and row, in CSV and in Parquet."""
+    for name, ids in (("a", range(1, 12)), ("b", range(12, 30))):
+        (tmp_path / f"{name}.csv").write_text("WO,Text\n" + "".join(f'{i},"line\n{i}"\n' for i in ids))
+    csv = tables.load_work_orders(spark, f"{tmp_path}/*.csv", numbered=True)
+    assert [r.WO for r in csv.orderBy("row_id").collect()] == [str(i) for i in range(1, 30)]
+    assert [r.row_id for r in csv.orderBy("row_id").collect()] == list(range(29))
+    csv.orderBy("row_id").drop("row_id").coalesce(1).write.parquet(str(tmp_path / "p.parquet"))
+    parquet = tables.load_work_orders(spark, str(tmp_path / "p.parquet"), numbered=True)
+    assert [r.WO for r in parquet.orderBy("row_id").collect()] == [str(i) for i in range(1, 30)]
+    lines = parquet.select(F.lit("c").alias("code"), F.lit("t").alias("topology"), "row_id", F.lit("s").alias("system_name"),
+                           F.concat(F.lit("- "), "WO").alias("line"), F.lit(5).cast("long").alias("n_chars"))
+    assert D.group_batches(lines, Limits()).first().batch_text == "\n".join(f"- {i}" for i in range(1, 30))
+    with pytest.raises(DataError, match="row_id"):
+        (tmp_path / "own.csv").write_text("row_id,T\n1,x\n")
+        tables.load_work_orders(spark, str(tmp_path / "own.csv"), numbered=True)
