@@ -64,6 +64,23 @@ def test_byte_network_does_not_depend_on_the_batch():
     assert not np.allclose(pool, byte_cnn.pooled(net, long[:100_000], np.array([0, 100_000])))
 
 
+def test_byte_network_against_plain_loops():
+    """Every filter at every chunk of every text, one by one."""
+    net = byte_cnn.Network.fresh(3)
+    rng = np.random.default_rng(6)
+    parts = [b"", b"a", bytes(rng.integers(0, 256, 37, dtype=np.uint8)), "Straße 東京".encode() * 3, bytes(rng.integers(97, 123, 200, dtype=np.uint8))]
+    got = byte_cnn.probability(net, np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0] + [len(p) for p in parts]))
+    for text, p in zip(parts, got, strict=True):
+        padded = text + bytes(byte_cnn.WIDTH + byte_cnn.STRIDE)
+        best = [0.0] * byte_cnn.FILTERS                                       # a filter that never fires adds nothing
+        for at in range(0, max(len(text), 1), byte_cnn.STRIDE):
+            chunk = [float(v) for byte in padded[at: at + byte_cnn.WIDTH] for v in net.embed[byte]]
+            for f in range(byte_cnn.FILTERS):
+                best[f] = max(best[f], sum(c * float(w) for c, w in zip(chunk, net.filters[:, f], strict=True)) + float(net.filter_bias[f]))
+        z = sum(b * float(w) for b, w in zip(best, net.weights, strict=True)) + float(net.bias[0])
+        assert abs(p - 1 / (1 + np.exp(-z))) < 1e-5
+
+
 def test_byte_network_held_out_accuracy(spark):
     rows = QUERIES["op8_byte_cnn"](spark, "/root/testdata/sf0.1")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
