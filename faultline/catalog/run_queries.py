@@ -155,18 +155,26 @@ def _export_final(spark, d):
 _FIRST_CODE = "regexp_extract(b.text, '^ *- ([^:]*):', 1)"
 
 
-_FULL_RUN = f"""SELECT t.row_id, CASE WHEN t.route = 'Bypassed' THEN 'bypassed' WHEN b.branch IS NULL THEN 'config_error' ELSE 'ok' END AS p1_status,
+_KIND = f"CASE WHEN {S.uninformative('t.descriptions')} THEN 'none' WHEN contains(lower(t.descriptions), 'annual service') THEN 'healthy' ELSE 'failure' END"
+_MERGED = f"""SELECT t.row_id, {S.norm('t.system_code')} AS legacy_code, {S.norm('t.maintenance_type')} AS legacy_type, {_KIND} AS kind, coalesce(a.flag, false) AS relabel,
+  CASE WHEN t.route = 'Bypassed' THEN 'bypassed' WHEN b.branch IS NULL THEN 'config_error' ELSE 'ok' END AS p1_status,
   CASE WHEN t.route <> 'Bypassed' AND b.branch IS NOT NULL THEN {_FIRST_CODE} WHEN a.flag THEN (SELECT {_FIRST_CODE} FROM branches b WHERE b.branch = 'all')
-    ELSE {S.norm('t.system_code')} END AS merged_code,
-  CASE WHEN {S.uninformative('t.descriptions')} THEN 'Not Enough Information' WHEN contains(lower(t.descriptions), 'annual service') THEN 'Preventive' ELSE 'Corrective' END AS maintenance_type,
-  'Pass' AS status
+    ELSE {S.norm('t.system_code')} END AS merged_code
   FROM routed t JOIN row_branches r ON r.row_id = t.row_id LEFT JOIN branches b ON b.branch = r.branch LEFT JOIN {_AUDITED} a ON a.row_id = t.row_id"""
+_FAILURE = "CASE kind WHEN 'none' THEN 'Not Enough Information' WHEN 'healthy' THEN 'Not Applicable' ELSE '{}' END AS {}"
+_FULL_RUN = f"""SELECT row_id, p1_status, merged_code, maintenance_type, relabel, {_FAILURE.format('Wear', 'failure_mode')}, {_FAILURE.format('Abrasion', 'mechanism')},
+  {_FAILURE.format('Friction', 'cause')}, {_FAILURE.format('Noise', 'symptom')}, merged_code IS NOT NULL AND merged_code IS DISTINCT FROM legacy_code AS code_corrected,
+  maintenance_type IS DISTINCT FROM legacy_type AS type_corrected, false AS failed, 'Pass' AS status
+  FROM (SELECT *, CASE kind WHEN 'none' THEN 'Not Enough Information' WHEN 'healthy' THEN 'Preventive' ELSE 'Corrective' END AS maintenance_type FROM ({_MERGED}))"""
 
 
 def _result(df):
     return df.select(
         "row_id", c("P1_Status").alias("p1_status"), c("Merged_System_Code").alias("merged_code"),
-        c("Merged_Maintenance_Type").alias("maintenance_type"), c("QA_Status").alias("status"))
+        c("Merged_Maintenance_Type").alias("maintenance_type"), F.coalesce("P2_Requires_Relabel", F.lit(False)).alias("relabel"),
+        *[c(f"Merged_{n}").alias(n.lower()) for n in ("Failure_Mode", "Mechanism", "Cause", "Symptom")],
+        c("System_Code_Corrected_Flag").alias("code_corrected"), c("Maintenance_Type_Corrected_Flag").alias("type_corrected"),
+        (~c("P4_Status").isin("ok", "skipped")).alias("failed"), c("QA_Status").alias("status"))
 
 
 @query("full_run", _FULL_RUN)
@@ -175,8 +183,8 @@ def _full_run(spark, d):
     return _result(full_run(run, wo(spark, d), view(spark, d, "components")))
 
 
-@query("full_run_again", f"""SELECT row_id, p1_status, merged_code, maintenance_type, status, legacy AS legacy_code, CAST(0 AS BIGINT) AS new_calls
-  FROM ({_FULL_RUN}) JOIN (SELECT row_id, system_code AS legacy FROM wo) USING (row_id)""")
+@query("full_run_again", f"""SELECT f.*, legacy AS legacy_code, CAST(0 AS BIGINT) AS new_calls
+  FROM ({_FULL_RUN}) f JOIN (SELECT row_id AS id, system_code AS legacy FROM wo) w ON w.id = f.row_id""")
 def _full_run_again(spark, d):
     """A second pass over the result of the first: nothing is asked and legacy copies stay."""
     folder = new_folder(spark, "run")
