@@ -205,3 +205,13 @@ def failure_selection(member: str, v: str = "answer") -> Column:
 def exactly_one(listed: Column, escapes: Column, name: Column) -> Column:
     """A listed four-field mode, or the name of an escape mode with free fields; not both."""
     return listed != F.coalesce(F.array_contains(escapes, name), F.lit(False))
+
+
+def check_action(options: Column, action: Column) -> Column:
+    """Against a short list; long ones are joined (`plans.labels.check_operational`)."""
+    return F.array_contains(options, action)
+
+
+def check_mode(modes: Column, escapes: Column, selection: Column) -> Column:
+    """Against a short list; long ones are joined (`plans.labels.check_semantic`)."""
+    return exactly_one(F.coalesce(F.array_contains(modes, selection), F.lit(False)), escapes, selection["failure_mode"])
