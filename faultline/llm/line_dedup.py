@@ -1,6 +1,7 @@
 """Line dedup: repeated runs of lines found by prefix doubling over sequences of line ids; later copies go.
 
-A text is the sequence of its lines with a word in them; a line's id is a hash of the line without outer white space.
+A text is the sequence of its lines with a word in them; a line's id is half of a 128-bit hash of the line without outer
+white space. The other half goes into a second name that found runs carry, so runs count as equal by 128 bits or more.
 A run counts where its lines hold `min_words` words or more. Any such run is covered by smallest runs of that kind,
 one that begins at each line and one that ends at each, so these are enough (see `_runs`).
 
@@ -68,33 +69,35 @@ def _runs(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-LINES = "block long, doc int, id {}, mark long, ids binary, words binary, longest int"
+LINES = "block long, doc int, id {}, mark long, seal long, ids binary, checks binary, words binary, longest int"
 
 
 def _read_lines(blocks: DataFrame, id_column: str, id_type: str, min_words: int, short: bool) -> DataFrame:
     """A row for each text with lines: their ids and words, and the size of its longest smallest run; texts without a
     run (size 0) only if `short`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+        digest, wide = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
         for batch in batches:
             for i in range(batch.num_rows):
                 data, offsets = unpack(batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
                 raw = data.tobytes()
-                docs, ids, words, longest = [], [], [], []
+                docs, ids, checks, words, longest = [], [], [], [], []
                 for doc in range(len(offsets) - 1):
                     lines = [x for x in raw[offsets[doc]: offsets[doc + 1]].split(b"\n") if x.strip(_BLANK)]
                     held = np.array([len(x.split()) for x in lines], np.int32)
                     if held.sum() >= min_words or short and lines:
                         docs.append(doc)
-                        ids.append(np.array([digest(x.strip(_BLANK)) for x in lines], np.uint64).tobytes())
+                        halves = np.frombuffer(b"".join([wide(x.strip(_BLANK)) for x in lines]), np.uint64).reshape(-1, 2)
+                        ids.append(halves[:, 0].tobytes())
+                        checks.append(halves[:, 1].tobytes())
                         words.append(held.tobytes())
                         longest.append(int(_runs(held, min_words)[1].max(initial=0)))
-                marks = np.array([digest(x) for x in ids], np.uint64).view(np.int64)
+                marks, seals = (np.array([digest(x) for x in half], np.uint64).view(np.int64) for half in (ids, checks))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([batch.column(0)[i].as_py()] * len(docs), pa.int64()), pa.array(docs, pa.int32()),
-                    batch.column(3)[i].values.take(pa.array(docs, pa.int64())), pa.array(marks),
-                    pa.array(ids, pa.binary()), pa.array(words, pa.binary()), pa.array(longest, pa.int32())],
-                    ["block", "doc", "id", "mark", "ids", "words", "longest"])
+                    batch.column(3)[i].values.take(pa.array(docs, pa.int64())), pa.array(marks), pa.array(seals),
+                    pa.array(ids, pa.binary()), pa.array(checks, pa.binary()), pa.array(words, pa.binary()), pa.array(longest, pa.int32())],
+                    ["block", "doc", "id", "mark", "seal", "ids", "checks", "words", "longest"])
 
     narrow = blocks.select("block", "lengths", "payload", F.col(f"ids.`{id_column}`").alias("own"))
     return narrow.mapInArrow(run, LINES.format(id_type))
@@ -148,23 +151,24 @@ def _smallest_runs(lines: DataFrame, depth: int, min_words: int) -> DataFrame:
                 ids = np.frombuffer(batch.column(4)[i].as_py(), np.uint64)
                 first, size = _runs(np.frombuffer(batch.column(5)[i].as_py(), np.int32), min_words)
                 own, alive = names(ids, depth), _alive(batch.column(6), i, len(ids))
+                other = names(np.frombuffer(batch.column(7)[i].as_py(), np.uint64), depth)
                 fit = (size >= 1 << depth) & (size < 2 << depth)
                 first, size = first[fit], size[fit]
                 second = first + size - (1 << depth)
                 both = alive[first] & alive[second]
                 first, size, second = first[both], size[both], second[both]
-                parts.append(np.stack([own[first].view(np.int64), own[second].view(np.int64), first, size]))
+                parts.append(np.stack([*(x.view(np.int64) for x in (own[first], own[second], _join_names(other[first], other[second]))), first, size]))
                 owner += [i] * len(first)
-            a, b, first, size = np.concatenate(parts, axis=1) if parts else np.zeros((4, 0), np.int64)
+            a, b, check, first, size = np.concatenate(parts, axis=1) if parts else np.zeros((5, 0), np.int64)
             place = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays([
-                *[batch.column(k).take(place) for k in range(4)], pa.array(a), pa.array(b),
+                *[batch.column(k).take(place) for k in range(4)], pa.array(a), pa.array(b), pa.array(check),
                 pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32))],
-                ["block", "doc", "id", "mark", "a", "b", "first", "size"])
+                ["block", "doc", "id", "mark", "a", "b", "check", "first", "size"])
 
     id_type = lines.schema["id"].dataType.simpleString()
-    return lines.select("block", "doc", "id", "mark", "ids", "words", "alive").mapInArrow(
-        emit, f"block long, doc int, id {id_type}, mark long, a long, b long, first int, size int")
+    return lines.select("block", "doc", "id", "mark", "ids", "words", "alive", "checks").mapInArrow(
+        emit, f"block long, doc int, id {id_type}, mark long, a long, b long, check long, first int, size int")
 
 
 def _cut(blocks: DataFrame, runs: DataFrame, docs: DataFrame, text_column: str) -> DataFrame:
@@ -215,7 +219,7 @@ def remove_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_colum
     if whole_texts:
         # named by the hash of all lines; no other run has names like that, and no lines of these texts are named
         found = lines.where("longest = 0").selectExpr(
-            "block", "doc", "id", "mark", "mark AS a", "0L AS b", "0 AS first", "cast(octet_length(ids) / 8 AS int) AS size")
+            "block", "doc", "id", "mark", "mark AS a", "0L AS b", "seal AS check", "0 AS first", "cast(octet_length(ids) / 8 AS int) AS size")
         lines = lines.where("longest > 0")
     while True:
         lines = _round(lines, depth)
@@ -226,7 +230,7 @@ def remove_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_colum
             break
     found = stored(found, "runs")
     order = F.struct("id", "mark", "block", "doc", "first")
-    first = stored(found.groupBy("size", "a", "b").agg(
+    first = stored(found.groupBy("size", "a", "b", "check").agg(
         F.min(order).alias("one"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
-    later = found.join(first, ["size", "a", "b"]).where(order != F.col("one")).select("block", "doc", "first", "size")
+    later = found.join(first, ["size", "a", "b", "check"]).where(order != F.col("one")).select("block", "doc", "first", "size")
     return _cut(blocks, later, docs, text_column)

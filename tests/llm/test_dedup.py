@@ -126,6 +126,20 @@ def test_names_of_equal_runs_are_equal():
     assert two[0] == two[4] and two[1] == two[5] and two[2] != two[6] and len(line_dedup.names(ids, 3)) == 1
 
 
+def test_runs_of_equal_names_differ_by_the_second_half(spark):
+    """Lines whose first 64 bits meet by chance are told apart by the other 64."""
+    import numpy as np
+
+    ids, words = np.arange(3, dtype=np.uint64).tobytes(), np.full(3, 20, np.int32).tobytes()
+    other = [np.array(x, np.uint64).tobytes() for x in ([1, 2, 3], [1, 2, 4], [1, 2, 3])]
+    lines = spark.createDataFrame(
+        [(0, i, i, 0, 0, bytearray(ids), bytearray(x), bytearray(words), 3, [0, 1]) for i, x in enumerate(other)],
+        "block long, doc int, id long, mark long, seal long, ids binary, checks binary, words binary, longest int, alive array<int>")
+    runs = {r.doc: r for r in line_dedup._smallest_runs(lines, 1, 50).collect()}
+    assert len({(r.a, r.b, r["size"]) for r in runs.values()}) == 1
+    assert runs[0].check == runs[2].check != runs[1].check
+
+
 def sets_of(rows):
     out = []
     for _, t in rows:
