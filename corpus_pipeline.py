@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs go, and with them documents of which no word is left."""
-    cut = line_dedup.remove_repeated_lines(docs)
+    """Later copies of line runs and of whole short texts go, and with them documents of which no word is left."""
+    cut = line_dedup.remove_repeated_lines(docs, whole_texts=True)
     left = cut.where((F.col("n_removed") == 0) | F.col("row.text").rlike(WORD)).select("row.*")
     return _with_length(left, docs.columns)
 
