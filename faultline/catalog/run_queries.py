@@ -79,6 +79,38 @@ query("pending_rows", f"SELECT c_custkey AS call_id, CAST(coalesce(m, 0) + 1 AS
     lambda s, d: ledger.pending_calls(
         table(s, d, "customer").select(c("c_custkey").alias("call_id")),
         view(s, d, "attempts").withColumn("status", c("status")), 9900))
+
+
+def _compacted(spark, d):
+    """A ledger of the attempts that was compacted after its first and its second third."""
+    path, rows = new_folder(spark, "ledger"), view(spark, d, "attempts").select(
+        c("call_id").cast("string").alias("call_id"), c("attempt").cast("int").alias("attempt"), F.lit("b").alias("batch_id"),
+        F.concat(F.lit("answer "), "attempt").alias("raw_response"), "status", "error", F.lit(0).cast("bigint").alias("input_tokens"),
+        F.lit(0).cast("bigint").alias("output_tokens"), F.lit(0.0).alias("seconds"), c("ts").cast("timestamp").alias("ts"))
+    last = rows.agg(F.max("attempt")).first()[0] or 0
+    third = F.least((c("attempt") * 3 / F.lit(last + 1)).cast("int"), F.lit(2))
+    for number in range(3):
+        ledger.append(rows.where(third == number), path, codes.P2)
+        if number < 2:
+            ledger.compact(spark, path, codes.P2)
+    return path
+
+
+query("compacted_state", """SELECT call_id, max(attempt) AS attempts, bool_or(status = 'ok') AS done, arg_max(error, attempt) FILTER (status <> 'ok') AS last_reason,
+  arg_max(status, attempt) AS status, 'answer ' || max(attempt) AS raw_response FROM attempts GROUP BY call_id""")(
+    lambda s, d: ledger.call_states(s, _compacted(s, d), codes.P2).withColumn("call_id", c("call_id").cast("bigint")))
+
+
+@query("pending_after_compaction", "SELECT c_custkey AS call_id, CAST(coalesce(m, 0) + 1 AS INTEGER) AS attempt FROM customer LEFT JOIN (SELECT call_id, max(attempt) AS m, bool_or(status = 'ok') AS done FROM attempts GROUP BY call_id) ON call_id = c_custkey WHERE NOT coalesce(done, false) AND coalesce(m, 0) < 9900")
+def _pending_after_compaction(spark, d):
+    path = _compacted(spark, d)
+    calls = table(spark, d, "customer").select(c("c_custkey").cast("string").alias("call_id"))
+    pending = ledger.pending_calls(calls, ledger.attempts_since(spark, path, codes.P2), 9900,
+                                   before=ledger.compacted_state(spark, path, codes.P2),
+                                   buckets=ledger.generation(spark, path, codes.P2).buckets)
+    return pending.select(c("call_id").cast("bigint").alias("call_id"), "attempt")
+
+
 query("pending_groups", "SELECT DISTINCT g.code, g.topology FROM grouped g LEFT JOIN (SELECT DISTINCT code, topology FROM (" + S.checked("batch_ledger", S.EXTRACTION, "code, topology, piece") + ") WHERE status = 'ok') b ON b.code = g.code AND b.topology = g.topology WHERE b.code IS NULL")(
     lambda s, d: _pending_groups(s, d))
 

@@ -22,7 +22,7 @@ from faultline.functions.contract import (
 )
 from faultline.operators.dictionary import gather_entries, line_chars, long_entries
 from faultline.operators.hooks import Labeller
-from faultline.operators.ledger import answers, attempt_state, label_pending, read_ledger
+from faultline.operators.ledger import call_states, label_pending, read_ledger
 from faultline.operators.metrics import run_report
 from faultline.operators.merge import merge_codes, merge_failures, merge_labels, with_qa_status
 from faultline.operators.routing import needs_relabel, with_route
@@ -44,6 +44,8 @@ class Run:
     partitions: int = 10
     extraction_partitions: int = 5
     slices: int = 1
+    #: A phase's attempts in more files than this are compacted before it asks; 0, never, where several runs write one ledger at once.
+    compact_files: int = 2_000
     name: str = field(default_factory=lambda: uuid4().hex)
     batches: list[str] = field(default_factory=list)
     asked: list[str] = field(default_factory=list)
@@ -70,13 +72,14 @@ class Run:
                       self.labeller, prompt,
                       check or (lambda df: check_response(df, contract)),
                       self.config.rules.max_attempts,
-                      self.extraction_partitions if phase == extraction.P3 else self.partitions, self.slices))
-        return self.answers(phase)
+                      self.extraction_partitions if phase == extraction.P3 else self.partitions, self.slices, self.compact_files))
+        return self.answers(phase, calls.select("call_id"))
 
-    def answers(self, phase: str) -> DataFrame:
-        ledger = read_ledger(self.spark, self.ledger, phase)
-        state = attempt_state(ledger, max_attempts=self.config.rules.max_attempts)
-        return parse_response(answers(ledger).join(state.select("call_id", "attempts", "failed", "last_reason"), "call_id"))
+    def answers(self, phase: str, wanted: DataFrame | None = None) -> DataFrame:
+        """Answers with their attempts; of those compacted before, the `wanted` ones only."""
+        state = call_states(self.spark, self.ledger, phase, wanted)
+        failed = ~F.col("done") & (F.col("attempts") >= self.config.rules.max_attempts)
+        return parse_response(state.withColumn("failed", failed).drop("done"))
 
 
 def run_codes(run: Run, rows: DataFrame, taxonomy: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -184,7 +187,8 @@ def report(run: Run) -> DataFrame:
         table, call = CALLS[phase]
         # a group's call stands for all its rows
         rows = F.sum("n_rows") if phase == extraction.P3 else F.count(F.lit(1))
-        named = run.spark.read.parquet(run.path(table)).where(F.col(call).isNotNull())
+        # a table of no rows may have no file to take columns from
+        named = run.spark.read.schema(f"{call} string, n_rows bigint").parquet(run.path(table)).where(F.col(call).isNotNull())
         sides = sides.unionByName(named.groupBy(F.col(call).alias("call_id")).agg(rows.alias("rows")).withColumn("phase", F.lit(phase)))
     return run_report(asked, sides, run.config.pricing)
 

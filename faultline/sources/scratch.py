@@ -42,3 +42,10 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
     """Removes a folder that `new_folder` named, once nothing reads it again."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def folder_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies in a folder, none where there is no such folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in files.listStatus(path)] if files.exists(path) else []
