@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.common import SPACE_SPLIT
+from faultline.operators.sizes import broadcast_if_small, number_rows
 from faultline.sources.scratch import stored
 
 #: Rows of a leaf that are ordered together when its boundary is looked for.
 BUCKET_ROWS = 4_000
-LEVELS = ("domain", "lang", "source")
+#: What is known of all leaves is broadcast below this size, as JSON text.
+BROADCAST_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -31,54 +33,70 @@ class Mix:
     default: float = 1.0
 
 
-def budgets(available: Mapping[tuple, int], mix: Mix, total: int) -> dict[tuple, int]:
-    """Tokens to take from each leaf path, whole numbers that sum to `total` or to all there is.
+def _same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> list[Column]:
+    return [a[n].eqNullSafe(b[n]) for n in names]
 
-    A node shares its budget among its children by weight. What a child cannot supply goes to its siblings, again
-    by weight, and only what no sibling can supply goes up to the parent's siblings.
+
+def _beside(frame: DataFrame, other: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
+    """`frame` with the other columns of `other`; names that are null are equal."""
+    return frame.join(other, _same(frame, other, names), how).drop(*[other[n] for n in names])
+
+
+def budgets(leaves: DataFrame, names: Sequence[str], mix: Mix, total: int) -> DataFrame:
+    """(names, n, given): tokens to take from each leaf, whole numbers that sum to `total` or to all there is.
+
+    `leaves` has one row per path of `names` and `n`, its tokens. A node shares its budget among its children by
+    weight. What a child cannot supply goes to its siblings, again by weight, and only what no sibling can supply
+    goes up to the parent's siblings. The tree is passed down a level at a time. Children that are used up are those
+    whose limit by weight lies below a line that running sums over the parent's distinct values find; whole numbers are
+    rounded down, and what that leaves goes by one to the largest fractions, ranked in one distributed sort.
+    No step gathers a parent's children: distinct limits that sum to T are fewer than the root of 2 T.
+
+    A null name is a path of its own, nodes of weight 0 and leaves without tokens are given nothing, no leaves give
+    none, and equal fractions go by name.
     """
-    weights = dict(mix.weights)
-    depth = len(next(iter(available), ()))
-    limit: dict[tuple, int] = {}
-    children: dict[tuple, set] = {}
-    for path, n in available.items():
-        for k in range(depth + 1):
-            limit[path[:k]] = limit.get(path[:k], 0) + n * mix.epochs
-            if k:
-                children.setdefault(path[:k - 1], set()).add(path[:k])
-
-    given: dict[tuple, int] = {}
-
-    def name(path: tuple) -> str:
-        return repr(tuple("" if x is None else str(x) for x in path))
-
-    def share_out(node: tuple, budget: int) -> None:
-        if node not in children:
-            given[node] = budget
-            return
-        todo, left, share = sorted(children[node], key=name), budget, {}
-        while todo:
-            whole = sum(weights.get(c, mix.default) for c in todo)
-            want = {c: left * weights.get(c, mix.default) / whole if whole else 0 for c in todo}
-            short = [c for c in todo if limit[c] <= want[c]]
-            for c in short:
-                share[c] = limit[c]
-                left -= limit[c]
-            todo = [c for c in todo if c not in share]
-            if not short:
-                whole_parts = {c: min(int(want[c]), limit[c]) for c in todo}
-                rest = left - sum(whole_parts.values()) if whole else 0
-                for c in sorted(todo, key=lambda c: (int(want[c]) - want[c], name(c))):
-                    more = min(rest, 1, limit[c] - whole_parts[c]) if weights.get(c, mix.default) else 0
-                    share[c] = whole_parts[c] + more
-                    rest -= more
-                break
-        for c, n in share.items():
-            share_out(c, n)
-
-    if available:
-        share_out((), min(total, limit[()]))
-    return given
+    spark = leaves.sparkSession
+    tree = leaves.withColumn("_root", F.lit(0))
+    limit = (F.sum("n") * mix.epochs).alias("_limit")
+    nodes = tree.groupBy("_root").agg(limit).select("_root", F.least(F.lit(total).cast("long"), "_limit").alias("_budget"))
+    for depth in range(1, len(names) + 1):
+        parent, path = ["_root", *names[:depth - 1]], ["_root", *names[:depth]]
+        weight = F.lit(float(mix.default))
+        kids = _beside(tree.groupBy(*path).agg(limit), nodes, parent)
+        named = [(*p, float(w)) for p, w in dict(mix.weights).items() if len(p) == depth]
+        if named:
+            kinds = ", ".join(f"{n} {leaves.schema[n].dataType.simpleString()}" for n in names[:depth])
+            known = spark.createDataFrame(named, f"{kinds}, _named double")
+            kids, weight = _beside(kids, known, names[:depth], "left"), F.coalesce("_named", weight)
+        kids = kids.withColumn("_weight", weight).withColumn("_ratio", F.when(
+            (F.col("_weight") > 0) & (F.col("_limit") > 0), F.col("_limit") / F.col("_weight")))
+        kids = stored(kids.select(*path, "_limit", "_budget", "_weight", "_ratio"), "nodes")
+
+        # the used-up ones come first in order of limit by weight, so each is judged as if all before it were
+        groups = kids.where("_ratio IS NOT NULL").groupBy(*parent, "_ratio").agg(
+            F.sum("_limit").alias("_limit"), F.sum("_weight").alias("_weight"), F.first("_budget").alias("_budget"))
+        upward, downward = (Window.partitionBy(*parent).orderBy(o) for o in (F.asc("_ratio"), F.desc("_ratio")))
+        judged = groups.withColumn("_before", F.sum("_limit").over(upward) - F.col("_limit")).withColumn(
+            "_used", F.col("_ratio") <= (F.col("_budget") - F.col("_before")) / F.sum("_weight").over(downward))
+        line = stored(judged.groupBy(*parent).agg(
+            F.max(F.when(F.col("_used"), F.col("_ratio"))).alias("_line"),
+            (F.first("_budget") - F.coalesce(F.sum(F.when(F.col("_used"), F.col("_limit"))), F.lit(0))).alias("_left"),
+            F.sum(F.when(~F.col("_used"), F.col("_weight"))).alias("_whole")), "lines")
+
+        used = F.coalesce(F.col("_ratio") <= F.col("_line"), F.lit(False))
+        want = F.when(~used & F.col("_ratio").isNotNull(), F.col("_left") * F.col("_weight") / F.col("_whole"))
+        shared = _beside(kids, line, parent, "left").withColumn("_want", want).withColumn(
+            "_sure", F.when(used, F.col("_limit")).otherwise(F.least(F.coalesce(F.floor("_want"), F.lit(0)), F.col("_limit")))).withColumn(
+            "_fraction", F.col("_want") - F.floor("_want"))
+        ranked = number_rows(
+            shared, [*parent, F.desc_nulls_last("_fraction"), F.asc_nulls_first(names[depth - 1])], "_at")
+        rests = ranked.groupBy(*parent).agg(
+            F.min("_at").alias("_first"),
+            (F.first("_left") - F.sum(F.when(F.col("_want").isNotNull(), F.col("_sure")))).alias("_rest"))
+        more = F.when(F.col("_want").isNotNull() & (F.col("_at") - F.col("_first") < F.col("_rest")),
+                      F.least(F.lit(1), F.col("_limit") - F.col("_sure"))).otherwise(0)
+        nodes = _beside(ranked, rests, parent).select(*path, (F.col("_sure") + more).alias("_budget"))
+    return _beside(leaves, nodes.drop("_root"), names).withColumnRenamed("_budget", "given")
 
 
 def count_tokens(text: Column) -> Column:
@@ -95,7 +113,8 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), levels: Sequence[Column] | No
 
     Null levels are a branch of their own; null and empty texts have no tokens and come along with the prefix
     before them; rows alike are taken each; a tie in the order is broken by the identity and then the text.
-    An empty table gives none. What reaches the driver is one row per leaf.
+    An empty table gives none. Leaves may be many: their budgets are made in Spark, the driver reads their sum alone, and
+    what is known of leaves is broadcast where it measures under `BROADCAST_BYTES` and joined by exchange beyond.
     """
     levels = list(levels) if levels is not None else default_levels()
     names = [f"_l{i}" for i in range(len(levels))]
@@ -104,20 +123,15 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), levels: Sequence[Column] | No
         count_tokens(F.col(f"`{text}`").cast("string")).alias("_tokens"),
         F.xxhash64(*[F.col(f"`{c}`") for c in identity], F.col(f"`{text}`")).alias("_key"))
     keyed = stored(counted.select(*names, "_tokens", "_key"), "mix")
-    leaves = keyed.groupBy(*names).agg(F.sum("_tokens").alias("n"), F.count("*").alias("rows")).collect()
-    available = {tuple(r[n] for n in names): r.n for r in leaves}
-    total = mix.tokens if mix.tokens is not None else int(mix.share * sum(available.values()))
-    plan = budgets(available, mix, total)
-
-    spark = docs.sparkSession
-    rows = [(*path, int(plan[path] // n) if n else 0, int(plan[path] % n) if n else 0,
-             max(1, -(-r.rows // BUCKET_ROWS))) for r in leaves for path, n in [(tuple(r[k] for k in names), r.n)]]
-    schema = ", ".join(f"{n} {docs.select(c).schema[0].dataType.simpleString()}" for n, c in zip(names, levels, strict=True))
-    leaf = F.broadcast(spark.createDataFrame(rows, f"{schema}, full long, rest long, buckets long"))
-    same = lambda a, b: [a[n].eqNullSafe(b[n]) for n in names]
+    leaves = stored(keyed.groupBy(*names).agg(F.sum("_tokens").alias("n"), F.count("*").alias("rows")), "leaves")
+    total = mix.tokens if mix.tokens is not None else int(mix.share * (leaves.agg(F.sum("n")).first()[0] or 0))
+    part = lambda e: F.when(F.col("n") > 0, F.expr(e)).otherwise(F.lit(0)).cast("long")
+    leaf = broadcast_if_small(budgets(leaves, names, mix, total).select(
+        *names, part("given div n").alias("full"), part("given % n").alias("rest"),
+        F.greatest(F.lit(1), F.ceil(F.col("rows") / BUCKET_ROWS)).cast("long").alias("buckets")), BROADCAST_BYTES)
 
     def with_leaf(frame: DataFrame) -> DataFrame:
-        joined = frame.join(leaf, same(frame, leaf)).drop(*[leaf[n] for n in names])
+        joined = _beside(frame, leaf, names)
         place = F.xxhash64(F.lit(mix.seed), F.col("full"), F.col("_key"))
         return joined.withColumn("_place", place).withColumn(
             "_bucket", F.floor((F.col("_place") / F.lit(2.0 ** 64) + 0.5) * F.col("buckets")))
@@ -127,14 +141,14 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), levels: Sequence[Column] | No
     before = F.sum("n").over(Window.partitionBy(*names).orderBy("_bucket")) - F.col("n")
     edge = sums.withColumn("before", before).where("before <= rest and before + n > rest").select(
         *[F.col(n).alias(f"e{n}") for n in names], F.col("_bucket").alias("edge"), "before")
-    edge = stored(edge, "edges")
-    here = placed.join(F.broadcast(edge), [placed[n].eqNullSafe(F.col(f"e{n}")) for n in names]
+    edge = broadcast_if_small(edge, BROADCAST_BYTES)
+    here = placed.join(edge, [placed[n].eqNullSafe(F.col(f"e{n}")) for n in names]
                        + [F.col("_bucket") == F.col("edge")])
     order = Window.partitionBy(*names).orderBy("_place", "_key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     last = here.withColumn("upto", F.col("before") + F.sum("_tokens").over(order)).where("upto <= rest").groupBy(
         *[F.col(n).alias(f"c{n}") for n in names]).agg(F.max(F.struct("_place", "_key")).alias("cut"))
-    cut = F.broadcast(stored(edge.join(last, [F.col(f"e{n}").eqNullSafe(F.col(f"c{n}")) for n in names], "left").select(
-        *[f"e{n}" for n in names], "edge", "cut"), "cuts"))
+    cut = broadcast_if_small(edge.join(last, [F.col(f"e{n}").eqNullSafe(F.col(f"c{n}")) for n in names], "left").select(
+        *[f"e{n}" for n in names], "edge", "cut"), BROADCAST_BYTES)
 
     rowed = with_leaf(counted)
     marked = rowed.join(cut, [rowed[n].eqNullSafe(F.col(f"e{n}")) for n in names], "left")

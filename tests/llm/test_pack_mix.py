@@ -68,20 +68,101 @@ def test_two_documents_replace_the_smallest_where_they_fill_more():
             assert (offsets[order[1:]] == (offsets[order] + lengths[order])[:-1]).all()
 
 
-def test_shortage_goes_to_siblings_before_the_parents_siblings():
+def plain_budgets(available, mix, total):
+    """Budgets of leaf paths, by recursion over a dictionary."""
+    weights = dict(mix.weights)
+    depth = len(next(iter(available), ()))
+    limit, children, given = {}, {}, {}
+    for path, n in available.items():
+        for k in range(depth + 1):
+            limit[path[:k]] = limit.get(path[:k], 0) + n * mix.epochs
+            if k:
+                children.setdefault(path[:k - 1], set()).add(path[:k])
+
+    def name(path):
+        return repr(tuple("" if x is None else str(x) for x in path))
+
+    def share_out(node, budget):
+        if node not in children:
+            given[node] = budget
+            return
+        todo, left, share = sorted(children[node], key=name), budget, {}
+        while todo:
+            whole = sum(weights.get(c, mix.default) for c in todo)
+            want = {c: left * weights.get(c, mix.default) / whole if whole else 0 for c in todo}
+            short = [c for c in todo if limit[c] <= want[c]]
+            for c in short:
+                share[c] = limit[c]
+                left -= limit[c]
+            todo = [c for c in todo if c not in share]
+            if not short:
+                whole_parts = {c: min(int(want[c]), limit[c]) for c in todo}
+                rest = left - sum(whole_parts.values()) if whole else 0
+                for c in sorted(todo, key=lambda c: (int(want[c]) - want[c], name(c))):
+                    more = min(rest, 1, limit[c] - whole_parts[c]) if weights.get(c, mix.default) else 0
+                    share[c] = whole_parts[c] + more
+                    rest -= more
+                break
+        for c, n in share.items():
+            share_out(c, n)
+
+    if available:
+        share_out((), min(total, limit[()]))
+    return given
+
+
+def budgets(spark, available, mix, total):
+    """Those of Spark, which are those of the plain version."""
+    names = ["a", "b", "c"]
+    leaves = spark.createDataFrame([(*path, n) for path, n in available.items()], "a string, b string, c string, n long")
+    got = {(r.a, r.b, r.c): r.given for r in mixing.budgets(leaves, names, mix, total).collect()}
+    assert got == plain_budgets(available, mix, total)
+    return got
+
+
+def test_shortage_goes_to_siblings_before_the_parents_siblings(spark):
     available = {("a", "en", "x"): 100, ("a", "en", "y"): 1000, ("a", "de", "x"): 1000, ("b", "en", "x"): 1000}
     once = mixing.Mix(epochs=1)
-    assert mixing.budgets(available, once, 800) == {
+    assert budgets(spark, available, once, 800) == {
         ("a", "en", "x"): 100, ("a", "en", "y"): 100, ("a", "de", "x"): 200, ("b", "en", "x"): 400}
     # x lacks 150: its sibling y gives them, not de
-    assert mixing.budgets(available, once, 2000)[("a", "en", "y")] == 400
+    assert budgets(spark, available, once, 2000)[("a", "en", "y")] == 400
     # b lacks 500: only then a's children take more
-    most = mixing.budgets(available, once, 3000)
+    most = budgets(spark, available, once, 3000)
     assert most[("b", "en", "x")] == 1000 and sum(most.values()) == 3000
-    assert mixing.budgets(available, once, 10**6) == available
-    weighted = mixing.budgets(available, mixing.Mix({("a",): 3, ("a", "de"): 0}, epochs=1), 400)
+    assert budgets(spark, available, once, 10**6) == available
+    weighted = budgets(spark, available, mixing.Mix({("a",): 3, ("a", "de"): 0}, epochs=1), 400)
     assert weighted[("a", "de", "x")] == 0 and weighted[("b", "en", "x")] == 100
-    assert mixing.budgets({}, once, 10) == {}
+    assert budgets(spark, {}, once, 10) == {}
+
+
+def test_budgets_of_random_trees(spark):
+    rng = random.Random(7)
+    for k in range(2):
+        paths = {(rng.choice("xyz"), rng.choice(["en", "de", None]), f"s{rng.randrange(30)}") for _ in range(60)}
+        available = {p: rng.choice([0, 1, 7, rng.randrange(1000)]) for p in sorted(paths, key=str)}
+        weights = {p[:rng.randint(1, 3)]: rng.choice([0, 0.5, 2, 3]) for p in rng.sample(sorted(paths, key=str), 12)}
+        whole = sum(available.values())
+        for total in (whole // 3, 1 + whole * k):
+            budgets(spark, available, mixing.Mix(weights, epochs=k % 2 + 1), total)
+
+
+def test_many_leaves_do_not_reach_the_driver(spark, monkeypatch):
+    """100,000 leaves below one parent, joined by exchange: each gives its part, and the sum is met."""
+    leaves = spark.range(100_000).select(
+        F.lit("web").alias("a"), F.lit("en").alias("b"), F.concat(F.lit("host"), "id").alias("c"), (F.col("id") % 977).alias("n"))
+    whole = leaves.agg(F.sum("n")).first()[0]
+    got = mixing.budgets(leaves, ["a", "b", "c"], mixing.Mix(epochs=1), whole // 2 + 1)
+    made = got.agg(F.sum("given"), F.max("given"), F.count("*"), F.max(F.col("given") - F.col("n"))).first()
+    # a line of 286.2 or so: smaller hosts give all, others 286 or 287
+    assert made[0] == whole // 2 + 1 and made[2] == 100_000 and made[3] == 0
+    short = got.where("given < n").agg(F.min("given"), F.max("given")).first()
+    assert short[1] - short[0] <= 1 and short[1] == made[1]
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    docs = documents(spark, texts())
+    by_exchange = mixing.mix_sources(docs).select("row.doc_id", "epoch").collect()
+    monkeypatch.undo()
+    assert sorted(map(str, by_exchange)) == sorted(map(str, mixing.mix_sources(docs).select("row.doc_id", "epoch").collect()))
 
 
 def test_mixing_takes_the_prefix_of_each_leafs_order(spark, monkeypatch):
@@ -98,7 +179,7 @@ def test_mixing_takes_the_prefix_of_each_leafs_order(spark, monkeypatch):
             leaves[(r.l0, r.l1, r.l2)].append(r)
         available = {k: sum(r.n for r in v) for k, v in leaves.items()}
         total = mix.tokens if mix.tokens is not None else int(mix.share * sum(available.values()))
-        plan = mixing.budgets(available, mix, total)
+        plan = plain_budgets(available, mix, total)
         assert sum(plan.values()) == min(total, mix.epochs * sum(available.values()))
         want = []
         for leaf, rows in leaves.items():
