@@ -58,11 +58,13 @@ def budgets(leaves: DataFrame, names: Sequence[str], mix: Mix, total: int) -> Da
     spark = leaves.sparkSession
     tree = leaves.withColumn("_root", F.lit(0))
     limit = (F.sum("n") * mix.epochs).alias("_limit")
-    nodes = tree.groupBy("_root").agg(limit).select("_root", F.least(F.lit(total).cast("long"), "_limit").alias("_budget"))
+    there = leaves.agg(F.sum("n")).first()[0] or 0
+    nodes = None
     for depth in range(1, len(names) + 1):
         parent, path = ["_root", *names[:depth - 1]], ["_root", *names[:depth]]
         weight = F.lit(float(mix.default))
-        kids = _beside(tree.groupBy(*path).agg(limit), nodes, parent)
+        kids = tree.groupBy(*path).agg(limit)
+        kids = kids.withColumn("_budget", F.lit(min(total, there * mix.epochs)).cast("long")) if nodes is None else _beside(kids, nodes, parent)
         named = [(*p, float(w)) for p, w in dict(mix.weights).items() if len(p) == depth]
         if named:
             kinds = ", ".join(f"{n} {leaves.schema[n].dataType.simpleString()}" for n in names[:depth])
