@@ -13,11 +13,13 @@ from faultline.catalog.row_queries import QA_SQL, with_status, wo
 from faultline.catalog.views import CONFIG, table, view
 from faultline.functions.contract import AUDIT, check_response
 from faultline.operators import hooks, ledger, metrics, prompts, routing
+from faultline.operators.dictionary import gather_entries
 from faultline.operators.joins import merge_tables
 from faultline.plans import codes, extraction
-from faultline.plans.full import Run, full_run, report, run_codes
-from faultline.sources.scratch import new_folder, stored
+from faultline.plans.full import Run, full_run, report, run_codes, run_dictionary, with_codes
+from faultline.sources.scratch import delete_folder, new_folder, stored
 from faultline.sources.tables import export_final
+from faultline.streaming.incremental import label_stream
 
 c = F.col
 
@@ -200,13 +202,13 @@ _FULL_RUN = f"""SELECT row_id, p1_status, merged_code, maintenance_type, relabel
   FROM (SELECT *, CASE kind WHEN 'none' THEN 'Not Enough Information' WHEN 'healthy' THEN 'Preventive' ELSE 'Corrective' END AS maintenance_type FROM ({_MERGED}))"""
 
 
-def _result(df):
+def _result(df, *more):
     return df.select(
         "row_id", c("P1_Status").alias("p1_status"), c("Merged_System_Code").alias("merged_code"),
         c("Merged_Maintenance_Type").alias("maintenance_type"), F.coalesce("P2_Requires_Relabel", F.lit(False)).alias("relabel"),
         *[c(f"Merged_{n}").alias(n.lower()) for n in ("Failure_Mode", "Mechanism", "Cause", "Symptom")],
         c("System_Code_Corrected_Flag").alias("code_corrected"), c("Maintenance_Type_Corrected_Flag").alias("type_corrected"),
-        (~c("P4_Status").isin("ok", "skipped")).alias("failed"), c("QA_Status").alias("status"))
+        (~c("P4_Status").isin("ok", "skipped")).alias("failed"), c("QA_Status").alias("status"), *more)
 
 
 @query("full_run", _FULL_RUN)
@@ -229,6 +231,25 @@ def _full_run_again(spark, d):
         "new_calls", F.lit(more).cast("bigint"))
 
 
+@query("label_stream", f"SELECT f.*, CAST(row_id % 2 AS INTEGER) AS batch FROM ({_FULL_RUN}) f")
+def _label_stream(spark, d):
+    """Work orders in two files that arrive one after the other; the second batch is handed over once more."""
+    rows, components = stored(wo(spark, d), "orders"), view(spark, d, "components")
+    first = Run(spark, new_folder(spark, "run"), CONFIG, keyword_labeller)
+    kept, coded = run_codes(first, rows, components)
+    dictionary = gather_entries(run_dictionary(first, with_codes(first, kept, coded)))
+    run = Run(spark, first.folder, CONFIG, keyword_labeller)
+    source = new_folder(spark, "arriving")
+    for half in range(2):
+        rows.where(c("row_id") % 2 == half).coalesce(1).write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(rows.schema).parquet(source)
+        label_stream(run, arriving, components, dictionary).awaitTermination()
+    delete_folder(spark, f"{run.folder}/stream/commits/1")
+    label_stream(run, arriving, components, dictionary).awaitTermination()
+    labelled = spark.read.parquet(f"{run.folder}/labelled")
+    return _result(labelled, "batch")
+
+
 _ASKED = f"""SELECT 'P1' AS phase, prompt FROM {CLASSIFIED} UNION ALL SELECT 'P2', prompt FROM {_AUDITED}"""
 
 

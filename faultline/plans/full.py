@@ -28,7 +28,7 @@ from faultline.operators.merge import merge_codes, merge_failures, merge_labels,
 from faultline.operators.routing import needs_relabel, with_route
 from faultline.operators.sizes import broadcast_if_small
 from faultline.operators.taxonomy import (
-    branch_members, branch_texts, require_pitch_prefixes, row_branch, taxonomy_nodes, with_order,
+    branch_members, kept_branch_texts, members_version, require_pitch_prefixes, row_branch, taxonomy_nodes, with_order,
 )
 from faultline.plans import codes, extraction, labels
 
@@ -82,7 +82,21 @@ class Run:
         return parse_response(state.withColumn("failed", failed).drop("done"))
 
 
-def run_codes(run: Run, rows: DataFrame, taxonomy: DataFrame) -> tuple[DataFrame, DataFrame]:
+@dataclass(frozen=True)
+class Branches:
+    """A taxonomy's branch members, and where the texts of this version are kept."""
+
+    members: DataFrame
+    folder: str
+
+
+def branches(run: Run, taxonomy: DataFrame) -> Branches:
+    """Orders the taxonomy once, for as many calls of `run_codes` as follow. Runs with one folder share the texts."""
+    members = run.table("branch_members", branch_members(with_order(taxonomy_nodes(taxonomy)), run.config.taxonomy))
+    return Branches(members, f"{run.folder}/branches/{members_version(members)}")
+
+
+def run_codes(run: Run, rows: DataFrame, taxonomy: DataFrame | Branches) -> tuple[DataFrame, DataFrame]:
     """The stored work orders, and row_key with P1, P2, P2b and merged code columns.
 
     Work orders are stored once, in one folder per route and with their call names, so texts
@@ -91,11 +105,11 @@ def run_codes(run: Run, rows: DataFrame, taxonomy: DataFrame) -> tuple[DataFrame
     config = run.config
     routed = with_route(rows, config.taxonomy)
     require_pitch_prefixes(routed, F.col("route") != ROUTE_BYPASSED, config.taxonomy)
-    members = branch_members(with_order(taxonomy_nodes(taxonomy)), config.taxonomy)
+    tree = taxonomy if isinstance(taxonomy, Branches) else branches(run, taxonomy)
     shown_to = row_branch(F.col("system_code"), F.col("descriptions"), config.taxonomy)
     wanted = routed.select(F.explode(F.array(F.when(F.col("route") != ROUTE_BYPASSED, shown_to), F.when(
         F.col("route") == ROUTE_BYPASSED, "all"))).alias("branch")).where("branch IS NOT NULL")
-    texts = run.table("branches", branch_texts(members, config.limits, wanted))
+    texts = kept_branch_texts(tree.members, config.limits, wanted, tree.folder)
     named = codes.correction_rows(codes.with_prompt_parts(routed, config), texts, config)
     named = codes.relabel_rows(codes.audit_rows(named, config), texts, config)
     # work-order numbers may repeat, so rows get a key of their own, fixed once they are stored

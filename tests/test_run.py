@@ -11,6 +11,7 @@ from faultline.catalog.labeller import keyword_labeller
 from faultline.operators.ledger import read_ledger
 from faultline.operators.metrics import ledger_metrics, run_totals
 from faultline.plans.full import Run, full_run
+from faultline.sources.scratch import delete_folder
 from faultline.streaming.incremental import label_stream
 
 SF = "/root/testdata/sf0.001"
@@ -109,6 +110,18 @@ def test_stream_labels_new_files_only(spark, inputs, finished, tmp_path):
     columns = ["row_id", "Merged_System_Code", "P4_Maintenance_Type", "P4_Failure_Mode", "QA_Status"]
     assert content(labelled.select(columns)) == content(result.select(columns))
 
+    # a batch handed over again after it was written: its folder is left as it is, nothing is asked
+    files = sorted(p.name for p in (tmp_path / "out/labelled/batch=1").iterdir())
+    calls = read_ledger(spark, run.ledger).count()
+    delete_folder(spark, f"{run.folder}/stream/commits/1")
+    drain()
+    assert sorted(p.name for p in (tmp_path / "out/labelled/batch=1").iterdir()) == files
+    assert read_ledger(spark, run.ledger).count() == calls
+    # texts of one taxonomy are kept in one place, each branch once
+    (version,) = (tmp_path / "out/branches").iterdir()
+    kept = spark.read.parquet(*map(str, version.iterdir()))
+    assert kept.count() == kept.select("branch").distinct().count() > 0
+
 
 def test_run_report_counts_every_call_and_its_rows(spark, finished):
     run, result = finished
