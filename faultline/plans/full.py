@@ -65,14 +65,14 @@ class Run:
 
     def ask(self, phase: str, contract: Contract, calls: DataFrame,
             prompt: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame], DataFrame] | None = None,
-            system_prompt: str | None = None) -> DataFrame:
+            system_prompt: str | None = None, shared: DataFrame | None = None) -> DataFrame:
         """Labels what is pending and returns (call_id, status, answer)."""
         self.asked.append(phase)
         self.batches.extend(label_pending(calls, self.ledger, phase, contract, system_prompt or self.config.prompts.engineer,
                       self.labeller, prompt,
                       check or (lambda df: check_response(df, contract)),
                       self.config.rules.max_attempts,
-                      self.extraction_partitions if phase == extraction.P3 else self.partitions, self.slices, self.compact_files))
+                      self.extraction_partitions if phase == extraction.P3 else self.partitions, self.slices, self.compact_files, shared))
         return self.answers(phase, calls.select("call_id"))
 
     def answers(self, phase: str, wanted: DataFrame | None = None) -> DataFrame:
@@ -116,14 +116,12 @@ def run_codes(run: Run, rows: DataFrame, taxonomy: DataFrame | Branches) -> tupl
     keyed = named.drop(*codes.PARTS.values(), "parts_hash").withColumn("row_key", F.monotonically_increasing_id())
     stored = run.table("work_orders", keyed, by="route")
     calls_of = codes.with_prompt_parts(stored, config)
-    shown = broadcast_if_small(
-        texts.select("branch", F.col("text").alias("taxonomy_text")).where(F.col("text").isNotNull()),
-        config.limits.broadcast_bytes)
+    shown = texts.select(F.col("branch").alias("shared"), "text")
 
     def classify(calls: DataFrame) -> DataFrame:
-        return calls.join(shown, "branch").withColumn("prompt", codes.classify_prompt(config))
+        return calls.withColumn("pieces", codes.classify_pieces(config)).withColumnRenamed("branch", "shared")
 
-    p1 = run.ask(codes.P1, CLASSIFICATION, codes.classification_calls(calls_of, codes.P1), classify)
+    p1 = run.ask(codes.P1, CLASSIFICATION, codes.classification_calls(calls_of, codes.P1), classify, shared=shown)
     p2 = run.ask(codes.P2, AUDIT, codes.audit_calls(calls_of),
                  lambda calls: calls.withColumn("prompt", codes.audit_prompt(config)), system_prompt=config.prompts.auditor)
     kept = [c for c in ("Legacy_System_Code",) if c in rows.columns]
@@ -135,7 +133,7 @@ def run_codes(run: Run, rows: DataFrame, taxonomy: DataFrame | Branches) -> tupl
     flagged = audited.where(needs_relabel()).select(F.col("P2_RELABEL_call").alias("call_id")).distinct()
     p2b = run.ask(codes.P2B, CLASSIFICATION,
                   codes.classification_calls(calls_of, codes.P2B).join(flagged, "call_id", "left_semi"),
-                  classify)
+                  classify, shared=shown)
     relabelled = codes.apply_split(audited, needs_relabel(), p2b, codes.apply_relabel)
     merged = merge_codes(relabelled, config.rules.code_gate).drop(
         "row_id", "system_code", "route", "P1_branch_problem", "P2_RELABEL_branch_problem", "P1_call", "P2_call", "P2_RELABEL_call")
