@@ -138,6 +138,12 @@ def _audit_rows(spark, d):
     return codes.audit_rows(rows, CONFIG)
 
 
+def _named_audits(spark, d):
+    """The same rows with what audits need of them, computed once for all steps of the ledger. Over the given tables the
+    test on the route would be pushed to their scan and build every text many times, at every step."""
+    return stored(_audit_rows(spark, d).select("row_id", "route", "P1_Audit_Exempt", "P2_call", *codes.PARTS.values()), "named")
+
+
 @query("label_calls", f"SELECT CAST(row_id AS VARCHAR) AS call_id, {_AUDIT_ANSWER} AS raw_response, length(prompt) // 4 AS input_tokens, CAST(40 AS BIGINT) AS output_tokens FROM {_AUDITED}")
 def _label_calls(spark, d):
     calls = _audit_rows(spark, d).where(routing.needs_audit()).select(
@@ -157,10 +163,10 @@ def label_audits(rows, path, labeller=keyword_labeller):
 @query("label_pending", f"SELECT row_id, 1 AS attempt, 'ok' AS status, {_AUDIT_ANSWER} AS raw_response FROM {_AUDITED}")
 def _label_pending(spark, d):
     path = new_folder(spark, "ledger")
-    rows = _audit_rows(spark, d)
+    rows = _named_audits(spark, d)
     label_audits(rows, path)
     answers = ledger.read_ledger(spark, path, codes.P2).select("call_id", "attempt", "status", "raw_response")
-    asked = stored(rows.where(routing.needs_audit()).select("row_id", c("P2_call").alias("call_id")), "asked")
+    asked = rows.where(routing.needs_audit()).select("row_id", c("P2_call").alias("call_id"))
     return asked.join(answers, "call_id").drop("call_id")
 
 
@@ -169,11 +175,11 @@ def _label_pending(spark, d):
 def _attempts_of_a_run(spark, d):
     """The ledger of a run whose labeller fails for some questions, twice: state by the branch that runs use."""
     path = new_folder(spark, "ledger")
-    rows = _audit_rows(spark, d)
+    rows = _named_audits(spark, d)
     label_audits(rows, path, failing_labeller)
     state = ledger.attempt_state(ledger.read_ledger(spark, path, codes.P2), max_attempts=2)
     reason = F.when(c("last_reason").startswith("TimeoutError"), c("last_reason")).when(c("last_reason").isNotNull(), "invalid")
-    asked = stored(rows.where(routing.needs_audit()).select("row_id", c("P2_call").alias("call_id")), "asked")
+    asked = rows.where(routing.needs_audit()).select("row_id", c("P2_call").alias("call_id"))
     return asked.join(state, "call_id").select(
         "row_id", c("attempts").cast("int").alias("attempts"), "done", "failed", reason.alias("last_reason"))
 
