@@ -239,7 +239,7 @@ def _full_run_again(spark, d):
 
 @query("label_stream", f"SELECT f.*, CAST(row_id % 2 AS INTEGER) AS batch FROM ({_FULL_RUN}) f")
 def _label_stream(spark, d):
-    """Work orders in two files that arrive one after the other; the second batch is handed over once more."""
+    """Work orders in two sets of files that arrive one after the other; the second batch is handed over once more."""
     rows, components = stored(wo(spark, d), "orders"), view(spark, d, "components")
     first = Run(spark, new_folder(spark, "run"), CONFIG, keyword_labeller)
     kept, coded = run_codes(first, rows, components)
@@ -247,7 +247,7 @@ def _label_stream(spark, d):
     run = Run(spark, first.folder, CONFIG, keyword_labeller)
     source = new_folder(spark, "arriving")
     for half in range(2):
-        rows.where(c("row_id") % 2 == half).coalesce(1).write.mode("append").parquet(source)
+        rows.where(c("row_id") % 2 == half).write.mode("append").parquet(source)
         arriving = spark.readStream.schema(rows.schema).parquet(source)
         label_stream(run, arriving, components, dictionary).awaitTermination()
     delete_folder(spark, f"{run.folder}/stream/commits/1")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.config import QA_PASS, Pricing
+from faultline.operators.sizes import shuffled
 
 
 def call_cost(input_tokens: Column, output_tokens: Column, pricing: Pricing) -> Column:
@@ -37,7 +38,7 @@ def run_report(ledger: DataFrame, rows_of_calls: DataFrame, pricing: Pricing) ->
     `rows_of_calls` (phase, call_id, rows) says how many rows share a call: equal questions are asked once, and an answer
     counts for all of them. A call that is asked again counts again.
     """
-    asked = ledger.join(rows_of_calls, ["phase", "call_id"], "left")
+    asked = ledger.join(shuffled(rows_of_calls), ["phase", "call_id"], "left")
     sets = asked.groupingSets([["phase", "batch_id"], ["phase"], []], "phase", "batch_id").agg(
         F.grouping_id("phase", "batch_id").alias("_id"),
         F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("calls"),

@@ -13,6 +13,7 @@ from faultline.operators.dictionary import batch_line, gather_entries, group_bat
 from faultline.operators.hooks import redact_text
 from faultline.operators.ledger import call_id
 from faultline.operators.prompts import render
+from faultline.operators.sizes import shuffled
 
 P3 = "P3"
 
@@ -51,7 +52,7 @@ def extraction_prompt(config: Config) -> Column:
 def long_from_answers(calls: DataFrame, answers: DataFrame, key: str = "call_id") -> DataFrame:
     """The long dictionary of all groups whose pieces all have a valid answer; others are left out and stay pending."""
     good = answers.where(F.col("status") == "ok").select(key, "answer")
-    answered = calls.select("code", "topology", "piece", "n_pieces", key).join(good, key)
+    answered = calls.select("code", "topology", "piece", "n_pieces", key).join(shuffled(good), key)
     whole = answered.groupBy("code", "topology").agg(
         F.count_distinct("piece").alias("_have"), F.max("n_pieces").alias("_need")).where("_have = _need")
     return long_dictionary(answered.join(whole.select("code", "topology"), ["code", "topology"], "left_semi"))

@@ -26,7 +26,7 @@ from faultline.operators.ledger import call_states, label_pending, read_ledger
 from faultline.operators.metrics import run_report
 from faultline.operators.merge import merge_codes, merge_failures, merge_labels, with_qa_status
 from faultline.operators.routing import needs_relabel, with_route
-from faultline.operators.sizes import broadcast_if_small
+from faultline.operators.sizes import broadcast_if_small, shuffled
 from faultline.operators.taxonomy import (
     branch_members, kept_branch_texts, members_version, require_pitch_prefixes, row_branch, taxonomy_nodes, with_order,
 )
@@ -132,7 +132,7 @@ def run_codes(run: Run, rows: DataFrame, taxonomy: DataFrame | Branches) -> tupl
         codes.apply_audit(codes.apply_correction(bypassed, None), p2)))
     flagged = audited.where(needs_relabel()).select(F.col("P2_RELABEL_call").alias("call_id")).distinct()
     p2b = run.ask(codes.P2B, CLASSIFICATION,
-                  codes.classification_calls(calls_of, codes.P2B).join(flagged, "call_id", "left_semi"),
+                  codes.classification_calls(calls_of, codes.P2B).join(shuffled(flagged), "call_id", "left_semi"),
                   classify, shared=shown)
     relabelled = codes.apply_split(audited, needs_relabel(), p2b, codes.apply_relabel)
     merged = merge_codes(relabelled, config.rules.code_gate).drop(
@@ -143,7 +143,7 @@ def run_codes(run: Run, rows: DataFrame, taxonomy: DataFrame | Branches) -> tupl
 def with_codes(run: Run, rows: DataFrame, coded: DataFrame) -> DataFrame:
     """Texts beside active code and topology key: the one wide shuffle before P3 and P4."""
     config = run.config
-    grouped = labels.with_group(rows.join(coded.select("row_key", "Merged_System_Code"), "row_key"), config)
+    grouped = labels.with_group(rows.join(shuffled(coded.select("row_key", "Merged_System_Code")), "row_key"), config)
     grouped = labels.with_label_parts(grouped, config).withColumn(
         "n_chars", line_chars(extraction.row_line(config)))
     return run.table("coded", grouped.select(

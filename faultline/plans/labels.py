@@ -25,6 +25,7 @@ from faultline.operators.hooks import redact_text
 from faultline.operators.ledger import call_id
 from faultline.operators.prompts import render
 from faultline.operators.routing import is_non_failure, is_uninformative
+from faultline.operators.sizes import shuffled
 from faultline.operators.topology import with_topology
 from faultline.plans.codes import STATE, attempt_columns, join_answers
 
@@ -196,7 +197,7 @@ def semantic_calls(rows: DataFrame, operational: DataFrame) -> DataFrame:
         F.col("P4_SEMANTIC_call").alias("_id"), F.col("P4_OPERATIONAL_call").alias("call_id"),
         F.col("P4_Maintenance_Type").alias("maintenance_type"),
         F.col("P4_Action_Taken").alias("action_taken")).dropDuplicates(["_id"])
-    return wanted.join(operational, "call_id").drop("call_id").withColumnRenamed("_id", "call_id")
+    return wanted.join(shuffled(operational), "call_id").drop("call_id").withColumnRenamed("_id", "call_id")
 
 
 def apply_semantic(
