@@ -208,7 +208,7 @@ def report(run: Run) -> DataFrame:
 def finish(rows: DataFrame, coded: DataFrame, labelled: DataFrame, config: Config) -> DataFrame:
     """Merged labels and quality status on the full rows."""
     produced = ({*coded.columns} | {*labelled.columns}) - {"row_key"}
-    joined = rows.drop(*produced).join(coded, "row_key").join(labelled, "row_key").drop("row_key")
+    joined = rows.drop(*produced).join(shuffled(coded), "row_key").join(shuffled(labelled), "row_key").drop("row_key")
     return with_qa_status(merge_failures(merge_labels(joined, config.rules), config.rules), config.rules.qa)
 
 
